@@ -7,6 +7,8 @@ every pair above a similarity without comparing all texts of a common word.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,10 +33,10 @@ LEVELS = 4
 SLACK = 1e-9
 
 
-def norm_texts(df: DataFrame, column: str) -> DataFrame:
-    """Distinct normalised texts that are not blank."""
+def norm_texts(df: DataFrame, column: str, scope: Sequence[str] = ()) -> DataFrame:
+    """Distinct normalised texts that are not blank, per ``scope`` columns if given."""
     return (
-        df.select(title_norm(F.col(column)).alias("norm"))
+        df.select(*scope, title_norm(F.col(column)).alias("norm"))
         .where(F.col("norm").rlike(r"\S"))
         .distinct()
         .withColumn("words", split_words(F.col("norm")))
@@ -72,7 +74,9 @@ def _most_alike_words(words: Column) -> Column:
     )
 
 
-def _title_index(titles: DataFrame, share: float, limits: Limits) -> DataFrame:
+def _title_index(
+    titles: DataFrame, share: float, scope: Sequence[str], limits: Limits
+) -> DataFrame:
     """Index rows ``(key, level, title, title_words)`` over the rare words of titles.
 
     A pair is only accepted if matched words make up more than ``share`` of the
@@ -83,7 +87,7 @@ def _title_index(titles: DataFrame, share: float, limits: Limits) -> DataFrame:
     so the list of frequent words is cut to a fixed length and broadcast.
     """
     placed = titles.select(
-        F.col("norm").alias("title"), "words", F.posexplode("words").alias("pos", "word")
+        *scope, F.col("norm").alias("title"), "words", F.posexplode("words").alias("pos", "word")
     )
     frequent = (
         placed.groupBy("word").count().orderBy(F.desc("count"), "word").limit(limits.frequent_words)
@@ -106,10 +110,11 @@ def _title_index(titles: DataFrame, share: float, limits: Limits) -> DataFrame:
         F.slice("ranked.word", 1, F.col("take.count")), lambda w: _word_keys(w, "<", ">")
     )
     return (
-        sized.groupBy("title")
+        sized.groupBy(*scope, "title")
         .agg(F.first("words").alias("title_words"), by_rarity.alias("ranked"))
         .withColumn("take", F.explode(taken))
         .select(
+            *scope,
             "title",
             "title_words",
             "take.level",
@@ -118,9 +123,10 @@ def _title_index(titles: DataFrame, share: float, limits: Limits) -> DataFrame:
     )
 
 
-def _query_probes(terms: DataFrame) -> DataFrame:
+def _query_probes(terms: DataFrame, scope: Sequence[str]) -> DataFrame:
     keys = F.transform(F.array_distinct("words"), lambda w: _word_keys(w, ">", "<"))
     return terms.select(
+        *scope,
         F.col("norm").alias("term"),
         F.col("words").alias("term_words"),
         _query_level(F.col("words")).alias("level"),
@@ -144,25 +150,35 @@ def _grams(norm: Column, size: int) -> Column:
     )
 
 
-def _contained(short: DataFrame, long: DataFrame, limits: Limits) -> DataFrame:
+def _contained(
+    short: DataFrame, long: DataFrame, scope: Sequence[str], limits: Limits
+) -> DataFrame:
     """``(short, long)`` pairs where the first text stands inside the second.
 
-    The shorter text is looked up by its rarest piece of three characters. There
-    are fewer than 100,000 such pieces of normalised text, so their counts are
-    safe to broadcast.
+    The shorter text is looked up by its rarest piece of three characters (the text
+    itself if it is shorter than that). There are fewer than 100,000 such pieces of
+    normalised text, so their counts are safe to broadcast.
     """
-    size = limits.min_contained_chars
-    pieces = long.select(F.col("norm").alias("long"), F.explode(_grams(F.col("norm"), size)).alias("gram"))
+    norm = F.col("norm")
+    sizes = range(min(limits.min_contained_chars, 3), 4)
+    pieces = long.select(
+        *scope,
+        norm.alias("long"),
+        F.explode(F.flatten(F.array_compact(F.array(*[_grams(norm, n) for n in sizes])))).alias(
+            "gram"
+        ),
+    )
     counts = pieces.groupBy("gram").count()
+    own_pieces = F.when(F.length("norm") >= 3, _grams(norm, 3)).otherwise(F.array(norm))
     rarest = (
-        short.where(F.length("norm") >= size)
-        .select(F.col("norm").alias("short"), F.explode(_grams(F.col("norm"), size)).alias("gram"))
+        short.where(F.length("norm") >= limits.min_contained_chars)
+        .select(*scope, norm.alias("short"), F.explode(own_pieces).alias("gram"))
         .join(F.broadcast(counts), "gram")
-        .groupBy("short")
+        .groupBy(*scope, "short")
         .agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
     )
-    pairs = skew_join(pieces, rarest, ["gram"], limits)
-    return pairs.where(F.contains("long", F.col("short"))).select("short", "long")
+    pairs = skew_join(pieces, rarest, [*scope, "gram"], limits)
+    return pairs.where(F.contains("long", F.col("short"))).select(*scope, "short", "long")
 
 
 def fuzzy_pairs(
@@ -170,30 +186,34 @@ def fuzzy_pairs(
     titles: DataFrame,
     min_similarity: float,
     inclusive: bool = False,
+    scope: Sequence[str] = (),
     limits: Limits = DEFAULT,
 ) -> DataFrame:
     """``(term, title, similarity)`` of normalised texts above a similarity.
 
-    ``terms`` and ``titles`` come from :func:`norm_texts`. The result is the same as
-    scoring every term against every title, but for texts of one or two characters
-    standing inside a longer one, which are no evidence of a match.
+    ``terms`` and ``titles`` come from :func:`norm_texts`; with ``scope`` columns only
+    texts of the same scope are compared. The result is the same as scoring every
+    term against every title, but for texts of fewer than ``min_contained_chars``
+    characters standing inside a longer one, which are no evidence of a match.
     """
     used_levels = terms.select(_query_level(F.col("words")).alias("level")).distinct()
-    index = _title_index(titles, min_similarity - MAX_BOOST, limits).join(
+    index = _title_index(titles, min_similarity - MAX_BOOST, scope, limits).join(
         F.broadcast(used_levels), "level"
     )
-    scored = skew_join(_query_probes(terms), index, ["key", "level"], limits).select(
+    probes = _query_probes(terms, scope)
+    scored = skew_join(probes, index, [*scope, "key", "level"], limits).select(
+        *scope,
         "term",
         "title",
         norm_similarity(
             F.col("term"), F.col("title"), F.col("term_words"), F.col("title_words")
         ).alias("similarity"),
     )
-    inside = _contained(terms, titles, limits).select(
-        F.col("short").alias("term"), F.col("long").alias("title")
+    inside = _contained(terms, titles, scope, limits).select(
+        *scope, F.col("short").alias("term"), F.col("long").alias("title")
     )
-    around = _contained(titles, terms, limits).select(
-        F.col("long").alias("term"), F.col("short").alias("title")
+    around = _contained(titles, terms, scope, limits).select(
+        *scope, F.col("long").alias("term"), F.col("short").alias("title")
     )
     part = F.least(F.length("term"), F.length("title")) / F.greatest(
         F.length("term"), F.length("title")
@@ -212,7 +232,7 @@ def fuzzy_pairs(
     return (
         scored.where(wanted & ~short_inside)
         .unionByName(held.where(wanted))
-        .groupBy("term", "title")
+        .groupBy(*scope, "term", "title")
         .agg(F.first("similarity").alias("similarity"))
     )
 
@@ -363,7 +383,9 @@ def keyword_episode(requests: DataFrame, listing: DataFrame, limits: Limits = DE
 
 
 def _keyword_order() -> list[Column]:
-    released = F.coalesce(F.unix_micros("release_date"), F.lit(0).cast("bigint"))
+    released = F.coalesce(
+        F.unix_micros(F.col("release_date").cast("timestamp")), F.lit(0).cast("bigint")
+    )
     return [-F.col("score"), -released, F.col("ord")]
 
 
