@@ -28,6 +28,11 @@ def six(value: Column | str) -> Column:
     return F.round(value, 6)
 
 
+def known(name: str) -> Column:
+    """A whole number without nulls: -1 stands for none."""
+    return F.coalesce(name, F.lit(-1)).alias(name)
+
+
 def joined(words: Column) -> Column:
     return F.array_join(words, " ")
 
@@ -225,8 +230,8 @@ def fuzzy_podcast_match(t: Tables) -> DataFrame:
 def validate_pair(t: Tables) -> DataFrame:
     found = resolve.Catalog(inputs.podcasts(t), inputs.episodes(t)).validate(inputs.text_pairs(t))
     return found.select(
-        "podcast_text", "episode_text", "podcast_id",
-        six("podcast_confidence").alias("podcast_confidence"), "episode_id",
+        "podcast_text", "episode_text", known("podcast_id"),
+        six("podcast_confidence").alias("podcast_confidence"), known("episode_id"),
         six("episode_confidence").alias("episode_confidence"), "validated", "confidence",
     )
 
@@ -426,7 +431,8 @@ def speaker_transcript(t: Tables) -> DataFrame:
 def positional_join(t: Tables) -> DataFrame:
     tokens = inputs.clip_items(t).where("pos >= 0")
     return transcript.align_timings(tokens, inputs.timings(t)).select(
-        "clip_id", "word_index", F.regexp_extract("item", r"\S+", 0).alias("token"), "start_ms", "end_ms"
+        "clip_id", "word_index", F.regexp_extract("item", r"\S+", 0).alias("token"),
+        known("start_ms"), known("end_ms"),
     )
 
 
@@ -498,7 +504,10 @@ def map_unpivot(t: Tables) -> DataFrame:
         "doc_id",
         F.create_map(F.lit("quality"), "quality", F.lit("toxic"), "toxic").alias("improvements"),
     )
-    return transcript.unpivot_improvements(rows, "doc_id")
+    return transcript.unpivot_improvements(rows, "doc_id").select(
+        "doc_id", "none_needed", F.coalesce("kind", F.lit("")).alias("kind"),
+        F.coalesce("count", F.lit(0)).alias("count"),
+    )
 
 
 @query
@@ -563,7 +572,10 @@ def timestamp_options(t: Tables) -> DataFrame:
 
 @query
 def override_join(t: Tables) -> DataFrame:
-    return edits.apply_overrides(inputs.resolutions(t), inputs.overrides(t))
+    return edits.apply_overrides(inputs.resolutions(t), inputs.overrides(t)).select(
+        "image_id", known("podcast_id"), "podcast_title", known("episode_id"), "episode_title",
+        "timestamp", "validated",
+    )
 
 
 @query
@@ -613,7 +625,7 @@ def clip_transcript(t: Tables) -> DataFrame:
         "left",
     )
     return clip_plans.clip_transcripts(asked, inputs.feed_items(t), inputs.timed_words(t)).select(
-        "clip_id", "podcast_id", "start_ms", "end_ms", "audio_url", "transcript",
+        "clip_id", known("podcast_id"), "start_ms", "end_ms", "audio_url", "transcript",
         six("confidence").alias("confidence"), "word_count", "source", "mock_reason",
     )
 
@@ -656,7 +668,10 @@ def resolve_image(t: Tables) -> DataFrame:
         screens.select("image_id"), found.candidates, inputs.podcasts(t), inputs.episodes(t)
     )
     return resolved.withColumns(
-        {c: six(c) for c in ("podcast_confidence", "episode_confidence", "confidence")}
+        {
+            **{c: six(c) for c in ("podcast_confidence", "episode_confidence", "confidence")},
+            **{c: known(c) for c in ("podcast_id", "episode_id")},
+        }
     )
 
 
