@@ -48,8 +48,8 @@ class Limits:
     # Our own scale settings; none of them changes a result.
     min_contained_chars: int = 3
     frequent_words: int = 10_000
-    hot_key_rows: int = 20_000
-    hot_keys: int = 1_000
+    hot_pairs: int = 50_000
+    hot_keys: int = 10_000
     max_salt: int = 512
     hot_image_words: int = 100_000
     running_chunk: int = 4_096

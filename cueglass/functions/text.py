@@ -82,20 +82,24 @@ def text_similarity(a: Column, b: Column) -> Column:
     return bind(F.struct(clean(a).alias("x"), clean(b).alias("y")), score)
 
 
-def _exact_matches(words: Column, others: Column) -> Column:
-    return F.aggregate(
-        words, F.lit(0), lambda n, x: n + F.size(F.filter(others, lambda y: y == x))
-    )
+# Both counts of word matches travel in one number: prefix matches above this unit.
+_PART = 1 << 31
 
 
-def _prefix_matches(words: Column, others: Column) -> Column:
-    def related(x: Column, y: Column) -> Column:
-        return (y != x) & (F.length(y) >= 2) & (F.startswith(y, x) | F.startswith(x, y))
+def _count_matches(words: Column, others: Column) -> Column:
+    """Equal pairs plus ``_PART`` times prefix-related pairs, over all pairs of words."""
+    zero = F.lit(0).cast("bigint")
+
+    def weight(x: Column, y: Column) -> Column:
+        related = F.startswith(x, y) | F.startswith(y, x)
+        return (
+            F.when(x == y, 1)
+            .when((F.length(x) >= 2) & (F.length(y) >= 2) & related, _PART)
+            .otherwise(zero)
+        )
 
     return F.aggregate(
-        F.filter(words, lambda x: F.length(x) >= 2),
-        F.lit(0),
-        lambda n, x: n + F.size(F.filter(others, lambda y: related(x, y))),
+        words, zero, lambda n, x: n + F.aggregate(others, zero, lambda m, y: m + weight(x, y))
     )
 
 
@@ -106,26 +110,21 @@ def norm_similarity(n1: Column, n2: Column, w1: Column, w2: Column) -> Column:
     """
 
     def from_counts(m: Column) -> Column:
+        exact, part = m % _PART, F.floor(m / _PART)
         n_search = F.size(w1)
-        base = (m.exact + 0.6 * m.part) / F.greatest(n_search, F.size(w2))
+        base = (exact + 0.6 * part) / F.greatest(n_search, F.size(w2))
         return (
-            F.when((m.exact > 0) & (m.part > 0), F.least(F.lit(1.0), base + 0.15))
-            .when(
-                (m.part > 0) & (0.6 * m.part >= 0.5 * n_search),
-                F.least(F.lit(1.0), base + 0.1),
-            )
+            F.when((exact > 0) & (part > 0), F.least(F.lit(1.0), base + 0.15))
+            .when((part > 0) & (0.6 * part >= 0.5 * n_search), F.least(F.lit(1.0), base + 0.1))
             .otherwise(base)
         )
 
-    counts = F.struct(
-        _exact_matches(w1, w2).alias("exact"), _prefix_matches(w1, w2).alias("part")
-    )
     shorter, longer = F.least(F.length(n1), F.length(n2)), F.greatest(F.length(n1), F.length(n2))
     return (
         F.when(n1.isNull() | n2.isNull(), F.lit(0.0))
         .when(n1 == n2, F.lit(1.0))
         .when(F.contains(n1, n2) | F.contains(n2, n1), 0.8 + 0.2 * (shorter / longer))
-        .otherwise(bind(counts, from_counts))
+        .otherwise(bind(_count_matches(w1, w2), from_counts))
     )
 
 

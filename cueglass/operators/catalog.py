@@ -40,6 +40,7 @@ def norm_texts(df: DataFrame, column: str, scope: Sequence[str] = ()) -> DataFra
         .where(F.col("norm").rlike(r"\S"))
         .distinct()
         .withColumn("words", split_words(F.col("norm")))
+        .withColumn("level", F.least(_most_alike_words(F.col("words")), F.lit(LEVELS)))
     )
 
 
@@ -109,10 +110,13 @@ def _title_index(
     keys = F.transform(
         F.slice("ranked.word", 1, F.col("take.count")), lambda w: _word_keys(w, "<", ">")
     )
+    ranked = cut(
+        sized.groupBy(*scope, "title").agg(
+            F.first("words").alias("title_words"), by_rarity.alias("ranked")
+        )
+    )
     return (
-        sized.groupBy(*scope, "title")
-        .agg(F.first("words").alias("title_words"), by_rarity.alias("ranked"))
-        .withColumn("take", F.explode(taken))
+        ranked.withColumn("take", F.explode(taken))
         .select(
             *scope,
             "title",
@@ -129,22 +133,19 @@ def _query_probes(terms: DataFrame, scope: Sequence[str]) -> DataFrame:
         *scope,
         F.col("norm").alias("term"),
         F.col("words").alias("term_words"),
-        _query_level(F.col("words")).alias("level"),
+        "level",
         F.explode(F.array_distinct(F.flatten(keys))).alias("key"),
     )
 
 
-def _query_level(words: Column) -> Column:
-    return F.least(_most_alike_words(words), F.lit(LEVELS))
-
-
-def _grams(norm: Column, size: int) -> Column:
+def _grams(norm: Column, size: Column) -> Column:
+    """Distinct pieces of ``size`` characters; none for a shorter text."""
     return F.when(
         F.length(norm) >= size,
         F.array_distinct(
             F.transform(
-                F.sequence(F.lit(1), F.length(norm) - (size - 1)),
-                lambda i: F.substring(norm, i, F.lit(size)),
+                F.sequence(F.lit(1), F.length(norm) - size + 1),
+                lambda i: F.substring(norm, i, size),
             )
         ),
     )
@@ -160,27 +161,33 @@ def _contained(
     normalised text, so their counts are safe to broadcast.
     """
     norm = F.col("norm")
-    sizes = range(min(limits.min_contained_chars, 3), 4)
-    pieces = long.select(
-        *scope,
-        norm.alias("long"),
-        F.explode(F.flatten(F.array_compact(F.array(*[_grams(norm, n) for n in sizes])))).alias(
-            "gram"
-        ),
-    )
-    counts = pieces.groupBy("gram").count()
-    own_pieces = F.when(F.length("norm") >= 3, _grams(norm, 3)).otherwise(F.array(norm))
+    own_size = F.least(F.length(norm), F.lit(3)).alias("size")
+    asked = short.where(F.length(norm) >= limits.min_contained_chars).withColumn("size", own_size)
+    sizes = F.broadcast(asked.select("size").distinct())
+    pieces = (
+        long.select(*scope, norm.alias("long"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("size"))
+        .join(sizes, "size")
+        .select(*scope, "long", F.explode(_grams(F.col("long"), F.col("size"))).alias("gram"))
+    )
+    counts = F.broadcast(pieces.groupBy("gram").count())
     rarest = (
-        short.where(F.length("norm") >= limits.min_contained_chars)
-        .select(*scope, norm.alias("short"), F.explode(own_pieces).alias("gram"))
-        .join(F.broadcast(counts), "gram")
+        asked.select(*scope, norm.alias("short"), F.explode(_grams(norm, F.col("size"))).alias("gram"))
+        .join(counts, "gram", "left")
         .groupBy(*scope, "short")
-        .agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
+        .agg(F.min_by("gram", F.struct(F.coalesce("count", F.lit(0)), "gram")).alias("gram"))
     )
-    pairs = skew_join(pieces, rarest, [*scope, "gram"], limits)
+    # Only pieces that some shorter text is looked up by are worth a shuffle.
+    used = F.broadcast(rarest.select("gram").distinct())
+    pairs = pieces.join(used, "gram", "left_semi").join(rarest, [*scope, "gram"])
     return pairs.where(F.contains("long", F.col("short"))).select(*scope, "short", "long")
 
 
+def _spread(texts: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Store texts evenly over all tasks: each one is about to grow a hundredfold."""
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(texts.repartition(tasks, *scope, "norm"))
+
+
 def fuzzy_pairs(
     terms: DataFrame,
     titles: DataFrame,
@@ -196,7 +203,8 @@ def fuzzy_pairs(
     term against every title, but for texts of fewer than ``min_contained_chars``
     characters standing inside a longer one, which are no evidence of a match.
     """
-    used_levels = terms.select(_query_level(F.col("words")).alias("level")).distinct()
+    terms, titles = _spread(terms, scope), _spread(titles, scope)
+    used_levels = terms.select("level").distinct()
     index = _title_index(titles, min_similarity - MAX_BOOST, scope, limits).join(
         F.broadcast(used_levels), "level"
     )

@@ -50,27 +50,38 @@ def skew_join(
     keys: list[str],
     limits: Limits = DEFAULT,
 ) -> DataFrame:
-    """Inner equi-join for keys that repeat on both sides.
-
-    A key held by very many rows of ``many`` is spread over buckets of about
-    ``hot_key_rows`` rows, and the rows of ``few`` with that key are copied into
-    each bucket. The list of such keys is cut at ``hot_keys`` entries, so
-    broadcasting it is safe at any scale; a key that is not listed joins unsalted.
+    """Inner equi-join for keys that repeat on both sides and so meet in many pairs.
+
+    A key with more than ``hot_pairs`` pairs is split: its rows of ``many`` are spread
+    over buckets of about that many pairs and its rows of ``few`` are copied into
+    each bucket. The list of such keys is cut at ``hot_keys`` entries, so broadcasting
+    it is safe at any scale; a key that is not listed joins unsplit. Small rows may
+    meet in very many pairs, so both sides are spread over all shuffle partitions
+    instead of being packed together by size.
     """
-    buckets = F.least(F.ceil(F.col("count") / limits.hot_key_rows), F.lit(limits.max_salt))
+    tasks = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = F.col("_many") * F.col("_few")
+    buckets = F.least(F.ceil(met / limits.hot_pairs), F.col("_many"), F.lit(limits.max_salt))
     hot = F.broadcast(
-        many.groupBy(*keys)
-        .count()
-        .where(F.col("count") > limits.hot_key_rows)
-        .orderBy(F.desc("count"), *keys)
+        many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_many"))
+        .join(few.groupBy(*keys).agg(F.count(F.lit(1)).alias("_few")), keys)
+        .where(met > limits.hot_pairs)
+        .select(*keys, met.alias("_met"), buckets.cast("int").alias("_salts"))
+        .orderBy(F.desc("_met"), *keys)
         .limit(limits.hot_keys)
-        .select(*keys, buckets.cast("int").alias("_salts"))
+        .drop("_met")
     )
     spread = F.pmod(F.xxhash64(*many.columns), F.col("_salts")).cast("int")
     left = many.join(hot, keys, "left").withColumn("_salt", F.coalesce(spread, F.lit(0)))
     copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
     right = few.join(hot, keys, "left").withColumn("_salt", F.explode(copies))
-    return left.drop("_salts").join(right.drop("_salts"), [*keys, "_salt"]).drop("_salt")
+    on = [*keys, "_salt"]
+    return (
+        left.drop("_salts")
+        .repartition(tasks, *on)
+        .join(right.drop("_salts").repartition(tasks, *on), on)
+        .drop("_salt")
+    )
 
 
 def running_total(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from cueglass.config import DEFAULT, Limits
 from cueglass.functions.text import non_empty, plain_spaces, title_norm, trim_blank
 from cueglass.functions.timefmt import file_size_mb
 from cueglass.operators.catalog import fuzzy_pairs, norm_texts
-from cueglass.operators.scale import first_by
+from cueglass.operators.scale import cut, first_by
 
 
 def read_image_files(spark: SparkSession, path: str) -> DataFrame:
@@ -143,32 +145,28 @@ def first_similar_items(
     podcast, so a feed with very many items is not compared item by item. Texts without
     a letter or digit count as contained in any other text.
     """
-    exact = Limits(**{**limits.__dict__, "min_contained_chars": 1})
-    asked = requests.select("podcast_id", "term", title_norm(F.col("term")).alias("n"))
+    exact = replace(limits, min_contained_chars=1)
+    asked = cut(requests.select("podcast_id", "term", title_norm(F.col("term")).alias("n")))
     named = items.where(F.length("title") > 0).withColumn("m", title_norm(F.col("title")))
+    # Copies of a text are one text: only its first item can be the answer.
+    per_text = cut(first_by(named, ["podcast_id", "m"], [F.col("pos")]))
     pairs = fuzzy_pairs(
-        norm_texts(requests, "term", ["podcast_id"]),
-        norm_texts(named, "title", ["podcast_id"]),
+        norm_texts(asked, "term", ["podcast_id"]),
+        norm_texts(per_text, "title", ["podcast_id"]),
         limits.feed_item_similarity,
         scope=["podcast_id"],
         limits=exact,
     ).select("podcast_id", F.col("term").alias("n"), F.col("title").alias("m"))
-    fields = ["pos", "title", "url", "type", "length"]
-    per_text = first_by(named, ["podcast_id", "m"], [F.col("pos")])
-    blank = ~F.col("m").rlike(r"\S")
-    any_item = first_by(named.drop("m"), ["podcast_id"], [F.col("pos")])
-    blank_item = first_by(named.where(blank).drop("m"), ["podcast_id"], [F.col("pos")])
+    fields = ["podcast_id", "term", "pos", "title", "url", "type", "length"]
+    has_word = lambda name: F.col(name).rlike(r"\S")
+    any_item = first_by(per_text.drop("m"), ["podcast_id"], [F.col("pos")])
+    blank_item = first_by(per_text.where(~has_word("m")).drop("m"), ["podcast_id"], [F.col("pos")])
     hits = (
-        asked.join(pairs, ["podcast_id", "n"]).join(per_text, ["podcast_id", "m"])
-        .select("podcast_id", "term", *fields)
-        .unionByName(
-            asked.where(F.col("n").rlike(r"\S")).join(blank_item, "podcast_id")
-            .select("podcast_id", "term", *fields)
-        )
-        .unionByName(
-            asked.where(~F.col("n").rlike(r"\S")).join(any_item, "podcast_id")
-            .select("podcast_id", "term", *fields)
-        )
+        asked.join(pairs, ["podcast_id", "n"])
+        .join(per_text, ["podcast_id", "m"])
+        .select(*fields)
+        .unionByName(asked.where(has_word("n")).join(blank_item, "podcast_id").select(*fields))
+        .unionByName(asked.where(~has_word("n")).join(any_item, "podcast_id").select(*fields))
     )
     return first_by(hits, ["podcast_id", "term"], [F.col("pos")])
 

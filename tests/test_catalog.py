@@ -41,7 +41,7 @@ def brute_force(spark, terms, titles, low, inclusive):
 
 
 @pytest.mark.parametrize("low,inclusive", [(0.7, False), (0.85, True), (0.5, False), (0.0, False)])
-@pytest.mark.parametrize("limits", [Limits(), Limits(hot_key_rows=3, hot_keys=5, frequent_words=4)])
+@pytest.mark.parametrize("limits", [Limits(), Limits(hot_pairs=30, hot_keys=5, frequent_words=4)])
 def test_fuzzy_pairs_lose_nothing(spark, low, inclusive, limits):
     terms, titles = texts(1, 150), texts(2, 200)
     t = spark.createDataFrame([(x,) for x in terms], "term string")
