@@ -40,7 +40,10 @@ def norm_texts(df: DataFrame, column: str, scope: Sequence[str] = ()) -> DataFra
         .where(F.col("norm").rlike(r"\S"))
         .distinct()
         .withColumn("words", split_words(F.col("norm")))
-        .withColumn("level", F.least(_most_alike_words(F.col("words")), F.lit(LEVELS)))
+        .withColumn("all_starts", F.transform("words", lambda w: F.substring(w, 1, 2)))
+        .withColumn("starts", F.array_distinct("all_starts"))
+        .withColumn("level", F.least(_most_repeats("starts", "all_starts"), F.lit(LEVELS)))
+        .drop("all_starts")
     )
 
 
@@ -67,18 +70,17 @@ def _word_keys(word: Column, whole_in: str, starts_in: str) -> Column:
     )
 
 
-def _most_alike_words(words: Column) -> Column:
-    """How often the most frequent word start (first two characters) occurs."""
-    starts = F.transform(words, lambda w: F.substring(w, 1, 2))
+def _most_repeats(distinct: str, values: str) -> Column:
+    """How often the most frequent value occurs."""
     return F.array_max(
-        F.transform(F.array_distinct(starts), lambda s: F.size(F.filter(starts, lambda y: y == s)))
+        F.transform(distinct, lambda s: F.size(F.filter(values, lambda y: y == s)))
     )
 
 
 def _title_index(
     titles: DataFrame, share: float, scope: Sequence[str], limits: Limits
 ) -> DataFrame:
-    """Index rows ``(key, level, title, title_words)`` over the rare words of titles.
+    """Index rows ``(key, level, title, title_side)`` over the rare words of titles.
 
     A pair is only accepted if matched words make up more than ``share`` of the
     longer text. One title word matches at most ``level`` query words when the query
@@ -88,7 +90,10 @@ def _title_index(
     so the list of frequent words is cut to a fixed length and broadcast.
     """
     placed = titles.select(
-        *scope, F.col("norm").alias("title"), "words", F.posexplode("words").alias("pos", "word")
+        *scope,
+        F.col("norm").alias("title"),
+        F.struct("words", "starts", "level").alias("title_side"),
+        F.posexplode("words").alias("pos", "word"),
     )
     frequent = (
         placed.groupBy("word").count().orderBy(F.desc("count"), "word").limit(limits.frequent_words)
@@ -97,7 +102,7 @@ def _title_index(
     by_rarity = F.array_sort(
         F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word", "pos"))
     )
-    n = F.size("title_words")
+    n = F.size("title_side.words")
 
     def words_for(level: int) -> Column:
         if share <= 0 or level == LEVELS:
@@ -112,7 +117,7 @@ def _title_index(
     )
     ranked = cut(
         sized.groupBy(*scope, "title").agg(
-            F.first("words").alias("title_words"), by_rarity.alias("ranked")
+            F.first("title_side").alias("title_side"), by_rarity.alias("ranked")
         )
     )
     return (
@@ -120,19 +125,30 @@ def _title_index(
         .select(
             *scope,
             "title",
-            "title_words",
+            "title_side",
             "take.level",
             F.explode(F.array_distinct(F.flatten(keys))).alias("key"),
         )
     )
 
 
+def _can_reach(share: float) -> Column:
+    """Cheap test before scoring: are enough word starts shared to reach ``share``?
+
+    Words only match within a start, and a start holds at most ``level`` words a side.
+    """
+    a, b = F.col("term_side"), F.col("title_side")
+    shared = F.size(F.array_intersect(a.starts, b.starts)) * a.level * b.level
+    longer = F.greatest(F.size(a.words), F.size(b.words))
+    return (a.level == LEVELS) | (b.level == LEVELS) | (shared > share * longer - SLACK)
+
+
 def _query_probes(terms: DataFrame, scope: Sequence[str]) -> DataFrame:
     keys = F.transform(F.array_distinct("words"), lambda w: _word_keys(w, ">", "<"))
     return terms.select(
         *scope,
         F.col("norm").alias("term"),
-        F.col("words").alias("term_words"),
+        F.struct("words", "starts", "level").alias("term_side"),
         "level",
         F.explode(F.array_distinct(F.flatten(keys))).alias("key"),
     )
@@ -209,12 +225,13 @@ def fuzzy_pairs(
         F.broadcast(used_levels), "level"
     )
     probes = _query_probes(terms, scope)
-    scored = skew_join(probes, index, [*scope, "key", "level"], limits).select(
+    met = skew_join(probes, index, [*scope, "key", "level"], limits)
+    scored = met.where(_can_reach(min_similarity - MAX_BOOST)).select(
         *scope,
         "term",
         "title",
         norm_similarity(
-            F.col("term"), F.col("title"), F.col("term_words"), F.col("title_words")
+            F.col("term"), F.col("title"), F.col("term_side.words"), F.col("title_side.words")
         ).alias("similarity"),
     )
     inside = _contained(terms, titles, scope, limits).select(

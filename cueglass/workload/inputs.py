@@ -27,7 +27,7 @@ def part_title() -> Column:
 
 def noisy_title(title: Column) -> Column:
     """As a screen may show it: a lost digit, or the first word scrolled away."""
-    return F.when(F.length(title) % 2 == 0, F.regexp_replace(title, r"\d ", " ")).otherwise(
+    return F.when(F.length(title) % 2 == 0, F.regexp_replace(title, r"(\d)\d ", "$1 ")).otherwise(
         F.regexp_replace(title, r"^\S+ ", "")
     )
 
@@ -224,7 +224,7 @@ def player_words(t: Tables) -> DataFrame:
         .select("*", F.posexplode(F.split("s.text", " ")).alias("pos", "word"))
     )
     x = F.col("pos") * 300
-    y = F.col("l_linenumber") * 220 + F.col("s.line") * 70
+    y = F.col("l_linenumber") * 2600 + F.col("l_partkey") % 12 * 210 + F.col("s.line") * 70
     right = x + F.length("word") * 14
     return words.select(
         F.col("l_orderkey").alias("image_id"),
@@ -239,20 +239,18 @@ def player_words(t: Tables) -> DataFrame:
     )
 
 
-def player_texts(t: Tables) -> DataFrame:
+def player_texts(words: DataFrame) -> DataFrame:
     """Full text of each player screen; orders without items show nothing."""
-    words = F.array_sort(F.collect_list(F.struct("word_idx", "text")))
-    return (
-        player_words(t)
-        .groupBy("image_id")
-        .agg(F.array_join(F.transform(words, lambda w: w.text), " ").alias("full_text"))
+    ordered = F.array_sort(F.collect_list(F.struct("word_idx", "text")))
+    return words.groupBy("image_id").agg(
+        F.array_join(F.transform(ordered, lambda w: w.text), " ").alias("full_text")
     )
 
 
 def player_screens(t: Tables) -> DataFrame:
     return t.orders.select(
         F.col("o_orderkey").alias("image_id"),
-        F.when(F.col("o_orderstatus") != "F", F.lit(2000)).alias("height"),
+        F.when(F.col("o_orderstatus") != "F", F.lit(20000)).alias("height"),
     )
 
 

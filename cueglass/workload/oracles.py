@@ -30,7 +30,7 @@ def norm(x: str) -> str:
 
 def noisy(x: str) -> str:
     return (
-        rf"CASE WHEN length({x}) % 2 = 0 THEN regexp_replace({x}, '\d ', ' ', 'g') "
+        rf"CASE WHEN length({x}) % 2 = 0 THEN regexp_replace({x}, '(\d)\d ', '\1 ', 'g') "
         rf"ELSE regexp_replace({x}, '^\S+ ', '', 'g') END"
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cueglass.functions import screen, text, timefmt
 from cueglass.operators import catalog, edits, layout, pairs, selection, transcript
-from cueglass.operators.scale import first_by, top_per_group
+from cueglass.operators.scale import cut, first_by, top_per_group
 from cueglass.plans import clips as clip_plans
 from cueglass.plans import extract, quotes, resolve
 from cueglass.sources import readers
@@ -219,7 +219,7 @@ def fuzzy_episode_match(t: Tables) -> DataFrame:
 
 @query
 def fuzzy_podcast_match(t: Tables) -> DataFrame:
-    found = resolve.Catalog(inputs.podcasts(t), inputs.episodes(t)).fuzzy_podcasts(inputs.text_pairs(t))
+    found = resolve.Catalog(cut(inputs.podcasts(t)), inputs.episodes(t)).fuzzy_podcasts(inputs.text_pairs(t))
     return found.select(
         "podcast_text", "episode_text", "podcast_id", six("similarity").alias("similarity"),
         "episode_id", six("episode_confidence").alias("episode_confidence"),
@@ -228,7 +228,7 @@ def fuzzy_podcast_match(t: Tables) -> DataFrame:
 
 @query
 def validate_pair(t: Tables) -> DataFrame:
-    found = resolve.Catalog(inputs.podcasts(t), inputs.episodes(t)).validate(inputs.text_pairs(t))
+    found = resolve.Catalog(cut(inputs.podcasts(t)), inputs.episodes(t)).validate(inputs.text_pairs(t))
     return found.select(
         "podcast_text", "episode_text", known("podcast_id"),
         six("podcast_confidence").alias("podcast_confidence"), known("episode_id"),
@@ -606,7 +606,7 @@ def podcast_details(t: Tables) -> DataFrame:
 
 @query
 def first_match_above_threshold(t: Tables) -> DataFrame:
-    found = readers.first_similar_items(inputs.episode_terms(t), inputs.feed_items(t))
+    found = readers.first_similar_items(cut(inputs.episode_terms(t)), inputs.feed_items(t))
     return found.select("podcast_id", "term", F.col("pos").alias("episode_id"), "title")
 
 
@@ -651,8 +651,9 @@ def quote_export(t: Tables) -> DataFrame:
 
 
 def _layout(t: Tables) -> tuple[DataFrame, DataFrame, extract.Extraction]:
-    screens, texts = inputs.player_screens(t), inputs.player_texts(t)
-    return screens, texts, extract.extract_layout(screens, inputs.player_words(t), texts)
+    words = cut(inputs.player_words(t))
+    screens, texts = inputs.player_screens(t), inputs.player_texts(words)
+    return screens, texts, extract.extract_layout(screens, words, texts)
 
 
 @query
@@ -665,7 +666,7 @@ def extract_candidates(t: Tables) -> DataFrame:
 def resolve_image(t: Tables) -> DataFrame:
     screens, _, found = _layout(t)
     resolved = resolve.resolve_images(
-        screens.select("image_id"), found.candidates, inputs.podcasts(t), inputs.episodes(t)
+        screens.select("image_id"), found.candidates, cut(inputs.podcasts(t)), inputs.episodes(t)
     )
     return resolved.withColumns(
         {
@@ -679,7 +680,7 @@ def resolve_image(t: Tables) -> DataFrame:
 def extract_records(t: Tables) -> DataFrame:
     screens, texts, found = _layout(t)
     resolved = resolve.resolve_images(
-        screens.select("image_id"), found.candidates, inputs.podcasts(t), inputs.episodes(t)
+        screens.select("image_id"), found.candidates, cut(inputs.podcasts(t)), inputs.episodes(t)
     )
     records = resolve.extraction_records(
         screens, texts, found.timestamps, extract.candidate_lists(found.candidates), resolved
