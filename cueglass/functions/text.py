@@ -130,10 +130,16 @@ def norm_similarity(n1: Column, n2: Column, w1: Column, w2: Column) -> Column:
 
 def title_similarity(search: Column, title: Column) -> Column:
     """The main scorer: equality, containment, then counted word matches."""
+
+    def with_words(t: Column) -> Column:
+        sides = F.struct(
+            t.a.alias("a"), t.b.alias("b"),
+            split_words(t.a).alias("a_words"), split_words(t.b).alias("b_words"),
+        )
+        return bind(sides, lambda s: norm_similarity(s.a, s.b, s.a_words, s.b_words))
+
     texts = F.struct(title_norm(search).alias("a"), title_norm(title).alias("b"))
-    return bind(
-        texts, lambda t: norm_similarity(t.a, t.b, split_words(t.a), split_words(t.b))
-    )
+    return bind(texts, with_words)
 
 
 def ranked_keywords(text: Column, limit: int = 8) -> Column:
@@ -146,7 +152,7 @@ def ranked_keywords(text: Column, limit: int = 8) -> Column:
     words = F.filter(
         split_words(cleaned), lambda w: (F.length(w) >= 2) & ~w.isin(RANKED_STOP_WORDS)
     )
-    placed = F.array_sort(
+    placed = F.sort_array(
         F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("pos")))
     )
 
@@ -163,7 +169,7 @@ def ranked_keywords(text: Column, limit: int = 8) -> Column:
             )
 
         return F.transform(
-            F.slice(F.array_sort(F.transform(s, key)), 1, limit), lambda k: k.word
+            F.slice(F.sort_array(F.transform(s, key)), 1, limit), lambda k: k.word
         )
 
     return bind(placed, rank)
@@ -181,6 +187,11 @@ def _prefix_related(keyword: Column, words: Column) -> Column:
     return F.exists(words, lambda w: F.startswith(w, keyword) | F.startswith(keyword, w))
 
 
+def _match_sides(title: Column, keywords: Column) -> Column:
+    low = F.lower(title)
+    return F.struct(low.alias("low"), split_words(low).alias("words"), keywords.alias("keys"))
+
+
 def keyword_match(title: Column, keywords: Column) -> Column:
     """Struct of ``exact``, ``part`` (keyword arrays), ``score`` and ``matched``.
 
@@ -189,8 +200,9 @@ def keyword_match(title: Column, keywords: Column) -> Column:
 
     def lists(t: Column) -> Column:
         return F.struct(
-            F.filter(keywords, lambda k: F.contains(t.low, k)).alias("exact"),
-            F.filter(keywords, lambda k: _prefix_related(k, t.words)).alias("part"),
+            F.filter(t["keys"], lambda k: F.contains(t.low, k)).alias("exact"),
+            F.filter(t["keys"], lambda k: _prefix_related(k, t.words)).alias("part"),
+            F.size(t["keys"]).alias("n"),
         )
 
     def result(m: Column) -> Column:
@@ -198,14 +210,13 @@ def keyword_match(title: Column, keywords: Column) -> Column:
         return F.struct(
             m.exact.alias("exact"),
             m.part.alias("part"),
-            F.when(F.size(keywords) > 0, total / F.size(keywords)).alias("score"),
+            F.when(m.n > 0, total / m.n).alias("score"),
             F.concat(
                 m.exact, F.filter(m.part, lambda k: ~F.array_contains(m.exact, k))
             ).alias("matched"),
         )
 
-    low = F.struct(F.lower(title).alias("low"), split_words(F.lower(title)).alias("words"))
-    return bind(bind(low, lists), result)
+    return bind(bind(_match_sides(title, keywords), lists), result)
 
 
 def keyword_score(title: Column, keywords: Column) -> Column:
@@ -213,16 +224,15 @@ def keyword_score(title: Column, keywords: Column) -> Column:
 
     def score(t: Column) -> Column:
         hits = F.aggregate(
-            keywords,
+            t["keys"],
             F.lit(0.0),
             lambda acc, k: acc
             + F.contains(t.low, k).cast("double")
             + 0.5 * _prefix_related(k, t.words).cast("double"),
         )
-        return F.when(F.size(keywords) > 0, hits / F.size(keywords))
+        return F.when(F.size(t["keys"]) > 0, hits / F.size(t["keys"]))
 
-    low = F.struct(F.lower(title).alias("low"), split_words(F.lower(title)).alias("words"))
-    return bind(low, score)
+    return bind(_match_sides(title, keywords), score)
 
 
 def keyword_confidence(score: Column) -> Column:

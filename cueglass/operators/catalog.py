@@ -99,7 +99,7 @@ def _title_index(
         placed.groupBy("word").count().orderBy(F.desc("count"), "word").limit(limits.frequent_words)
     )
     sized = placed.join(F.broadcast(frequent), "word", "left")
-    by_rarity = F.array_sort(
+    by_rarity = F.sort_array(
         F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word", "pos"))
     )
     n = F.size("title_side.words")
@@ -333,7 +333,7 @@ def episode_listing(episodes: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     order = [F.desc_nulls_last("release_date"), F.col("episode_id")]
     page = top_per_group(episodes, ["podcast_id"], order, limits.episode_page)
     return page.groupBy("podcast_id").agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.struct(F.col("rank").alias("ord"), "episode_id", "title", "release_date"))
         ).alias("listing")
     )
@@ -356,11 +356,10 @@ def _scored(requests: DataFrame, listing: DataFrame) -> DataFrame:
             "_w", split_words(F.col("_n"))
         ),
         listing,
-    ).withColumn("_m", title_norm(F.col("title")))
+    ).withColumn("_m", title_norm(F.col("title"))).withColumn("_v", split_words(F.col("_m")))
     return rows.withColumn(
-        "similarity",
-        norm_similarity(F.col("_n"), F.col("_m"), F.col("_w"), split_words(F.col("_m"))),
-    ).drop("_n", "_w", "_m")
+        "similarity", norm_similarity(F.col("_n"), F.col("_m"), F.col("_w"), F.col("_v"))
+    ).drop("_n", "_w", "_m", "_v")
 
 
 def best_match(requests: DataFrame, listing: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def _multi_speaker(utterances: DataFrame) -> DataFrame:
 
 def speaker_text(utterances: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """``(clip_id, text)``: one text per clip with a paragraph per change of speaker."""
-    pieces = F.array_sort(F.collect_list(F.struct("seq", "piece")))
+    pieces = F.sort_array(F.collect_list(F.struct("seq", "piece")))
     return (
         _with_breaks(utterances, limits)
         .groupBy("clip_id")

@@ -47,7 +47,7 @@ def clip_transcripts(
         F.col("audio_url").isNotNull() & non_empty(F.col("timestamp")).isNotNull()
     )
     sliced = slice_clips(ready.select("clip_id", "episode_id", "start_ms", "end_ms"), words, limits)
-    ordered = F.array_sort(F.collect_list(F.struct("word_index", "text", "confidence")))
+    ordered = F.sort_array(F.collect_list(F.struct("word_index", "text", "confidence")))
     texts = sliced.groupBy("clip_id").agg(
         F.array_join(F.transform(ordered, lambda w: w.text), " ").alias("transcript"),
         F.avg("confidence").alias("confidence"),

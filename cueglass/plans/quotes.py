@@ -21,7 +21,7 @@ def block_texts(items: DataFrame, selections: DataFrame, limits: Limits = DEFAUL
     words = items.where(F.col("pos") >= 0).select("clip_id", "word_index")
     real = selections.join(words, ["clip_id", "word_index"], "left_semi")
     placed = items.join(with_block(real, limits), ["clip_id", "word_index"])
-    pieces = F.array_sort(F.collect_list(F.struct("word_index", "seq", "pos", "item")))
+    pieces = F.sort_array(F.collect_list(F.struct("word_index", "seq", "pos", "item")))
     return placed.groupBy("clip_id", "block").agg(
         F.min("word_index").alias("start_index"),
         F.max("word_index").alias("end_index"),
@@ -44,7 +44,7 @@ def export_quotes(
     word; if either is missing, from the request.
     """
     blocks = block_texts(items, selections, limits)
-    ordered = F.array_sort(F.collect_list(F.struct("start_index", "text")))
+    ordered = F.sort_array(F.collect_list(F.struct("start_index", "text")))
     chosen = blocks.groupBy("clip_id").agg(
         F.min("start_index").alias("first_word"),
         F.max("end_index").alias("last_word"),
@@ -75,7 +75,7 @@ def export_quotes(
 def export_requests(quotes: DataFrame) -> DataFrame:
     """``(request_id, text)``: the quotes of a request (at most five files) in file
     order, two blank lines between them. ``quotes`` has request_id and file_index."""
-    ordered = F.array_sort(F.collect_list(F.struct("file_index", "quote")))
+    ordered = F.sort_array(F.collect_list(F.struct("file_index", "quote")))
     return quotes.groupBy("request_id").agg(
         F.array_join(F.transform(ordered, lambda q: q.quote), "\n\n\n").alias("text")
     )

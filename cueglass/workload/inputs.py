@@ -145,7 +145,7 @@ def feed_xml(t: Tables) -> DataFrame:
         ),
     ).otherwise("")
     item = F.concat(F.lit("<item><title>"), F.col("title"), F.lit("</title>"), enclosure, F.lit("</item>"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", item.alias("item"))))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", item.alias("item"))))
     return (
         feed_items(t)
         .groupBy("podcast_id")
@@ -241,7 +241,7 @@ def player_words(t: Tables) -> DataFrame:
 
 def player_texts(words: DataFrame) -> DataFrame:
     """Full text of each player screen; orders without items show nothing."""
-    ordered = F.array_sort(F.collect_list(F.struct("word_idx", "text")))
+    ordered = F.sort_array(F.collect_list(F.struct("word_idx", "text")))
     return words.groupBy("image_id").agg(
         F.array_join(F.transform(ordered, lambda w: w.text), " ").alias("full_text")
     )

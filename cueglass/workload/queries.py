@@ -150,7 +150,7 @@ def podcast_search(t: Tables) -> DataFrame:
 @query
 def podcast_suggestions(t: Tables) -> DataFrame:
     found = catalog.search_podcasts(inputs.podcast_terms(t), inputs.podcasts(t)).where("rank <= 3")
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "podcast_id")))
+    ordered = F.sort_array(F.collect_list(F.struct("rank", "podcast_id")))
     ids = F.transform(ordered, lambda s: s.podcast_id.cast("string"))
     return found.groupBy("term").agg(joined(ids).alias("suggestions"))
 
