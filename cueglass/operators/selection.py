@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,20 +50,28 @@ def apply_event(selected: set[int], op: str, start: int, end: int | None) -> Non
         selected.difference_update(range(max(low, first), min(high, last) + 1))
 
 
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by clip and seq; keeps one selection at a time, never the events."""
-    clip, selected = None, set()
+    clip, selected, clip_type = None, set(), None
+
+    def rows(clips: list, words: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(clips, clip_type), pa.array(words, pa.int32())], ["clip_id", "word_index"]
+        )
+
     for batch in batches:
+        clip_type = batch.schema.field("clip_id").type
         clips, words = [], []
-        end = batch["to_index"].astype("object").where(batch["to_index"].notna(), None)
-        for row_clip, op, start, stop in zip(batch["clip_id"], batch["op"], batch["from_index"], end):
+        fields = ("clip_id", "op", "from_index", "to_index")
+        for row_clip, op, start, stop in zip(*(batch.column(f).to_pylist() for f in fields)):
             if row_clip != clip:
                 clips += [clip] * len(selected)
                 words += sorted(selected)
                 clip, selected = row_clip, set()
-            apply_event(selected, op, int(start), None if stop is None else int(stop))
-        yield pd.DataFrame({"clip_id": clips, "word_index": words})
-    yield pd.DataFrame({"clip_id": [clip] * len(selected), "word_index": sorted(selected)})
+            apply_event(selected, op, start, stop)
+        yield rows(clips, words)
+    if selected:
+        yield rows([clip] * len(selected), sorted(selected))
 
 
 def fold_events(events: DataFrame) -> DataFrame:
@@ -77,7 +85,7 @@ def fold_events(events: DataFrame) -> DataFrame:
         events.select("clip_id", "seq", "op", "from_index", "to_index")
         .repartition("clip_id")
         .sortWithinPartitions("clip_id", "seq")
-        .mapInPandas(_fold, f"clip_id {clip_type}, word_index int")
+        .mapInArrow(_fold, f"clip_id {clip_type}, word_index int")
     )
 
 

@@ -10,6 +10,10 @@ from cueglass.functions.text import non_empty
 from cueglass.operators.transcript import add_window, slice_clips
 from cueglass.sources.readers import audio_urls
 
+# Where a transcript comes from, and why there is none.
+SPOKEN, STAND_IN = "assemblyai", "mock"
+NO_AUDIO, NO_TRANSCRIPT = "Audio URL not available", "AssemblyAI generation failed"
+
 
 def clip_words(requests: DataFrame, words: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """Timed words of each request with ``word_index`` counted from the clip's start."""
@@ -67,9 +71,9 @@ def clip_transcripts(
         F.coalesce("transcript", F.lit("")).alias("transcript"),
         F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
         F.coalesce("word_count", F.lit(0)).alias("word_count"),
-        F.when(has_text, "assemblyai").otherwise("mock").alias("source"),
+        F.when(has_text, SPOKEN).otherwise(STAND_IN).alias("source"),
         F.when(has_text, None)
-        .when(F.col("audio_url").isNull(), "Audio URL not available")
-        .otherwise("AssemblyAI generation failed")
+        .when(F.col("audio_url").isNull(), NO_AUDIO)
+        .otherwise(NO_TRANSCRIPT)
         .alias("mock_reason"),
     )
