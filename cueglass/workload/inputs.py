@@ -218,8 +218,11 @@ def player_words(t: Tables) -> DataFrame:
         F.struct(F.lit(1).alias("line"), F.lit(56).alias("h"), noisy_title(F.col("podcast_title")).alias("text")),
         F.struct(F.lit(2).alias("line"), F.lit(30).alias("h"), clock.alias("text")),
     )
+    items = _named_items(t).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "podcast_title", "title"
+    )
     words = (
-        _named_items(t)
+        items.distinct()
         .withColumn("s", F.explode(shown))
         .select("*", F.posexplode(F.split("s.text", " ")).alias("pos", "word"))
     )
@@ -385,9 +388,9 @@ def timings(t: Tables) -> DataFrame:
 
 
 def selections(t: Tables) -> DataFrame:
-    """Three of five words of every clip, in changing runs."""
+    """The words of more than three characters of every clip, in runs of all lengths."""
     words = clip_items(t).where(F.col("pos") >= 0)
-    return words.where((F.col("word_index") * 7 + F.col("clip_id")) % 5 < 3).select("clip_id", "word_index")
+    return words.where(F.length(F.regexp_extract("item", r"\S+", 0)) > 3).select("clip_id", "word_index")
 
 
 def clips(t: Tables) -> DataFrame:

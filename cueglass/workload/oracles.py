@@ -397,10 +397,13 @@ words AS (
     length(text) * 10 AS width, 20 + l_partkey % 5 * 8 AS height
   FROM placed_words)"""
 
-ORACLES["line_grouping"] = rf"""WITH RECURSIVE {WORDS},
-seq AS (
+
+
+def folded(source: str) -> str:
+    """Recursive CTEs ending in ``fold``: each word of ``source`` with its ``line_key``."""
+    return rf"""seq AS (
   SELECT image_id, word_idx, y0::DOUBLE AS y, height::DOUBLE AS h, regexp_matches(text, '^[^\w\s]+$') AS mark,
-    row_number() OVER (PARTITION BY image_id ORDER BY word_idx) AS rn FROM words),
+    row_number() OVER (PARTITION BY image_id ORDER BY word_idx) AS rn FROM {source}),
 fold AS (
   SELECT image_id, 0::BIGINT AS rn, NULL::BIGINT AS word_idx, NULL::BIGINT AS line_key,
     []::STRUCT(y DOUBLE, h DOUBLE, n INTEGER, k BIGINT)[] AS lines
@@ -414,7 +417,10 @@ fold AS (
   FROM (
     SELECT s.*, f.lines, list_position(list_transform(f.lines, lambda l: abs(l.y - s.y) < 18 AND (s.mark
       OR least(s.h, l.h / l.n) / greatest(s.h, l.h / l.n) >= 0.8)), true) AS p
-    FROM fold f JOIN seq s ON s.image_id = f.image_id AND s.rn = f.rn + 1))
+    FROM fold f JOIN seq s ON s.image_id = f.image_id AND s.rn = f.rn + 1))"""
+
+
+ORACLES["line_grouping"] = f"""WITH RECURSIVE {WORDS}, {folded('words')}
 SELECT image_id, word_idx, line_key FROM fold WHERE rn > 0"""
 
 ORACLES["line_rollup"] = f"""{with_(WORDS)}
@@ -531,6 +537,156 @@ SELECT image_id, ord, line_key, text, round(score, 6) AS score FROM (
   SELECT id AS image_id, n AS line_key, shown AS text, score,
     row_number() OVER (PARTITION BY id ORDER BY score DESC, n) AS ord FROM s) WHERE ord <= 8"""
 
+PLAYER_WORDS = f"""screen_items AS (
+  SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, podcast_title, title FROM named_items),
+shown_lines AS (
+  SELECT l_orderkey AS image_id, {LINE_ORDER} * 10 + line * 20 AS first_idx, text, h,
+    l_linenumber * 2600 + l_partkey % 12 * 210 + line * 70 AS y0
+  FROM (SELECT *, 0 AS line, 60 AS h, title AS text FROM screen_items
+    UNION ALL SELECT *, 1, 56, {noisy('podcast_title')} FROM screen_items
+    UNION ALL SELECT *, 2, 30, (l_partkey % 60)::VARCHAR || ':' || lpad((l_suppkey % 60)::VARCHAR, 2, '0')
+      FROM screen_items)),
+player_words AS (
+  SELECT image_id, first_idx + pos AS word_idx, text, pos * 300 AS x0, y0, length(text) * 14 AS width, h AS height
+  FROM (SELECT * EXCLUDE (text), unnest(w) AS text, generate_subscripts(w, 1) - 1 AS pos
+    FROM (SELECT *, string_split(text, ' ') AS w FROM shown_lines)))"""
+
+PLAYER_LINES = f"""screen_lines AS (
+  SELECT *, {trim('lower(text)')} AS low, {trim('text')} AS shown FROM (
+    SELECT image_id, line_key, string_agg(text, ' ' ORDER BY x0, word_idx) AS text, arg_min(y0, word_idx) AS avg_y,
+      avg(width * height) AS avg_area, count(*) AS word_count
+    FROM fold JOIN player_words USING (image_id, word_idx) GROUP BY image_id, line_key)),
+sized_lines AS (
+  SELECT l.*, CASE WHEN o_orderstatus <> 'F' THEN 20000 END AS height,
+    min(avg_y) OVER (PARTITION BY image_id) AS lo, max(avg_y) OVER (PARTITION BY image_id) AS hi
+  FROM screen_lines l JOIN orders ON o_orderkey = image_id),
+flagged AS (
+  SELECT image_id, line_key,
+    avg_y BETWEEN height * 0.45::DOUBLE AND height * 0.875::DOUBLE AND avg_area <= 50000 AS a,
+    avg_y BETWEEN height * 0.08::DOUBLE AND height * 0.20::DOUBLE AND avg_area <= 5000 AS j,
+    avg_y BETWEEN height * 0.08::DOUBLE AND height * 0.20::DOUBLE AND avg_area <= 5000 AS u,
+    avg_y BETWEEN height * 0.05::DOUBLE AND height AND avg_area <= 10000 AS r
+  FROM sized_lines WHERE height IS NOT NULL
+  UNION ALL
+  SELECT image_id, line_key,
+    avg_y BETWEEN lo + (hi - lo) * 0.50::DOUBLE AND lo + (hi - lo) * 1.00::DOUBLE AND avg_area <= 50000,
+    avg_y BETWEEN lo + (hi - lo) * 0.20::DOUBLE AND lo + (hi - lo) * 0.50::DOUBLE AND avg_area <= 5000,
+    avg_y BETWEEN lo + (hi - lo) * 0.10::DOUBLE AND lo + (hi - lo) * 0.20::DOUBLE AND avg_area <= 5000,
+    avg_y BETWEEN lo + (hi - lo) * 0.15::DOUBLE AND hi - (hi - lo) * 0.05::DOUBLE AND avg_area <= 10000
+  FROM sized_lines WHERE height IS NULL),
+{cascade('flagged')}"""
+
+PLAYER_CANDIDATES = f"""good_lines AS (SELECT *, {SCORE} AS score FROM sized_lines WHERE {IS_VALID}),
+first_try AS (SELECT * FROM (
+  SELECT g.image_id, g.shown AS text, g.avg_y, g.score,
+    row_number() OVER (PARTITION BY g.image_id ORDER BY g.score DESC, part, g.line_key) AS ord
+  FROM kept JOIN good_lines g USING (image_id, line_key)) WHERE ord <= 8),
+second_try AS (SELECT *, row_number() OVER (PARTITION BY image_id, text ORDER BY r) AS again FROM (
+  SELECT image_id, shown AS text, avg_y, score,
+    row_number() OVER (PARTITION BY image_id ORDER BY score DESC, line_key) AS r
+  FROM good_lines WHERE avg_y BETWEEN height * 0.08::DOUBLE AND height * 0.20::DOUBLE AND avg_area <= 5000
+    AND image_id NOT IN (SELECT image_id FROM first_try)) WHERE r <= 8),
+found_candidates AS (
+  SELECT image_id, ord, text, avg_y, score FROM first_try
+  UNION ALL
+  SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY r), text, avg_y, score
+  FROM second_try WHERE again = 1)"""
+
+ORACLES["extract_candidates"] = f"""WITH RECURSIVE {PART_TITLES}, {PODCASTS}, {EPISODES}, {PLAYER_WORDS},
+{folded('player_words')}, {PLAYER_LINES}, {PLAYER_CANDIDATES}
+SELECT image_id, ord, text, avg_y, round(score, 6) AS score FROM found_candidates"""
+
+RESOLVED = f"""cands AS (SELECT *, {edit_norm('text')} AS flat FROM found_candidates),
+norm_terms AS (SELECT DISTINCT {norm('text')} AS term FROM cands),
+{ALL_PAIRS[1]}, {ALL_PAIRS[2]}, {ALL_PAIRS[3]}, {BEST_PODCAST},
+exact AS (SELECT text, podcast_id, sim FROM (SELECT DISTINCT text FROM cands)
+  JOIN best_podcast ON term = {norm('text')}),
+near_pairs AS (
+  SELECT *, CASE WHEN top_flat = bottom_flat THEN 1.0
+    ELSE 1 - levenshtein(top_flat, bottom_flat)::DOUBLE / greatest(length(top_flat), length(bottom_flat)) END AS alike
+  FROM (SELECT t.image_id, t.text AS top_text, b.text AS bottom_text, t.ord AS top_ord, b.ord AS bottom_ord,
+      b.avg_y - t.avg_y AS distance, t.flat AS top_flat, b.flat AS bottom_flat,
+      greatest(t.score, b.score) AS best, (t.avg_y + b.avg_y) / 2 AS mid
+    FROM cands t JOIN cands b ON t.image_id = b.image_id
+      AND (t.avg_y < b.avg_y OR (t.avg_y = b.avg_y AND t.ord < b.ord)) AND b.avg_y - t.avg_y <= 100)),
+placed_pairs AS (SELECT *, row_number() OVER (PARTITION BY image_id
+    ORDER BY best DESC, mid, distance, alike, top_ord, bottom_ord) AS ord1 FROM near_pairs WHERE alike <= 0.8),
+both_ways AS (
+  SELECT image_id, ord1, 1 AS ord2, bottom_text AS p, top_text AS e, 'podcast-episode' AS kind FROM placed_pairs
+  UNION ALL SELECT image_id, ord1, 2, top_text, bottom_text, 'episode-podcast' FROM placed_pairs),
+ways AS (SELECT w.*, x.podcast_id, x.sim FROM both_ways w LEFT JOIN exact x ON x.text = w.p),
+text_pairs AS (SELECT DISTINCT p AS podcast_text, e AS episode_text FROM ways WHERE podcast_id IS NULL),
+{", ".join(FUZZY_PODCAST)},
+renamed_pairs AS (SELECT o.podcast_id, o.title AS own, t.title, t.podcast_id AS other
+  FROM podcasts o, norm_titles t WHERE o.podcast_id IN (SELECT podcast_id FROM exact)),
+{similarity('renamed_pairs', 'own', 'title', 'renamed_scored')},
+renamed AS (SELECT podcast_id, other AS re_podcast_id FROM (SELECT *, row_number() OVER (PARTITION BY podcast_id
+    ORDER BY sim DESC, other) AS r FROM renamed_scored) WHERE r = 1),
+neighbours AS (
+  SELECT c.image_id, c.ord, c.text, o.text AS e, row_number() OVER (PARTITION BY c.image_id, c.ord
+    ORDER BY abs(o.avg_y - c.avg_y), o.ord) AS r
+  FROM cands c JOIN cands o ON c.image_id = o.image_id AND c.text <> o.text
+    AND abs(o.avg_y - c.avg_y) > 0 AND abs(o.avg_y - c.avg_y) <= 100),
+beside AS (SELECT n.image_id, n.ord AS ord1, x.podcast_id, x.sim, n.e FROM neighbours n JOIN exact x USING (text) WHERE r = 1),
+ep_wanted AS (
+  SELECT podcast_id, e AS term FROM ways WHERE podcast_id IS NOT NULL
+  UNION SELECT re_podcast_id, e FROM ways JOIN renamed USING (podcast_id)
+  UNION SELECT re_podcast_id, e FROM beside JOIN renamed USING (podcast_id)),
+ep_asked AS (SELECT podcast_id, term, episode_id, title, ord FROM ep_wanted JOIN listing USING (podcast_id)),
+{similarity('ep_asked', 'term', 'title', 'ep_scored')},
+ep_best AS (SELECT podcast_id, term, episode_id, title, sim FROM (SELECT *, row_number() OVER (PARTITION BY podcast_id, term
+    ORDER BY sim DESC, ord) AS r FROM ep_scored) WHERE r = 1 AND sim > 0.2),
+cand_texts AS (SELECT DISTINCT text FROM cands),
+{ranked_keywords('cand_texts', 'text', 'text', 'cand_kw')},
+kw_asked AS (SELECT w.podcast_id, w.term, episode_id, title, ord, kws FROM (
+    SELECT podcast_id, e AS term FROM ways WHERE podcast_id IS NOT NULL UNION SELECT podcast_id, e FROM beside) w
+  JOIN cand_kw k ON k.text = w.term JOIN listing l ON l.podcast_id = w.podcast_id),
+kw_scored AS (SELECT *, {kw_score('title', 'kws')} AS score FROM kw_asked),
+kw_best AS (SELECT podcast_id, term, episode_id, title, 0.5 + 0.3 * score AS confidence FROM (
+  SELECT *, row_number() OVER (PARTITION BY podcast_id, term ORDER BY score DESC, ord) AS r
+  FROM kw_scored WHERE score >= 0.3) WHERE r = 1),
+attempts AS (
+  SELECT image_id, 1 AS stage, ord1, ord2, w.podcast_id, w.sim AS podcast_confidence, b.episode_id, b.title AS episode_title,
+    b.sim AS episode_confidence, least(1.0, b.sim) AS confidence, 'spatial_pair_' || kind || '_fuzzy_podcast' AS method
+  FROM ways w JOIN ep_best b ON b.podcast_id = w.podcast_id AND b.term = w.e
+  UNION ALL
+  SELECT image_id, 1, ord1, ord2, f.podcast_id, f.sim, f.episode_id, l.title, f.confidence, least(1.0, f.confidence),
+    'spatial_pair_' || kind || '_fuzzy_podcast'
+  FROM ways w JOIN fuzzy_found f ON w.podcast_id IS NULL AND f.podcast_text = w.p AND f.episode_text = w.e
+  JOIN listing l ON l.podcast_id = f.podcast_id AND l.episode_id = f.episode_id
+  UNION ALL
+  SELECT image_id, 1, ord1, ord2, w.podcast_id, w.sim, CASE WHEN x.sim >= 0.5 THEN x.episode_id ELSE k.episode_id END,
+    CASE WHEN x.sim >= 0.5 THEN x.title ELSE k.title END, CASE WHEN x.sim >= 0.5 THEN x.sim ELSE k.confidence END,
+    CASE WHEN x.sim >= 0.5 THEN 0.6 ELSE least(0.6, k.confidence) END,
+    'spatial_pair_' || kind || CASE WHEN x.sim >= 0.5 THEN '_exact' ELSE '_fuzzy' END
+  FROM ways w JOIN renamed n ON n.podcast_id = w.podcast_id
+  LEFT JOIN ep_best b ON b.podcast_id = w.podcast_id AND b.term = w.e
+  LEFT JOIN ep_best x ON x.podcast_id = n.re_podcast_id AND x.term = w.e
+  LEFT JOIN kw_best k ON k.podcast_id = w.podcast_id AND k.term = w.e
+  WHERE b.term IS NULL AND (x.sim >= 0.5 OR k.term IS NOT NULL)
+  UNION ALL
+  SELECT image_id, 3, ord1, 0, s.podcast_id, s.sim, coalesce(x.episode_id, k.episode_id), coalesce(x.title, k.title),
+    coalesce(x.sim, k.confidence), CASE WHEN x.term IS NOT NULL THEN 0.6 ELSE least(0.6, k.confidence) END,
+    CASE WHEN x.term IS NOT NULL THEN 'individual_podcast_with_episode' ELSE 'individual_podcast_with_fuzzy_episode' END
+  FROM beside s JOIN renamed n ON n.podcast_id = s.podcast_id
+  LEFT JOIN ep_best x ON x.podcast_id = n.re_podcast_id AND x.term = s.e
+  LEFT JOIN kw_best k ON k.podcast_id = s.podcast_id AND k.term = s.e
+  WHERE x.term IS NOT NULL OR k.term IS NOT NULL
+  UNION ALL
+  SELECT image_id, 4, ord, 0, podcast_id, sim, NULL, 'Unknown Episode', NULL, 0.6, NULL FROM cands JOIN exact USING (text)),
+winners AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY stage, ord1, ord2) AS r
+  FROM attempts) WHERE r = 1)"""
+
+ORACLES["resolve_image"] = f"""WITH RECURSIVE {PART_TITLES}, {PODCASTS}, {EPISODES}, {PLAYER_WORDS},
+{folded('player_words')}, {PLAYER_LINES}, {PLAYER_CANDIDATES}, {RESOLVED}
+SELECT o_orderkey AS image_id, coalesce(w.podcast_id, -1) AS podcast_id, coalesce(p.title, 'Episode not found') AS podcast_title,
+  round(podcast_confidence, 6) AS podcast_confidence, coalesce(episode_id, -1) AS episode_id,
+  coalesce(episode_title, 'Episode not found') AS episode_title, round(episode_confidence, 6) AS episode_confidence,
+  round(coalesce(confidence, 0.0), 6)::DOUBLE AS confidence,
+  CASE WHEN stage IS NULL THEN 'no_validation_successful' ELSE method END AS method, stage IS NOT NULL AS validated,
+  CASE WHEN stage IS NULL THEN 'unvalidated' ELSE 'validated' END AS player
+FROM orders LEFT JOIN winners w ON w.image_id = o_orderkey LEFT JOIN podcasts p ON p.podcast_id = w.podcast_id"""
+
 ORACLES["union_dedupe"] = f"""{with_(PART_TITLES, LINES, HEIGHTS,
     '''both_bands AS (SELECT *, CASE WHEN avg_y >= height * 0.45::DOUBLE THEN 0 ELSE 1 END AS part
   FROM lines JOIN heights USING (image_id) WHERE avg_y <= height * 0.875::DOUBLE)''')}
@@ -671,7 +827,7 @@ TIMED = r"""timed AS (SELECT clip_id AS episode_id, word_index, regexp_extract(i
 CLIPS = """clips AS (SELECT clip_id, clip_id % 3 * 60 + clip_id * 7 % 60 AS sec, clip_id * 5 % 121 AS before_s,
     clip_id * 11 % 121 AS after_s FROM (SELECT DISTINCT conv_id AS clip_id FROM conversations)),
 windows AS (SELECT *, greatest(0, (sec - before_s) * 1000) AS start_ms, (sec + after_s) * 1000 AS end_ms FROM clips)"""
-SELECTED = "selected AS (SELECT clip_id, word_index FROM tokens WHERE (word_index * 7 + clip_id) % 5 < 3)"
+SELECTED = r"selected AS (SELECT clip_id, word_index FROM tokens WHERE length(regexp_extract(item, '\S+')) > 3)"
 BLOCKS = """islands AS (SELECT *, word_index - row_number() OVER (PARTITION BY clip_id ORDER BY word_index) AS block
   FROM selected),
 blocks AS (SELECT clip_id, min(word_index) AS start_index, max(word_index) AS end_index,
