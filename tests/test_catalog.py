@@ -47,7 +47,8 @@ def test_fuzzy_pairs_lose_nothing(spark, low, inclusive, limits):
     t = spark.createDataFrame([(x,) for x in terms], "term string")
     c = spark.createDataFrame([(x,) for x in titles], "title string")
     got = catalog.fuzzy_pairs(
-        catalog.norm_texts(t, "term"), catalog.norm_texts(c, "title"), low, inclusive, limits
+        catalog.norm_texts(t, "term"), catalog.norm_texts(c, "title"), low, inclusive,
+        limits=limits,
     ).collect()
     found = {(r.term, r.title): round(r.similarity, 9) for r in got}
     assert len(found) == len(got)
