@@ -1,5 +1,52 @@
-STAGES = []
+"""From raw documents to packed training sequences.
+
+Each stage takes what the one before it kept. Toxic documents go, then all but one of
+each group of near duplicates, then documents that hold benchmark passages; what is
+left is packed. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from cueglass.llm import toxicity
+from cueglass.llm.decontaminate import drop_contaminated
+from cueglass.llm.near_dedup import drop_near_duplicates
+from cueglass.llm.packing import pack_documents
+from cueglass.llm.store import written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_duplicates(docs)
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", keep_one_of_each_group),
+    ("decontamination", drop_benchmark_passages),
+    ("packing", pack),
+]
+
+#: No SQL expresses the fitted model; tests compare with a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table; each is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -184,6 +184,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
 
 
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row, with all columns, of each group: that of the smallest doc_id.
+
+    Rows without shingles stay. Rows with a null doc_id stay too, as nothing tells them
+    apart; of rows that repeat a doc_id one is kept.
+    """
+    known = F.col(doc_id).isNotNull()
+    kept = near_duplicates(docs, doc_id, text).where("kept and doc_id is not null")
+    chosen = kept.select(F.col("doc_id").alias(doc_id)).distinct()
+    one = docs.where(known).join(chosen, doc_id, "left_semi").dropDuplicates([doc_id])
+    return one.union(docs.where(~known))
+
+
 def _component_ids(classes: DataFrame, found: DataFrame) -> DataFrame:
     """(class, component_id): the smallest doc_id of each class's component."""
     labelled = classes.select("class", "first").join(

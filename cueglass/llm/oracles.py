@@ -30,6 +30,44 @@ SELECT s.doc_id, s.n AS n_shingles, min(r.seen) AS component_id, s.doc_id = min(
 FROM sizes s JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, s.n
 """
 
+#: Every rule against every URL.
+URL_FILTER = r"""
+WITH rules(host, path, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+         ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), parts AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path
+  FROM pages
+)
+SELECT p.page_id, p.host, p.path,
+  arg_max(r.host || r.path, length(r.host || r.path)) AS rule,
+  coalesce(arg_max(r.verdict, length(r.host || r.path)), 'allow') AS verdict
+FROM parts p LEFT JOIN rules r
+  ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+GROUP BY p.page_id, p.host, p.path
+"""
+
+#: Digests straight from the rows, lengths from the number of escaped characters.
+CHAT_FORMAT = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'),
+                   (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(14 + 2 * length(role || text) - length(translate(role, '\#<:', '') || translate(text, '\#<', '')))
+    AS BIGINT) AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_url_filter": URL_FILTER,
+    "op3_chat_format": CHAT_FORMAT,
     "op8_near_dedup": NEAR_DEDUP,
 }
