@@ -1,14 +1,15 @@
 """Severity of toxic language by cumulative-link ordinal regression.
 
 The model gives P(grade > j) = sigmoid(w . x - t_j) with one weight vector for all
-thresholds t_0 < t_1 < ...; x marks which words and word beginnings a text has. The
-expected severity is the sum of these probabilities over j, and a text is toxic if
-P(grade > 0) is at least one half.
+thresholds t_0 < t_1 < ...; x marks which words a text has, and which word beginnings
+it has once, twice or three times. The expected severity is the sum of these
+probabilities over j, and a text is toxic if P(grade > 0) is at least one half.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -23,39 +24,46 @@ from cueglass.llm.store import written
 SAMPLE = 8000
 #: Features of the model, at most, and the least association with toxic texts (G
 #: squared) that one must show in the sample.
-FEATURES, LEAST_G = 4096, 16.0
+FEATURES, LEAST_G = 4096, 15.0
+#: Features of the toxic sample that are weighed at all: the most frequent ones.
+WEIGHED = 50_000
 #: Grades: 0 is clean, the others are equal parts of the toxic sample.
 GRADES = 4
-#: Lengths of word beginnings.
-STEMS = (4, 5)
-RIDGE, ROUNDS, RATE = 0.5, 400, 0.1
+#: Lengths of word beginnings, and how often one may have to occur.
+STEMS, TIMES = (4, 5, 6, 7, 8), 3
+RIDGE, ROUNDS, RATE = 0.03, 800, 0.1
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 class Model(NamedTuple):
-    words: dict[str, int]
-    stems: dict[str, int]
+    places: dict[str, int]
     weights: np.ndarray
     thresholds: np.ndarray
 
 
-def features(text: str | None) -> set[str]:
-    """Words of a text and, with a star, their beginnings; all in lower case."""
-    words = set(_WORD.findall((text or "").lower()))
-    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in STEMS))
+def features(text: str | None, known: dict[str, int] | None = None, heads: set[str] | None = None) -> set[str]:
+    """Words of a text in lower case, and beginnings of longer words with their number.
 
-
-def _known(text: str | None, words: dict[str, int], stems: dict[str, int]) -> list[int]:
-    """The model's features of a text."""
-    found = set()
-    for word in set(_WORD.findall((text or "").lower())):
-        found.add(words.get(word))
+    ``réeu*2`` says that words that begin with ``réeu`` occur twice or more. With
+    ``known`` only those features are made; ``heads`` are their first letters.
+    """
+    found: set[str] = set()
+    begun: Counter[str] = Counter()
+    for word, times in Counter(_WORD.findall((text or "").lower())).items():
+        if heads is not None and word[: STEMS[0]] not in heads:
+            continue
+        found.add(word)
         for n in STEMS:
             if len(word) > n:
-                found.add(stems.get(word[:n]))
-    found.discard(None)
-    return sorted(found)
+                begun[word[:n]] += times
+    for stem, times in begun.items():
+        found.update(f"{stem}*{n}" for n in range(1, min(times, TIMES) + 1))
+    return found if known is None else found & known.keys()
+
+
+def _heads(known: dict[str, int]) -> set[str]:
+    return {feature.partition("*")[0][: STEMS[0]] for feature in known}
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -108,60 +116,73 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         .limit(SAMPLE)
     )
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [sorted(features(x.as_py())) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, pa.list_(pa.string()))], names=["toxic", "features"])
-
     sample = written(
         docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
         .join(F.broadcast(chosen), "id")  # at most SAMPLE rows
         .groupBy("text")
-        .agg(F.max("toxic").alias("toxic"))
-        .mapInArrow(spread, "toxic int, features array<string>")
+        .agg(F.max(F.col("toxic") > 0).alias("toxic"))
+    )
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own in batch.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(features(own.as_py())), pa.string())], names=["feature"])
+
+    frequent = (
+        sample.where("toxic").select("text").mapInArrow(spread, "feature string")
+        .groupBy("feature").count().where("count >= 3")
+        .orderBy(F.desc("count"), "feature").limit(WEIGHED).collect()
     )
-    sizes = {bool(r["toxic"]): r["n"] for r in sample.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
-    nothing = Model({}, {}, np.empty(0), np.full(GRADES - 1, 30.0))
-    if not n_toxic or not n_clean:
-        return nothing
-    bad = F.count_if(F.col("toxic") > 0)
-    counted = sample.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(bad.alias("a"), F.count(F.lit(1)).alias("n"))
-    share = n_toxic / (n_toxic + n_clean)
-
-    def part(seen, expected):
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-
-    a, n = F.col("a"), F.col("n")
-    g = 2 * (part(a, n * share) + part(n - a, n * (1 - share)))
-    marks = [
-        r["feature"]
-        for r in counted.where((a >= 3) & (a > n * share)).withColumn("g", g).where(F.col("g") >= LEAST_G)
-        .orderBy(F.desc("g"), "feature").limit(FEATURES).collect()
-    ]
-    if not marks:
-        return nothing
-    words = {m: i for i, m in enumerate(marks) if not m.endswith("*")}
-    stems = {m[:-1]: i for i, m in enumerate(marks) if m.endswith("*")}
-    place = {m: i for i, m in enumerate(marks)}
+    weighed = {r["feature"]: i for i, r in enumerate(frequent)}
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = _heads(weighed)
         for batch in batches:
-            own = [[place[f] for f in x.as_py() if f in place] for x in batch.column("features")]
+            own = [sorted(weighed[f] for f in features(x.as_py(), weighed, heads)) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, pa.list_(pa.int32()))], names=["toxic", "own"])
 
-    rows = sorted((r["toxic"] > 0, sorted(r["own"])) for r in sample.mapInArrow(known, "toxic int, own array<int>").collect())
-    marked = np.array([t for t, _ in rows])
-    counts = np.array([len(own) for _, own in rows])
+    rows = sample.mapInArrow(known, "toxic boolean, own array<int>").collect()  # SAMPLE rows at most
+    rows = sorted((r["toxic"], r["own"]) for r in rows)
+    marked = np.array([toxic for toxic, _ in rows], bool)
+    kept = _associated([own for _, own in rows], marked, len(weighed))
+    if not len(kept):
+        return Model({}, np.empty(0), np.full(GRADES - 1, 30.0))
+    new = {int(old): i for i, old in enumerate(kept)}
+    rows = [[new[i] for i in own if i in new] for _, own in rows]
+    counts = np.array([len(own) for own in rows])
     cuts = np.quantile(counts[marked], np.arange(1, GRADES - 1) / (GRADES - 1))
     grades = np.where(marked, 1 + np.searchsorted(cuts, counts, "left"), 0)
-    weights, thresholds = fit_ordinal([own for _, own in rows], grades, len(marks), GRADES)
-    return Model(words, stems, weights, thresholds)
+    weights, thresholds = fit_ordinal(rows, grades, len(kept), GRADES)
+    names = list(weighed)
+    return Model({names[old]: i for old, i in new.items()}, weights, thresholds)
+
+
+def _associated(rows: list[list[int]], marked: np.ndarray, n_features: int) -> np.ndarray:
+    """The features that go most with marked rows, by G squared; at most ``FEATURES``."""
+    if not marked.any() or marked.all():
+        return np.empty(0, int)
+    flat = np.array([i for own in rows for i in own], np.int64)
+    owner = np.repeat(np.arange(len(rows)), [len(own) for own in rows])
+    both = np.bincount(flat, minlength=n_features)
+    bad = np.bincount(flat[marked[owner]], minlength=n_features)
+    share = marked.mean()
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-9)), 0.0)
+
+    g = 2 * (part(bad, both * share) + part(both - bad, both * (1 - share)))
+    g[bad <= both * share] = 0.0
+    best = np.argsort(-g, kind="stable")[:FEATURES]
+    return best[g[best] >= LEAST_G]
 
 
 def _scores(texts: pa.Array, model: Model) -> np.ndarray:
     """P(grade > j) of each text, a column for each j."""
-    sums = [float(model.weights[own].sum()) if (own := _known(x.as_py(), model.words, model.stems)) else 0.0 for x in texts]
+    heads = _heads(model.places)
+    sums = []
+    for own in texts:
+        found = sorted(model.places[f] for f in features(own.as_py(), model.places, heads))
+        sums.append(float(model.weights[found].sum()) if found else 0.0)
     return _sigmoid(np.array(sums)[:, None] - model.thresholds[None, :])
 
 
