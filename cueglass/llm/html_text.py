@@ -83,14 +83,16 @@ class _Lines(HTMLParser):
         self.names: list[str] = [""]
         self.element, self.dropped = 0, False
         self.words: list[str] = []
+        self.dropped_words: list[str] = []
         self.tags = 0
         self.lines: list[tuple[str, int, int, bool]] = []  # text, tags, element, dropped
 
     def _end_line(self) -> None:
-        if self.words:
-            if text := " ".join("".join(self.words).split()):
-                self.lines.append((text, self.tags, self.element, self.dropped))
-            self.words = []
+        for dropped, words in ((False, self.words), (True, self.dropped_words)):
+            if words:
+                if text := " ".join("".join(words).split()):
+                    self.lines.append((text, self.tags, self.element, dropped))
+                words.clear()
         self.tags = 0
 
     def _pop_to(self, depth: int) -> None:
@@ -135,7 +137,8 @@ class _Lines(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_data(self, data: str) -> None:
-        self.words.append(data)
+        if self.cdata_elem is None:  # neither script nor style
+            (self.dropped_words if self.dropped else self.words).append(data)
 
 
 def _threshold(values: np.ndarray) -> float:
