@@ -46,12 +46,7 @@ class Limits:
     max_range_seconds: int = 120
 
     # Our own scale settings; none of them changes a result.
-    min_contained_chars: int = 3
-    frequent_words: int = 10_000
     hot_pairs: int = 50_000
-    hot_keys: int = 10_000
-    max_salt: int = 512
-    hot_image_words: int = 100_000
     running_chunk: int = 4_096
     range_bucket_ms: int = 60_000
 

@@ -61,6 +61,23 @@ def title_norm(title: Column) -> Column:
     return F.regexp_replace(trim_blank(F.lower(non_empty(title))), r"[^\w\s]", "")
 
 
+#: Stands before texts without any ASCII letter or digit; occurs in no normalised text.
+NO_WORD = "\u0000"
+
+
+def match_key(title: Column) -> Column:
+    """The text that titles are matched by.
+
+    It is the normalised title. A title that normalises to nothing, as one in another
+    script does, is known by its lowered, trimmed original instead. Null for a title
+    that is missing or blank.
+    """
+    plain = trim_blank(F.lower(non_empty(title)))
+    return F.when(title_norm(title).rlike(r"\S"), title_norm(title)).when(
+        plain != "", F.concat(F.lit(NO_WORD), plain)
+    )
+
+
 def split_words(text: Column) -> Column:
     return F.split(text, r"\s+")
 
@@ -219,20 +236,23 @@ def keyword_match(title: Column, keywords: Column) -> Column:
     return bind(bind(_match_sides(title, keywords), lists), result)
 
 
-def keyword_score(title: Column, keywords: Column) -> Column:
-    """(exact + half the prefix matches) / keywords, without the keyword lists."""
+def shared_keywords(low: Column, words: Column, keywords: Column) -> Column:
+    """(exact + half the prefix matches) / keywords, of a lowered title and its words."""
+    hits = F.aggregate(
+        keywords,
+        F.lit(0.0),
+        lambda acc, k: acc
+        + F.contains(low, k).cast("double")
+        + 0.5 * _prefix_related(k, words).cast("double"),
+    )
+    return F.when(F.size(keywords) > 0, hits / F.size(keywords))
 
-    def score(t: Column) -> Column:
-        hits = F.aggregate(
-            t["keys"],
-            F.lit(0.0),
-            lambda acc, k: acc
-            + F.contains(t.low, k).cast("double")
-            + 0.5 * _prefix_related(k, t.words).cast("double"),
-        )
-        return F.when(F.size(t["keys"]) > 0, hits / F.size(t["keys"]))
 
-    return bind(_match_sides(title, keywords), score)
+def keyword_score(title: Column, keywords: Column) -> Column:
+    """(exact + half the prefix matches) / keywords, without the keyword lists."""
+    return bind(
+        _match_sides(title, keywords), lambda t: shared_keywords(t.low, t.words, t["keys"])
+    )
 
 
 def keyword_confidence(score: Column) -> Column:
@@ -256,26 +276,26 @@ def middle_words(text: Column) -> Column:
     return bind(F.filter(split_words(clean_title(text)), lambda w: w != ""), middle)
 
 
-def match_tier(search: Column, title: Column) -> Column:
-    """1 equal, 2 title contains search, 3 search contains title, else null."""
+def low_title(title: Column) -> Column:
+    """The lowered title that tiers are tested on; null for a missing or empty one."""
+    return F.lower(non_empty(title))
 
-    def tier(t: Column) -> Column:
-        return (
-            F.when(trim_blank(t.title) == t.search, 1)
-            .when(F.contains(t.title, t.search), 2)
-            .when(F.contains(t.search, t.title), 3)
-        )
 
-    texts = F.struct(
-        trim_blank(F.lower(non_empty(search))).alias("search"),
-        F.lower(non_empty(title)).alias("title"),
+def tier_of(search: Column, low: Column) -> Column:
+    """Tier of a lowered, trimmed search text and a lowered title."""
+    return (
+        F.when(trim_blank(low) == search, 1)
+        .when(F.contains(low, search), 2)
+        .when(F.contains(search, low), 3)
     )
-    return bind(texts, tier)
 
 
-def spaced_tokens(text: Column) -> Column:
-    """Non-blank tokens, each with the white space that stands before it."""
-    return F.regexp_extract_all(text, F.lit(r"(\s*)(\S+)"), F.lit(0))
+def match_tier(search: Column, title: Column) -> Column:
+    """1 equal, 2 title contains search, 3 search contains title, else null."""
+    texts = F.struct(
+        trim_blank(low_title(search)).alias("search"), low_title(title).alias("title")
+    )
+    return bind(texts, lambda t: tier_of(t.search, t.title))
 
 
 def text_context(text: Column, part: Column, reach: int = 30) -> Column:

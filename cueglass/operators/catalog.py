@@ -14,15 +14,19 @@ from pyspark.sql import functions as F
 
 from cueglass.config import DEFAULT, Limits
 from cueglass.functions.text import (
+    NO_WORD,
     keyword_confidence,
     keyword_match,
-    keyword_score,
-    match_tier,
+    low_title,
+    match_key,
     norm_similarity,
     plain_keywords,
     ranked_keywords,
+    shared_keywords,
     split_words,
+    tier_of,
     title_norm,
+    trim_blank,
 )
 from cueglass.operators.scale import cut, first_by, skew_join, top_per_group
 
@@ -34,10 +38,10 @@ SLACK = 1e-9
 
 
 def norm_texts(df: DataFrame, column: str, scope: Sequence[str] = ()) -> DataFrame:
-    """Distinct normalised texts that are not blank, per ``scope`` columns if given."""
+    """Distinct match keys of texts that are not blank, per ``scope`` columns if given."""
     return (
-        df.select(*scope, title_norm(F.col(column)).alias("norm"))
-        .where(F.col("norm").rlike(r"\S"))
+        df.select(*scope, match_key(F.col(column)).alias("norm"))
+        .where(F.col("norm").isNotNull())
         .distinct()
         .withColumn("words", split_words(F.col("norm")))
         .withColumn("all_starts", F.transform("words", lambda w: F.substring(w, 1, 2)))
@@ -47,12 +51,17 @@ def norm_texts(df: DataFrame, column: str, scope: Sequence[str] = ()) -> DataFra
     )
 
 
+#: Longest word beginning that is a join key.
+LONGEST_START = 16
+
+
 def _starts(word: Column) -> Column:
-    """All proper prefixes of at least two characters."""
+    """Proper prefixes of 2, 3, ... characters, up to ``LONGEST_START`` of them."""
     return F.when(
         F.length(word) > 2,
         F.transform(
-            F.sequence(F.lit(2), F.length(word) - 1), lambda n: F.substring(word, F.lit(1), n)
+            F.sequence(F.lit(2), F.least(F.length(word) - 1, F.lit(LONGEST_START))),
+            lambda n: F.substring(word, F.lit(1), n),
         ),
     ).otherwise(F.array().cast("array<string>"))
 
@@ -61,11 +70,12 @@ def _word_keys(word: Column, whole_in: str, starts_in: str) -> Column:
     """Join keys of a word: itself, and its beginnings, tagged by their role.
 
     Role ``=`` joins equal words; in the two other roles one side gives the whole
-    word and the other side its beginnings.
+    word and the other side its beginnings. A word longer than the longest beginning
+    is joined by its own beginning of that length, so a long word has few keys.
     """
     key = lambda role, text: F.concat(F.lit(role), text)
     return F.concat(
-        F.array(key("=", word), key(whole_in, word)),
+        F.array(key("=", word), key(whole_in, F.substring(word, 1, LONGEST_START))),
         F.transform(_starts(word), lambda s: key(starts_in, s)),
     )
 
@@ -86,8 +96,7 @@ def _title_index(
     longer text. One title word matches at most ``level`` query words when the query
     repeats no word start more often than that, so at least ``share * n / level`` of
     the n title words must match and one of the others plus one always does. The
-    rarest ones are taken. How rare a word is only steers cost, never the result,
-    so the list of frequent words is cut to a fixed length and broadcast.
+    rarest ones are taken. How rare a word is only steers cost, never the result.
     """
     placed = titles.select(
         *scope,
@@ -95,13 +104,8 @@ def _title_index(
         F.struct("words", "starts", "level").alias("title_side"),
         F.posexplode("words").alias("pos", "word"),
     )
-    frequent = (
-        placed.groupBy("word").count().orderBy(F.desc("count"), "word").limit(limits.frequent_words)
-    )
-    sized = placed.join(F.broadcast(frequent), "word", "left")
-    by_rarity = F.sort_array(
-        F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word", "pos"))
-    )
+    sized = placed.join(placed.groupBy("word").count(), "word")
+    by_rarity = F.sort_array(F.collect_list(F.struct(F.col("count").alias("n"), "word", "pos")))
     n = F.size("title_side.words")
 
     def words_for(level: int) -> Column:
@@ -178,7 +182,7 @@ def _contained(
     """
     norm = F.col("norm")
     own_size = F.least(F.length(norm), F.lit(3)).alias("size")
-    asked = short.where(F.length(norm) >= limits.min_contained_chars).withColumn("size", own_size)
+    asked = short.withColumn("size", own_size)
     sizes = F.broadcast(asked.select("size").distinct())
     pieces = (
         long.select(*scope, norm.alias("long"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("size"))
@@ -194,7 +198,8 @@ def _contained(
     )
     # Only pieces that some shorter text is looked up by are worth a shuffle.
     used = F.broadcast(rarest.select("gram").distinct())
-    pairs = pieces.join(used, "gram", "left_semi").join(rarest, [*scope, "gram"])
+    wanted = pieces.join(used, "gram", "left_semi").drop("size")
+    pairs = skew_join(wanted, rarest, [*scope, "gram"], limits)
     return pairs.where(F.contains("long", F.col("short"))).select(*scope, "short", "long")
 
 
@@ -216,10 +221,17 @@ def fuzzy_pairs(
 
     ``terms`` and ``titles`` come from :func:`norm_texts`; with ``scope`` columns only
     texts of the same scope are compared. The result is the same as scoring every
-    term against every title, but for texts of fewer than ``min_contained_chars``
-    characters standing inside a longer one, which are no evidence of a match.
+    term against every title, but for texts without any ASCII letter or digit: those
+    are matched if they are equal, and to no other text. (By the letter of the scoring
+    rule they would be contained in every text.)
     """
-    terms, titles = _spread(terms, scope), _spread(titles, scope)
+    no_word = F.startswith("norm", F.lit(NO_WORD))
+    equal = (
+        terms.where(no_word).select(*scope, F.col("norm").alias("term"))
+        .join(titles.where(no_word).select(*scope, F.col("norm").alias("term")), [*scope, "term"])
+        .select(*scope, "term", F.col("term").alias("title"), F.lit(1.0).alias("similarity"))
+    )
+    terms, titles = _spread(terms.where(~no_word), scope), _spread(titles.where(~no_word), scope)
     used_levels = terms.select("level").distinct()
     index = _title_index(titles, min_similarity - MAX_BOOST, scope, limits).join(
         F.broadcast(used_levels), "level"
@@ -249,42 +261,26 @@ def fuzzy_pairs(
     wanted = F.col("similarity") > min_similarity
     if inclusive:
         wanted = F.col("similarity") >= min_similarity
-    short_inside = (
-        (F.least(F.length("term"), F.length("title")) < limits.min_contained_chars)
-        & (F.col("term") != F.col("title"))
-        & (F.contains("term", F.col("title")) | F.contains("title", F.col("term")))
-    )
     return (
-        scored.where(wanted & ~short_inside)
-        .unionByName(held.where(wanted))
+        scored.unionByName(held).unionByName(equal)
+        .where(wanted)
         .groupBy(*scope, "term", "title")
-        .agg(F.first("similarity").alias("similarity"))
+        .agg(F.max("similarity").alias("similarity"))
     )
 
 
-def first_ids(catalog: DataFrame, per_title: int) -> DataFrame:
-    """``(title, podcast_id)``: the first ids of each normalised title."""
-    named = catalog.select(title_norm(F.col("title")).alias("title"), "podcast_id").where(
-        F.col("title").isNotNull()
-    )
-    return top_per_group(named, ["title"], [F.col("podcast_id")], per_title).drop("rank")
-
-
-def _ranked(pairs: DataFrame, catalog: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` catalog rows per term: similarity, then id."""
-    rows = pairs.join(first_ids(catalog, k), "title")
-    return top_per_group(rows, ["term"], [F.desc("similarity"), F.col("podcast_id")], k)
+def _title_ids(catalog: DataFrame) -> DataFrame:
+    """``(title, podcast_id)`` by match key."""
+    return catalog.select(match_key(F.col("title")).alias("title"), "podcast_id")
 
 
 def match_podcasts(terms: DataFrame, podcasts: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
-    """``(term, podcast_id, similarity)``: the best podcast above 0.7 per normalised term."""
+    """``(term, podcast_id, similarity)``: the best podcast above 0.7 per match key."""
     pairs = fuzzy_pairs(
         norm_texts(terms, "term"), norm_texts(podcasts, "title"), limits.podcast_similarity,
         limits=limits,
     )
-    ids = podcasts.groupBy(title_norm(F.col("title")).alias("title")).agg(
-        F.min("podcast_id").alias("podcast_id")
-    )
+    ids = _title_ids(podcasts).groupBy("title").agg(F.min("podcast_id").alias("podcast_id"))
     return first_by(
         pairs.join(ids, "title").drop("title"),
         ["term"],
@@ -293,12 +289,12 @@ def match_podcasts(terms: DataFrame, podcasts: DataFrame, limits: Limits = DEFAU
 
 
 def close_podcasts(terms: DataFrame, podcasts: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
-    """``(term, podcast_id, similarity, rank)``: list page of podcasts at 0.85 or above."""
+    """``(term, podcast_id, similarity)``: all podcasts at 0.85 or above."""
     pairs = fuzzy_pairs(
         norm_texts(terms, "term"), norm_texts(podcasts, "title"),
         limits.fuzzy_podcast_similarity, inclusive=True, limits=limits,
     )
-    return _ranked(pairs, podcasts, limits.podcast_page).drop("title")
+    return pairs.join(_title_ids(podcasts), "title").drop("title")
 
 
 def search_podcasts(
@@ -313,12 +309,18 @@ def search_podcasts(
     k = limits.podcast_page
     wanted = norm_texts(terms.where(F.length("term") >= limits.min_term_chars), "term")
     titles = norm_texts(podcasts, "title")
-    good = cut(_ranked(fuzzy_pairs(wanted, titles, first_floor, limits=limits), podcasts, k))
+    # Of equal titles no more than the first ten ids can be in a list.
+    ids = top_per_group(_title_ids(podcasts), ["title"], [F.col("podcast_id")], k).drop("rank")
+
+    def listed(texts: DataFrame, floor: float) -> DataFrame:
+        rows = fuzzy_pairs(texts, titles, floor, limits=limits).join(ids, "title").drop("title")
+        return top_per_group(rows, ["term"], [F.desc("similarity"), F.col("podcast_id")], k)
+
+    good = cut(listed(wanted, first_floor))
     full = good.where(F.col("rank") == k).select(F.col("term").alias("norm"))
     rest = wanted.join(full, "norm", "left_anti")
-    more = _ranked(fuzzy_pairs(rest, titles, 0.0, limits=limits), podcasts, k)
     done = good.join(full.withColumnRenamed("norm", "term"), "term", "left_semi")
-    return done.unionByName(more).drop("title")
+    return done.unionByName(listed(rest, 0.0))
 
 
 # --- episodes -------------------------------------------------------------------------
@@ -339,119 +341,158 @@ def episode_listing(episodes: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     )
 
 
-def with_listing(requests: DataFrame, listing: DataFrame) -> DataFrame:
-    """One row per request and listed episode. The many-to-one join comes first, so
-    rows of a podcast asked for very often can be split between tasks."""
-    return (
-        requests.join(listing, "podcast_id")
-        .withColumn("episode", F.explode("listing"))
-        .select(*requests.columns, "episode.*")
+def catalog_episodes(episodes: DataFrame) -> DataFrame:
+    """Every episode, with its title prepared for scoring once and for all requests.
+
+    ``ord`` is its place in its podcast, newest first (nulls last), then by id;
+    ``newest`` is the same with a missing date as that of 1970.
+    """
+    released = F.coalesce(F.unix_micros(F.col("release_date").cast("timestamp")), F.lit(0).cast("bigint"))
+    of_podcast = Window.partitionBy("podcast_id")
+    placed = episodes.select(
+        "podcast_id",
+        "episode_id",
+        F.row_number().over(of_podcast.orderBy(F.desc_nulls_last("release_date"), "episode_id")).alias("ord"),
+        F.row_number().over(
+            of_podcast.orderBy(released.desc(), F.desc_nulls_last("release_date"), "episode_id")
+        ).alias("newest"),
+        "title",
+        "release_date",
+    )
+    return placed.select(
+        "*",
+        title_norm(F.col("title")).alias("norm"),
+        split_words(title_norm(F.col("title"))).alias("norm_words"),
+        low_title(F.col("title")).alias("low"),
+        split_words(F.lower("title")).alias("low_words"),
     )
 
 
-def _scored(requests: DataFrame, listing: DataFrame) -> DataFrame:
-    """Requests with the similarity of each listed episode, term normalised once."""
-    rows = with_listing(
-        requests.withColumn("_n", title_norm(F.col("term"))).withColumn(
-            "_w", split_words(F.col("_n"))
-        ),
-        listing,
-    ).withColumn("_m", title_norm(F.col("title"))).withColumn("_v", split_words(F.col("_m")))
-    return rows.withColumn(
-        "similarity", norm_similarity(F.col("_n"), F.col("_m"), F.col("_w"), F.col("_v"))
-    ).drop("_n", "_w", "_m", "_v")
+#: Columns of an episode that results carry.
+_SHOWN = ["ord", "episode_id", "title", "release_date"]
 
 
-def best_match(requests: DataFrame, listing: DataFrame) -> DataFrame:
-    """Most similar listed episode per ``(podcast_id, term)``; the first one on ties,
-    and the first of the listing when nothing is similar at all."""
-    return first_by(
-        _scored(requests, listing), ["podcast_id", "term"], [-F.col("similarity"), F.col("ord")]
+def _similar(requests: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Each request with each episode of its podcast and their similarity."""
+    norm = title_norm(F.col("term"))
+    keyed = requests.withColumn("_n", norm).withColumn("_w", split_words(F.col("_n")))
+    score = norm_similarity(F.col("_n"), F.col("norm"), F.col("_w"), F.col("norm_words"))
+    return keyed.join(episodes, "podcast_id").select(
+        *requests.columns, *_SHOWN, score.alias("similarity")
+    )
+
+
+def _best(rows: DataFrame, score: Column, place: Column) -> DataFrame:
+    """``(podcast_id, term, ord)`` of the row of highest score, then lowest place.
+
+    Both go into one number, so this is a hash aggregate that starts before the
+    shuffle. Scores that differ by less than a ten-millionth count as equal, which no
+    two scores of titles below a thousand characters do.
+    """
+    packed = F.round(score * 10**7).cast("bigint") * F.lit(1 << 31) - place
+    return rows.groupBy("podcast_id", "term").agg(F.max_by("ord", packed).alias("ord"))
+
+
+def _with_episode(best: DataFrame, episodes: DataFrame) -> DataFrame:
+    return best.join(episodes, ["podcast_id", "ord"])
+
+
+def best_match(requests: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Most similar episode per ``(podcast_id, term)``; the first one on ties, and the
+    first of the podcast when nothing is similar at all.
+
+    ``episodes`` of this and the next functions comes from :func:`catalog_episodes`.
+    """
+    best = _best(_similar(requests, episodes), F.col("similarity"), F.col("ord"))
+    norm = title_norm(F.col("term"))
+    score = norm_similarity(norm, F.col("norm"), split_words(norm), F.col("norm_words"))
+    return _with_episode(best, episodes).select(
+        "podcast_id", "term", *_SHOWN, score.alias("similarity")
     )
 
 
-def match_episodes(requests: DataFrame, listing: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
-    """Best listed episode with a similarity above 0.2."""
-    return best_match(requests, listing).where(F.col("similarity") > limits.episode_similarity)
+def match_episodes(requests: DataFrame, episodes: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+    """Best episode with a similarity above 0.2."""
+    return best_match(requests, episodes).where(F.col("similarity") > limits.episode_similarity)
 
 
-def search_episodes(requests: DataFrame, listing: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+def search_episodes(requests: DataFrame, episodes: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """Up to ten episodes above 0.1 per request, most similar first."""
     usable = requests.where(F.length("term") >= limits.min_term_chars)
-    rows = _scored(usable, listing).where(F.col("similarity") > limits.episode_list_similarity)
+    rows = _similar(usable, episodes).where(F.col("similarity") > limits.episode_list_similarity)
     return top_per_group(
         rows, ["podcast_id", "term"], [F.desc("similarity"), F.col("ord")], limits.episode_results
     )
 
 
-def rank_episodes(requests: DataFrame, listing: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
-    """All listed episodes above 0.3 with their place by similarity."""
-    rows = _scored(requests, listing).where(
+def rank_episodes(requests: DataFrame, episodes: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+    """All episodes above 0.3 with their place by similarity."""
+    rows = _similar(requests, episodes).where(
         F.col("similarity") > limits.episode_rank_similarity
     )
     by_similarity = Window.partitionBy("podcast_id", "term").orderBy(F.desc("similarity"), "ord")
     return rows.withColumn("rank", F.row_number().over(by_similarity))
 
 
-def keyword_episode(requests: DataFrame, listing: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
-    """Episode with the best share of ranked keywords, at least 0.3; first on ties."""
-    rows = with_listing(
-        requests.withColumn("_k", ranked_keywords(F.col("term"), limits.max_keywords)), listing
-    ).withColumn("score", keyword_score(F.col("title"), F.col("_k")))
-    best = first_by(
-        rows.where(F.col("score") >= limits.keyword_score).drop("_k"),
-        ["podcast_id", "term"],
-        [-F.col("score"), F.col("ord")],
+def _by_keywords(
+    requests: DataFrame, episodes: DataFrame, keywords: Column, least: float, place: str
+) -> DataFrame:
+    """Episode with the best share of keywords, at least ``least``, then by ``place``."""
+    rows = requests.withColumn("_k", keywords).join(episodes, "podcast_id").select(
+        "podcast_id", "term", "ord", "newest",
+        shared_keywords(F.lower("title"), F.col("low_words"), F.col("_k")).alias("score"),
+    )
+    best = _best(rows.where(F.col("score") >= least), F.col("score"), F.col(place))
+    score = shared_keywords(F.lower("title"), F.col("low_words"), keywords)
+    return (
+        _with_episode(best, episodes)
+        .select("podcast_id", "term", *_SHOWN, score.alias("score"))
+        .withColumn("confidence", keyword_confidence(F.col("score")))
     )
-    return best.withColumn("confidence", keyword_confidence(F.col("score")))
 
 
-def _keyword_order() -> list[Column]:
-    released = F.coalesce(
-        F.unix_micros(F.col("release_date").cast("timestamp")), F.lit(0).cast("bigint")
-    )
-    return [-F.col("score"), -released, F.col("ord")]
+def keyword_episode(requests: DataFrame, episodes: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+    """Episode with the best share of ranked keywords, at least 0.3; first on ties."""
+    keywords = ranked_keywords(F.col("term"), limits.max_keywords)
+    return _by_keywords(requests, episodes, keywords, limits.keyword_score, "ord")
 
 
-def best_by_keywords(requests: DataFrame, listing: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+def best_by_keywords(requests: DataFrame, episodes: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """Episode with the best share of plain keywords; the newest one on ties."""
-    rows = with_listing(requests.withColumn("_k", plain_keywords(F.col("term"))), listing)
-    rows = rows.withColumn("score", keyword_score(F.col("title"), F.col("_k"))).drop("_k")
-    best = first_by(
-        rows.where(F.col("score") >= limits.any_keyword_score),
-        ["podcast_id", "term"],
-        _keyword_order(),
-    )
-    return best.withColumn("confidence", keyword_confidence(F.col("score")))
+    keywords = plain_keywords(F.col("term"))
+    return _by_keywords(requests, episodes, keywords, limits.any_keyword_score, "newest")
 
 
-def fuzzy_episodes(requests: DataFrame, listing: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+def fuzzy_episodes(requests: DataFrame, episodes: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """Title match (equal, contained, containing) at confidence 0.9, else plain keywords.
 
-    One pass over the listing and one partial aggregate: a title match sorts before
+    One pass over the episodes and one partial aggregate: a title match goes before
     every keyword match.
     """
-    keyed = requests.withColumn("_k", plain_keywords(F.col("term")))
-    rows = with_listing(keyed, listing).withColumns(
-        {
-            "tier": match_tier(F.col("term"), F.col("title")),
-            "score": keyword_score(F.col("title"), F.col("_k")),
-        }
-    ).drop("_k")
-    usable = rows.where(
-        F.col("tier").isNotNull() | (F.col("score") >= limits.any_keyword_score)
+    search, keywords = trim_blank(low_title(F.col("term"))), plain_keywords(F.col("term"))
+    rows = (
+        requests.withColumn("_s", search).withColumn("_k", keywords)
+        .join(episodes, "podcast_id")
+        .select(
+            "podcast_id", "term", "ord", "newest",
+            tier_of(F.col("_s"), F.col("low")).alias("tier"),
+            shared_keywords(F.lower("title"), F.col("low_words"), F.col("_k")).alias("score"),
+        )
     )
     tiered = F.col("tier").isNotNull()
-    order = [
-        F.coalesce("tier", F.lit(9)),
-        *[F.when(tiered, F.lit(0)).otherwise(o) for o in _keyword_order()[:2]],
-        F.col("ord"),
-    ]
-    best = first_by(usable, ["podcast_id", "term"], order)
-    return best.withColumn(
-        "confidence",
-        F.when(F.col("tier").isNotNull(), F.lit(0.9)).otherwise(keyword_confidence(F.col("score"))),
-    )
+    usable = rows.where(tiered | (F.col("score") >= limits.any_keyword_score))
+    best = _best(
+        usable,
+        F.when(tiered, 100.0 - F.col("tier")).otherwise(F.col("score")),
+        F.when(tiered, F.col("ord")).otherwise(F.col("newest")),
+    )
+    found = _with_episode(best, episodes).select(
+        "podcast_id", "term", *_SHOWN,
+        tier_of(search, F.col("low")).alias("tier"),
+        shared_keywords(F.lower("title"), F.col("low_words"), keywords).alias("score"),
+    )
+    confidence = F.when(tiered, F.lit(0.9)).otherwise(keyword_confidence(F.col("score")))
+    return found.withColumn("confidence", confidence)
 
 
 def explain_keywords(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,11 +12,20 @@ from cueglass.config import DEFAULT, Limits
 
 
 def set_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a scratch folder only when none is set."""
+    """Use the shared folder that ``spark.checkpoint.dir`` names.
+
+    Only a session that runs in this one process may do without it: it gets a scratch
+    folder. On a cluster a missing setting is an error.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cueglass-"))
+    if context.getCheckpointDir() is not None:
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="cueglass-")
+    context.setCheckpointDir(shared)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -54,22 +64,18 @@ def skew_join(
 
     A key with more than ``hot_pairs`` pairs is split: its rows of ``many`` are spread
     over buckets of about that many pairs and its rows of ``few`` are copied into
-    each bucket. The list of such keys is cut at ``hot_keys`` entries, so broadcasting
-    it is safe at any scale; a key that is not listed joins unsplit. Small rows may
-    meet in very many pairs, so both sides are spread over all shuffle partitions
-    instead of being packed together by size.
+    each bucket. The list of such keys is joined by key, so it may grow with the data.
+    Small rows may meet in very many pairs, so both sides are spread over all shuffle
+    partitions instead of being packed together by size.
     """
     tasks = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = F.col("_many") * F.col("_few")
-    buckets = F.least(F.ceil(met / limits.hot_pairs), F.col("_many"), F.lit(limits.max_salt))
-    hot = F.broadcast(
+    buckets = F.least(F.ceil(met / limits.hot_pairs), F.col("_many"))
+    hot = (
         many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_many"))
         .join(few.groupBy(*keys).agg(F.count(F.lit(1)).alias("_few")), keys)
         .where(met > limits.hot_pairs)
-        .select(*keys, met.alias("_met"), buckets.cast("int").alias("_salts"))
-        .orderBy(F.desc("_met"), *keys)
-        .limit(limits.hot_keys)
-        .drop("_met")
+        .select(*keys, buckets.cast("int").alias("_salts"))
     )
     spread = F.pmod(F.xxhash64(*many.columns), F.col("_salts")).cast("int")
     left = many.join(hot, keys, "left").withColumn("_salt", F.coalesce(spread, F.lit(0)))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,7 +143,6 @@ def first_similar_items(
     podcast, so a feed with very many items is not compared item by item. Texts without
     a letter or digit count as contained in any other text.
     """
-    exact = replace(limits, min_contained_chars=1)
     asked = cut(requests.select("podcast_id", "term", title_norm(F.col("term")).alias("n")))
     named = items.where(F.length("title") > 0).withColumn("m", title_norm(F.col("title")))
     # Copies of a text are one text: only its first item can be the answer.
@@ -155,7 +152,7 @@ def first_similar_items(
         norm_texts(per_text, "title", ["podcast_id"]),
         limits.feed_item_similarity,
         scope=["podcast_id"],
-        limits=exact,
+        limits=limits,
     ).select("podcast_id", F.col("term").alias("n"), F.col("title").alias("m"))
     fields = ["podcast_id", "term", "pos", "title", "url", "type", "length"]
     has_word = lambda name: F.col(name).rlike(r"\S")

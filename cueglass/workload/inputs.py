@@ -50,24 +50,14 @@ def line_order() -> Column:
 
 
 def podcasts(t: Tables) -> DataFrame:
-    return (
-        t.part.select("p_partkey", part_title().alias("title"))
-        .groupBy("title")
-        .agg(F.min("p_partkey").alias("podcast_id"))
-    )
+    """Every part is a podcast; some share a title."""
+    return t.part.select(F.col("p_partkey").alias("podcast_id"), part_title().alias("title"))
 
 
 def podcast_terms(t: Tables) -> DataFrame:
     return podcasts(t).select("podcast_id", noisy_title(F.col("title")).alias("term"))
 
 
-def _podcast_of_part(t: Tables) -> DataFrame:
-    keyed = t.part.select("p_partkey", part_title().alias("title"))
-    return keyed.join(podcasts(t), "title").select(
-        F.col("p_partkey").alias("l_partkey"), "podcast_id", F.col("title").alias("podcast_title")
-    )
-
-
 def _episode_title() -> Column:
     return F.concat_ws(" ", "o_orderpriority", "s_name", F.date_format("o_orderdate", "MMMM"))
 
@@ -77,7 +67,8 @@ def _named_items(t: Tables) -> DataFrame:
     orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", "o_orderdate")
     suppliers = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
     return (
-        t.lineitem.join(_podcast_of_part(t), "l_partkey")
+        t.lineitem.withColumn("podcast_id", F.col("l_partkey"))
+        .join(podcasts(t).withColumnRenamed("title", "podcast_title"), "podcast_id")
         .join(orders, "l_orderkey")
         .join(suppliers, "l_suppkey")
         .withColumn("title", _episode_title())
@@ -96,16 +87,26 @@ def episodes(t: Tables) -> DataFrame:
 
 
 def episode_terms(t: Tables) -> DataFrame:
+    """One request for every episode, as a screen may show its title."""
+    return episodes(t).select("podcast_id", noisy_episode(F.col("title")).alias("term")).distinct()
+
+
+def last_episode_terms(t: Tables) -> DataFrame:
     """One request per podcast: its last title in the alphabet, as a screen may show it."""
     last = episodes(t).groupBy("podcast_id").agg(F.max("title").alias("title"))
     return last.select("podcast_id", noisy_episode(F.col("title")).alias("term"))
 
 
+def first_words(t: Tables, n: int) -> DataFrame:
+    """The first ``n`` words of every document, split at blanks."""
+    return t.documents.select(F.substring_index("text", " ", n).alias("title")).distinct()
+
+
 def text_pairs(t: Tables) -> DataFrame:
     return (
         podcast_terms(t)
         .withColumnRenamed("term", "podcast_text")
-        .join(episode_terms(t).withColumnRenamed("term", "episode_text"), "podcast_id")
+        .join(last_episode_terms(t).withColumnRenamed("term", "episode_text"), "podcast_id")
         .select("podcast_text", "episode_text")
         .distinct()
     )
@@ -405,28 +406,30 @@ def clips(t: Tables) -> DataFrame:
     )
 
 
-def range_events(t: Tables) -> DataFrame:
+def _ranges(t: Tables, op: Column) -> DataFrame:
     start = F.floor("value").cast("int")
     reach = F.get_json_object("props", "$.k").cast("int")
     return t.events.select(
         F.col("user_id").alias("clip_id"),
         F.col("event_id").alias("seq"),
-        F.when(F.col("event_type").isin("click", "purchase"), "deselect").otherwise("select").alias("op"),
+        op.alias("op"),
         start.alias("from_index"),
         (start + reach).alias("to_index"),
     )
 
 
+def range_events(t: Tables) -> DataFrame:
+    removes = F.col("event_type").isin("click", "purchase")
+    return _ranges(t, F.when(removes, "deselect").otherwise("select"))
+
+
 def gesture_events(t: Tables) -> DataFrame:
     kind = F.col("event_type")
-    op = (
+    return _ranges(
+        t,
         F.when(kind == "click", "click").when(kind == "view", "drag")
-        .when(kind == "error", "deselect").otherwise("select")
-    )
-    rows = range_events(t).drop("op").join(
-        t.events.select(F.col("event_id").alias("seq"), op.alias("op")), "seq"
+        .when(kind == "error", "deselect").otherwise("select"),
     )
-    return rows.select("clip_id", "seq", "op", "from_index", "to_index")
 
 
 def files(t: Tables) -> DataFrame:

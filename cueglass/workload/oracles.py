@@ -52,8 +52,7 @@ def shown(seconds: str) -> str:
 PART_TITLES = """part_titles AS (
   SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type AS title FROM part)"""
 
-PODCASTS = """podcasts AS (
-  SELECT min(p_partkey) AS podcast_id, title FROM part_titles GROUP BY title)"""
+PODCASTS = """podcasts AS (SELECT p_partkey AS podcast_id, title FROM part_titles)"""
 
 TERMS = f"""terms AS (SELECT podcast_id, {noisy('title')} AS term FROM podcasts)"""
 
@@ -61,19 +60,21 @@ EPISODES = """named_items AS (
   SELECT l.*, p.podcast_id, t.title AS podcast_title,
          o_orderpriority || ' ' || s_name || ' ' || strftime(o_orderdate, '%B') AS title
   FROM lineitem l JOIN part_titles t ON l_partkey = t.p_partkey
-  JOIN podcasts p ON p.title = t.title
+  JOIN podcasts p ON p.podcast_id = l_partkey
   JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey),
 episodes AS (
   SELECT podcast_id, title, min(l_orderkey * 10 + l_linenumber) AS episode_id,
          max(l_shipdate) AS release_date
   FROM named_items GROUP BY podcast_id, title),
 listing AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY podcast_id
-    ORDER BY release_date DESC NULLS LAST, episode_id) AS ord FROM episodes) WHERE ord <= 200)"""
+  SELECT *, row_number() OVER (PARTITION BY podcast_id
+    ORDER BY release_date DESC NULLS LAST, episode_id) AS ord FROM episodes)"""
 
-EPISODE_TERMS = r"""episode_terms AS (
-  SELECT podcast_id, CASE WHEN length(title) % 2 = 0 THEN regexp_replace(title, '^\d-', '')
-    ELSE regexp_replace(title, '.$', '') END AS term
+NOISY_EPISODE = r"""CASE WHEN length(title) % 2 = 0 THEN regexp_replace(title, '^\d-', '')
+    ELSE regexp_replace(title, '.$', '') END"""
+
+EPISODE_TERMS = f"""episode_terms AS (SELECT DISTINCT podcast_id, {NOISY_EPISODE} AS term FROM episodes),
+last_episode_terms AS (SELECT podcast_id, {NOISY_EPISODE} AS term
   FROM (SELECT podcast_id, max(title) AS title FROM episodes GROUP BY podcast_id))"""
 
 CATALOG = [PART_TITLES, PODCASTS, TERMS]
@@ -235,6 +236,22 @@ ALL_PAIRS = [
 ORACLES["fuzzy_catalog_join"] = f"""{with_(*CATALOG, *ALL_PAIRS)}
 SELECT term, title, round(sim, 6) AS similarity FROM scored WHERE sim > 0.7"""
 
+SHORT_TITLES = [
+    r"""short_pairs AS (SELECT a.x AS term, b.y AS title FROM
+  (SELECT DISTINCT split_part(text, ' ', 1) AS x FROM documents) a,
+  (SELECT DISTINCT CASE WHEN contains(text, ' ') THEN split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)
+    ELSE text END AS y FROM documents) b)""",
+    similarity("short_pairs", "term", "title", "scored"),
+]
+
+# Texts without ASCII letters or digits are matched by their lowered, trimmed originals.
+ORACLES["short_title_join"] = rf"""{with_(*SHORT_TITLES)}
+SELECT DISTINCT _na AS term, _nb AS title, round(sim, 6) AS similarity FROM scored
+WHERE regexp_matches(_na, '\S') AND regexp_matches(_nb, '\S') AND sim > 0.7
+UNION SELECT DISTINCT chr(0) || {trim('lower(term)')}, chr(0) || {trim('lower(title)')}, 1.0 FROM scored
+WHERE NOT regexp_matches(_na, '\S') AND NOT regexp_matches(_nb, '\S')
+  AND {trim('lower(term)')} = {trim('lower(title)')} AND {trim('lower(term)')} <> ''"""
+
 BEST_PODCAST = f"""best_podcast AS (
   SELECT term, podcast_id, sim FROM (
     SELECT term, podcast_id, sim, row_number() OVER (PARTITION BY term ORDER BY sim DESC, podcast_id) AS r
@@ -256,7 +273,7 @@ SELECT term, string_agg(podcast_id::VARCHAR, ' ' ORDER BY rank) AS suggestions
 FROM searched WHERE rank <= 3 GROUP BY term"""
 
 ORACLES["episode_listing"] = f"""{with_(*CATALOG, EPISODES)}
-SELECT podcast_id, ord, episode_id, title FROM listing"""
+SELECT podcast_id, ord, episode_id, title FROM listing WHERE ord <= 200"""
 
 ASKED = """asked AS (SELECT podcast_id, term, episode_id, title, release_date, ord
   FROM episode_terms JOIN listing USING (podcast_id))"""
@@ -276,8 +293,10 @@ ORACLES["episode_search_topk"] = ranked_episodes("sim > 0.1", "rank <= 10")
 ORACLES["episode_rank"] = ranked_episodes("sim > 0.3", "true")
 
 ORACLES["keyword_episode"] = f"""{with_(*FULL_CATALOG, ASKED,
-    ranked_keywords('episode_terms', 'podcast_id', 'term', 'kw'),
-    f"s AS (SELECT a.*, {kw_score('title', 'kws')} AS score FROM asked a JOIN kw USING (podcast_id))")}
+    "numbered AS (SELECT *, row_number() OVER () AS request FROM episode_terms)",
+    ranked_keywords('numbered', 'request', 'term', 'kw'),
+    f"""s AS (SELECT a.*, {kw_score('title', 'kws')} AS score
+  FROM asked a JOIN numbered USING (podcast_id, term) JOIN kw USING (request))""")}
 SELECT podcast_id, term, episode_id, round(0.5 + 0.3 * score, 6) AS confidence FROM (
   SELECT *, row_number() OVER (PARTITION BY podcast_id, term ORDER BY score DESC, ord) AS r
   FROM s WHERE score >= 0.3) WHERE r = 1"""
@@ -314,7 +333,7 @@ ORACLES["fuzzy_episode_match"] = f"""{with_(*FULL_CATALOG, ASKED, fuzzy_episode(
 SELECT podcast_id, term, episode_id, round(confidence, 6) AS confidence FROM f"""
 
 TEXT_PAIRS = """text_pairs AS (SELECT DISTINCT t.term AS podcast_text, e.term AS episode_text
-  FROM terms t JOIN episode_terms e USING (podcast_id))"""
+  FROM terms t JOIN last_episode_terms e USING (podcast_id))"""
 
 
 def cleaned(x: str) -> str:
@@ -334,9 +353,9 @@ FUZZY_PODCAST = [
     f"""page_pairs AS (SELECT search, title, podcast_id FROM (SELECT DISTINCT search FROM usable),
   (SELECT podcast_id, title FROM podcasts))""",
     similarity("page_pairs", "search", "title", "page_scored"),
-    """pages_found AS (SELECT * FROM (
+    """pages_found AS (
   SELECT search, podcast_id, sim, row_number() OVER (PARTITION BY search ORDER BY sim DESC, podcast_id) AS rank
-  FROM page_scored WHERE sim >= 0.85) WHERE rank <= 10)""",
+  FROM page_scored WHERE sim >= 0.85)""",
     """tries AS (SELECT p.podcast_text, p.episode_text AS term, u.phase, f.rank, f.podcast_id, f.sim
   FROM text_pairs p JOIN usable u USING (podcast_text) JOIN pages_found f USING (search))""",
     """try_asked AS (SELECT podcast_id, term, episode_id, title, release_date, ord
@@ -532,10 +551,10 @@ ORACLES["candidate_score"] = f"""{with_(PART_TITLES, TEXT_LINES)}
 SELECT kind, id, n, round({SCORE}, 6) AS score FROM text_lines"""
 
 ORACLES["top_candidates"] = f"""{with_(PART_TITLES, TEXT_LINES,
-    f"s AS (SELECT id, n, shown, {SCORE} AS score FROM text_lines WHERE kind = 'document' AND {IS_VALID})")}
+    f"s AS (SELECT kind || ' ' || id AS image_id, n, shown, {SCORE} AS score FROM text_lines WHERE {IS_VALID})")}
 SELECT image_id, ord, line_key, text, round(score, 6) AS score FROM (
-  SELECT id AS image_id, n AS line_key, shown AS text, score,
-    row_number() OVER (PARTITION BY id ORDER BY score DESC, n) AS ord FROM s) WHERE ord <= 8"""
+  SELECT image_id, n AS line_key, shown AS text, score,
+    row_number() OVER (PARTITION BY image_id ORDER BY score DESC, n) AS ord FROM s) WHERE ord <= 8"""
 
 PLAYER_WORDS = f"""screen_items AS (
   SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, podcast_title, title FROM named_items),
@@ -689,7 +708,7 @@ FROM orders LEFT JOIN winners w ON w.image_id = o_orderkey LEFT JOIN podcasts p
 
 ORACLES["union_dedupe"] = f"""{with_(PART_TITLES, LINES, HEIGHTS,
     '''both_bands AS (SELECT *, CASE WHEN avg_y >= height * 0.45::DOUBLE THEN 0 ELSE 1 END AS part
-  FROM lines JOIN heights USING (image_id) WHERE avg_y <= height * 0.875::DOUBLE)''')}
+  FROM lines JOIN heights USING (image_id))''')}
 SELECT image_id, text, part, line_key FROM (
   SELECT *, row_number() OVER (PARTITION BY image_id, text ORDER BY part, line_key) AS r FROM both_bands)
 WHERE r = 1"""
@@ -949,7 +968,8 @@ SELECT podcast_id, term, pos AS episode_id, title FROM first_item"""
 ORACLES["feed_audio_url"] = f"{with_(*FIRST_ITEM, AUDIO)} SELECT * FROM audio"
 
 ORACLES["clip_transcript"] = f"""{with_(*FIRST_ITEM, AUDIO, SPOKEN, TOKENS, TIMED, CLIPS,
-    '''ready AS (SELECT w.*, a.podcast_id, a.audio_url FROM windows w LEFT JOIN audio a ON a.podcast_id = w.clip_id)''',
+    '''ready AS (SELECT w.*, a.podcast_id, a.audio_url FROM windows w LEFT JOIN (
+  SELECT a.* FROM audio a JOIN last_episode_terms USING (podcast_id, term)) a ON a.podcast_id = w.clip_id)''',
     '''said AS (SELECT r.clip_id, string_agg(t.text, ' ' ORDER BY t.word_index) AS transcript,
     avg(t.confidence) AS confidence, count(*) AS word_count
   FROM ready r JOIN timed t ON t.episode_id = r.clip_id AND t.start_ms >= r.start_ms AND t.start_ms < r.end_ms

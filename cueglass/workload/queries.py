@@ -135,6 +135,17 @@ def fuzzy_catalog_join(t: Tables) -> DataFrame:
     return found.select("term", "title", six("similarity").alias("similarity"))
 
 
+@query
+def short_title_join(t: Tables) -> DataFrame:
+    """Titles of one or two words, some of one letter and some without ASCII letters."""
+    found = catalog.fuzzy_pairs(
+        catalog.norm_texts(inputs.first_words(t, 1), "title"),
+        catalog.norm_texts(inputs.first_words(t, 2), "title"),
+        0.7,
+    )
+    return found.select("term", "title", six("similarity").alias("similarity"))
+
+
 @query
 def podcast_match(t: Tables) -> DataFrame:
     found = catalog.match_podcasts(inputs.podcast_terms(t), inputs.podcasts(t))
@@ -156,7 +167,7 @@ def podcast_suggestions(t: Tables) -> DataFrame:
 
 
 def _episode_case(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return inputs.episode_terms(t), catalog.episode_listing(inputs.episodes(t))
+    return inputs.episode_terms(t), cut(catalog.catalog_episodes(inputs.episodes(t)))
 
 
 @query
@@ -292,17 +303,17 @@ def candidate_score(t: Tables) -> DataFrame:
 
 @query
 def top_candidates(t: Tables) -> DataFrame:
-    docs = inputs.text_lines(t).where("kind = 'document'").select(
-        F.col("id").alias("image_id"), F.col("n").alias("line_key"), F.lit(0).alias("part"),
-        "text", "avg_area", "word_count",
+    lines = inputs.text_lines(t).select(
+        F.concat("kind", F.lit(" "), "id").alias("image_id"), F.col("n").alias("line_key"),
+        F.lit(0).alias("part"), "text", "avg_area", "word_count",
     )
-    best = layout.rank_candidates(layout.score_lines(docs))
+    best = layout.rank_candidates(layout.score_lines(lines))
     return best.select("image_id", "ord", "line_key", "text", six("score").alias("score"))
 
 
 @query
 def union_dedupe(t: Tables) -> DataFrame:
-    rows = inputs.lines(t).join(inputs.heights(t), "image_id").where("avg_y <= height * 0.875")
+    rows = inputs.lines(t).join(inputs.heights(t), "image_id")
     lower = rows.where("avg_y >= height * 0.45").withColumn("part", F.lit(0))
     upper = rows.where("avg_y < height * 0.45").withColumn("part", F.lit(1))
     both = lower.unionByName(upper).select("image_id", "text", "part", "line_key")
@@ -618,7 +629,7 @@ def feed_audio_url(t: Tables) -> DataFrame:
 @query
 def clip_transcript(t: Tables) -> DataFrame:
     asked = inputs.clips(t).join(
-        inputs.episode_terms(t).select(
+        inputs.last_episode_terms(t).select(
             F.col("podcast_id").alias("clip_id"), "podcast_id", F.col("term").alias("episode_title")
         ),
         "clip_id",
@@ -676,6 +687,12 @@ def resolve_image(t: Tables) -> DataFrame:
     )
 
 
+@query
+def resolution_methods(t: Tables) -> DataFrame:
+    """How many images each way of resolving settles."""
+    return resolve_image(t).groupBy("method", "validated").agg(F.count(F.lit(1)).alias("images"))
+
+
 @query
 def extract_records(t: Tables) -> DataFrame:
     screens, texts, found = _layout(t)

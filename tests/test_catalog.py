@@ -32,16 +32,13 @@ def brute_force(spark, terms, titles, low, inclusive):
     )
     out = {}
     for r in rows:
-        short, long = sorted([r.term, r.title], key=len)
-        if short != long and len(short) < 3 and short in long:
-            continue
         if r.s > low or (inclusive and r.s >= low):
             out[r.term, r.title] = round(r.s, 9)
     return out
 
 
 @pytest.mark.parametrize("low,inclusive", [(0.7, False), (0.85, True), (0.5, False), (0.0, False)])
-@pytest.mark.parametrize("limits", [Limits(), Limits(hot_pairs=30, hot_keys=5, frequent_words=4)])
+@pytest.mark.parametrize("limits", [Limits(), Limits(hot_pairs=30)])
 def test_fuzzy_pairs_lose_nothing(spark, low, inclusive, limits):
     terms, titles = texts(1, 150), texts(2, 200)
     t = spark.createDataFrame([(x,) for x in terms], "term string")
@@ -52,6 +49,7 @@ def test_fuzzy_pairs_lose_nothing(spark, low, inclusive, limits):
     ).collect()
     found = {(r.term, r.title): round(r.similarity, 9) for r in got}
     assert len(found) == len(got)
+    assert found.pop(("\0日本", "\0日本")) == 1.0
     assert found == brute_force(spark, terms, titles, low, inclusive)
 
 
@@ -108,7 +106,7 @@ def episodes(spark):
 
 
 def test_episode_lookups(spark):
-    listing = catalog.episode_listing(episodes(spark))
+    listing = catalog.catalog_episodes(episodes(spark))
     requests = spark.createDataFrame(
         [(1, "the pilot"), (1, "persuaders of men"), (1, "zzz"), (2, "passion")],
         "podcast_id bigint, term string",
@@ -138,3 +136,42 @@ def test_listing_is_bounded(spark):
     listing = catalog.episode_listing(df).first().listing
     assert [e.episode_id for e in listing] == list(range(200))
     assert list(itertools.islice((e.ord for e in listing), 3)) == [1, 2, 3]
+
+
+def test_short_and_other_scripts_are_matched(spark):
+    titles = ["Go daily", "IT", "日本語ラジオ", "Émission", "!!!", "x" * 10_000]
+    podcasts = spark.createDataFrame(list(enumerate(titles)), "podcast_id bigint, title string")
+    terms = ["Go", "IT daily", "日本語ラジオ ", "émission", "!!!", "日本", "x" * 10_000, " ", None]
+    got = {r.term: r.podcast_id for r in catalog.match_podcasts(
+        spark.createDataFrame([(t,) for t in terms], "term string"), podcasts).collect()}
+    assert got == {
+        "go": 0, "it daily": 1, "\0日本語ラジオ": 2, "mission": 3, "\0!!!": 4, "x" * 10_000: 5
+    }
+
+
+def test_long_words_meet_by_their_beginnings(spark):
+    word = "abcdefghijklmnopqrstuvwxyz"
+    t = spark.createDataFrame([(f"{word[:20]} news",), (f"{word[:16]} show",)], "term string")
+    c = spark.createDataFrame([(f"news {word}",), (f"show {word[:17]}",)], "title string")
+    got = catalog.fuzzy_pairs(catalog.norm_texts(t, "term"), catalog.norm_texts(c, "title"), 0.7).collect()
+    assert {(r.term[-4:], r.title[:4]) for r in got} == {("news", "news"), ("show", "show")}
+
+
+def test_all_episodes_are_matched(spark):
+    rows = [(1, i, f"part {i}", f"2020-01-{1 + i % 28:02d}") for i in range(300)]
+    rows.append((1, 999, "the oldest of all", "2001-01-01"))
+    old = spark.createDataFrame(rows, "podcast_id bigint, episode_id bigint, title string, d string").select(
+        "podcast_id", "episode_id", "title", F.to_timestamp("d").alias("release_date"))
+    requests = spark.createDataFrame([(1, "oldest of all")], "podcast_id bigint, term string")
+    listed = catalog.catalog_episodes(old)
+    for find in (catalog.match_episodes, catalog.search_episodes, catalog.keyword_episode,
+                 catalog.best_by_keywords, catalog.fuzzy_episodes):
+        assert [r.episode_id for r in find(requests, listed).collect()] == [999]
+
+
+def test_best_match_is_a_hash_aggregate(spark, tmp_path):
+    catalog.catalog_episodes(episodes(spark)).write.parquet(f"{tmp_path}/e")
+    spark.createDataFrame([(1, "a")], "podcast_id bigint, term string").write.parquet(f"{tmp_path}/r")
+    best = catalog.best_match(spark.read.parquet(f"{tmp_path}/r"), spark.read.parquet(f"{tmp_path}/e"))
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
