@@ -17,30 +17,34 @@ from cueglass.sources.readers import ocr_texts, ocr_words
 def _update(
     key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
-    words, last = state.get if state.exists else ([], -1)
-    selected = set(words)
-    events = pd.concat(batches).sort_values("seq")
-    for e in events.itertuples(index=False):
-        if e.seq > last:
-            stop = None if pd.isna(e.to_index) else int(e.to_index)
-            apply_event(selected, e.op, int(e.from_index), stop)
-            last = int(e.seq)
-    state.update((sorted(selected), last))
+    known = {event[0]: event for event in zip(*state.get)} if state.exists else {}
+    for batch in batches:
+        stops = batch["to_index"].astype("Int64")
+        for seq, op, start, stop in zip(batch["seq"], batch["op"], batch["from_index"], stops):
+            event = int(seq), op, int(start), None if pd.isna(stop) else int(stop)
+            known.setdefault(event[0], event)
+    events = [known[seq] for seq in sorted(known)]
+    selected: set[int] = set()
+    for _, op, start, stop in events:
+        apply_event(selected, op, start, stop)
+    state.update(tuple(list(column) for column in zip(*events)))
     yield pd.DataFrame(
-        {"clip_id": [key[0]], "seq": [last], "word_indexes": [sorted(selected)]}
+        {"clip_id": [key[0]], "seq": [events[-1][0]], "word_indexes": [sorted(selected)]}
     )
 
 
 def stream_selections(events: DataFrame) -> DataFrame:
     """Current selection per clip from a stream of selection events.
 
-    State is the selection and the last ``seq`` seen; an event that is delivered
-    again, or behind one already applied, is skipped.
+    What an event does depends on all events before it in order of ``seq``, so the state
+    holds the events of a clip and a late one is put in its place: after all have
+    arrived, in any order, the selection is that of ``fold_events``. Events that are
+    delivered again are skipped.
     """
     return events.groupBy("clip_id").applyInPandasWithState(
         _update,
         "clip_id string, seq bigint, word_indexes array<int>",
-        "word_indexes array<int>, seq bigint",
+        "seqs array<bigint>, ops array<string>, starts array<int>, stops array<int>",
         "update",
         GroupStateTimeout.NoTimeout,
     )

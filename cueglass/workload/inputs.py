@@ -59,7 +59,10 @@ def podcast_terms(t: Tables) -> DataFrame:
 
 
 def _episode_title() -> Column:
-    return F.concat_ws(" ", "o_orderpriority", "s_name", F.date_format("o_orderdate", "MMMM"))
+    """Some podcasts have an episode that is called almost as they are."""
+    return F.when(
+        F.col("l_orderkey") % 5 == 4, F.concat("podcast_title", F.lit(" Bonus"))
+    ).otherwise(F.concat_ws(" ", "o_orderpriority", "s_name", F.date_format("o_orderdate", "MMMM")))
 
 
 def _named_items(t: Tables) -> DataFrame:
@@ -206,17 +209,25 @@ def name_words(t: Tables) -> DataFrame:
 def player_words(t: Tables) -> DataFrame:
     """OCR words of player screens, one screen per order.
 
-    Each item shows its episode title, below it its podcast as a screen may cut it,
-    and below that a playback position.
+    Each item shows its episode title, its podcast as a screen may cut it, and below
+    them a playback position. On every fifth screen the podcast stands above the episode;
+    on another fifth the episode's month and place are lost among other words, so that
+    only keywords find it; on another the two titles are too alike to make a pair.
     """
+    kind = F.col("l_orderkey") % 5
     clock = F.concat(
         (F.col("l_partkey") % 60).cast("string"),
         F.lit(":"),
         F.lpad((F.col("l_suppkey") % 60).cast("string"), 2, "0"),
     )
+    last_two = F.slice(F.reverse(F.split("title", " ")), 1, 2)
+    wordy = F.concat_ws(" ", last_two, F.lit("on air ab cd ef gh ij kl mn"))
+    episode = F.when(kind == 3, wordy).otherwise(F.col("title"))
+    podcast = F.when(kind == 4, F.col("podcast_title")).otherwise(noisy_title(F.col("podcast_title")))
+    above = (kind == 2).cast("int")
     shown = F.array(
-        F.struct(F.lit(0).alias("line"), F.lit(60).alias("h"), F.col("title").alias("text")),
-        F.struct(F.lit(1).alias("line"), F.lit(56).alias("h"), noisy_title(F.col("podcast_title")).alias("text")),
+        F.struct(above.alias("line"), F.lit(60).alias("h"), episode.alias("text")),
+        F.struct((1 - above).alias("line"), F.lit(56).alias("h"), podcast.alias("text")),
         F.struct(F.lit(2).alias("line"), F.lit(30).alias("h"), clock.alias("text")),
     )
     items = _named_items(t).select(

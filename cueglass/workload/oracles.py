@@ -58,7 +58,8 @@ TERMS = f"""terms AS (SELECT podcast_id, {noisy('title')} AS term FROM podcasts)
 
 EPISODES = """named_items AS (
   SELECT l.*, p.podcast_id, t.title AS podcast_title,
-         o_orderpriority || ' ' || s_name || ' ' || strftime(o_orderdate, '%B') AS title
+         CASE WHEN l_orderkey % 5 = 4 THEN t.title || ' Bonus'
+           ELSE o_orderpriority || ' ' || s_name || ' ' || strftime(o_orderdate, '%B') END AS title
   FROM lineitem l JOIN part_titles t ON l_partkey = t.p_partkey
   JOIN podcasts p ON p.podcast_id = l_partkey
   JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey),
@@ -561,8 +562,11 @@ PLAYER_WORDS = f"""screen_items AS (
 shown_lines AS (
   SELECT l_orderkey AS image_id, {LINE_ORDER} * 10 + line * 20 AS first_idx, text, h,
     l_linenumber * 2600 + l_partkey % 12 * 210 + line * 70 AS y0
-  FROM (SELECT *, 0 AS line, 60 AS h, title AS text FROM screen_items
-    UNION ALL SELECT *, 1, 56, {noisy('podcast_title')} FROM screen_items
+  FROM (SELECT *, CASE WHEN l_orderkey % 5 = 2 THEN 1 ELSE 0 END AS line, 60 AS h,
+      CASE WHEN l_orderkey % 5 = 3 THEN string_split(title, ' ')[-1] || ' ' || string_split(title, ' ')[-2]
+        || ' on air ab cd ef gh ij kl mn' ELSE title END AS text FROM screen_items
+    UNION ALL SELECT *, CASE WHEN l_orderkey % 5 = 2 THEN 0 ELSE 1 END, 56,
+      CASE WHEN l_orderkey % 5 = 4 THEN podcast_title ELSE {noisy('podcast_title')} END FROM screen_items
     UNION ALL SELECT *, 2, 30, (l_partkey % 60)::VARCHAR || ':' || lpad((l_suppkey % 60)::VARCHAR, 2, '0')
       FROM screen_items)),
 player_words AS (
@@ -706,6 +710,9 @@ SELECT o_orderkey AS image_id, coalesce(w.podcast_id, -1) AS podcast_id, coalesc
   CASE WHEN stage IS NULL THEN 'unvalidated' ELSE 'validated' END AS player
 FROM orders LEFT JOIN winners w ON w.image_id = o_orderkey LEFT JOIN podcasts p ON p.podcast_id = w.podcast_id"""
 
+ORACLES["resolution_methods"] = f"""SELECT method, validated, count(*) AS images
+FROM ({ORACLES["resolve_image"]}) GROUP BY method, validated"""
+
 ORACLES["union_dedupe"] = f"""{with_(PART_TITLES, LINES, HEIGHTS,
     '''both_bands AS (SELECT *, CASE WHEN avg_y >= height * 0.45::DOUBLE THEN 0 ELSE 1 END AS part
   FROM lines JOIN heights USING (image_id))''')}
@@ -760,7 +767,7 @@ def context(text: str, part: str) -> str:
 
 CLOCK_WORDS = r"'\b(4:30a\.m\.|4:30p\.m\.|am|pm)\b'"
 
-ORACLES["timestamp_extract"] = rf"""{with_(CLOCK, TIME_SCREENS,
+SCREEN_TIMES = [
     r'''found AS (SELECT image_id, line_key, y, area, unnest(m) AS time, generate_subscripts(m, 1) AS hit
   FROM (SELECT *, regexp_extract_all(text, '\b\d{1,2}:\d{2}(?::\d{2})?\b') AS m FROM placed))''',
     rf'''fine AS (SELECT f.*, row_number() OVER (PARTITION BY image_id ORDER BY y DESC, line_key, hit) AS r
@@ -771,10 +778,31 @@ ORACLES["timestamp_extract"] = rf"""{with_(CLOCK, TIME_SCREENS,
     r'''everywhere AS (SELECT image_id, full_text, unnest(m) AS time, generate_subscripts(m, 1) AS hit
   FROM (SELECT *, regexp_extract_all(full_text, '\b\d{1,2}:\d{2}(?::\d{2})?\b') AS m FROM texts))''',
     rf'''spare AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY hit) AS r FROM everywhere
-  WHERE NOT contains(full_text, '-' || time) AND NOT regexp_matches({context('full_text', 'time')}, {CLOCK_WORDS}))''')}
-SELECT t.image_id, CASE WHEN t.image_id IN (SELECT image_id FROM found) THEN f.time ELSE s.time END AS timestamp
-FROM texts t LEFT JOIN fine f ON f.image_id = t.image_id AND f.r = 1
-LEFT JOIN spare s ON s.image_id = t.image_id AND s.r = 1"""
+  WHERE NOT contains(full_text, '-' || time) AND NOT regexp_matches({context('full_text', 'time')}, {CLOCK_WORDS}))''',
+    '''screen_times AS (
+  SELECT t.image_id, CASE WHEN t.image_id IN (SELECT image_id FROM found) THEN f.time ELSE s.time END AS timestamp
+  FROM texts t LEFT JOIN fine f ON f.image_id = t.image_id AND f.r = 1
+  LEFT JOIN spare s ON s.image_id = t.image_id AND s.r = 1)''',
+]
+
+ORACLES["timestamp_extract"] = f"""{with_(CLOCK, TIME_SCREENS, *SCREEN_TIMES)}
+SELECT image_id, timestamp FROM screen_times"""
+
+ORACLES["extract_records"] = f"""WITH RECURSIVE {PART_TITLES}, {PODCASTS}, {EPISODES}, {PLAYER_WORDS},
+{folded('player_words')}, {PLAYER_LINES}, {PLAYER_CANDIDATES}, {RESOLVED},
+texts AS (SELECT image_id, string_agg(text, ' ' ORDER BY word_idx) AS full_text FROM player_words GROUP BY image_id),
+placed AS (SELECT image_id, line_key, text, avg_y AS y, avg_area AS area FROM kept JOIN sized_lines USING (image_id, line_key)),
+{", ".join(SCREEN_TIMES)},
+lists AS (SELECT image_id, string_agg(text, ' ' ORDER BY ord) AS candidates FROM found_candidates GROUP BY image_id)
+SELECT o_orderkey AS image_id, coalesce(p.title, 'Episode not found') AS podcast_title,
+  coalesce(episode_title, 'Episode not found') AS episode_title, timestamp,
+  CASE WHEN stage IS NULL THEN 'unvalidated' ELSE 'validated' END AS player,
+  round(coalesce(confidence, 0.0), 6)::DOUBLE AS confidence,
+  CASE WHEN stage IS NULL THEN 'no_validation_successful' ELSE method END AS method, stage IS NOT NULL AS validated,
+  candidates, full_text AS raw_text, CASE WHEN full_text IS NULL THEN 'No text detected in image' END AS error
+FROM orders LEFT JOIN winners w ON w.image_id = o_orderkey LEFT JOIN podcasts p ON p.podcast_id = w.podcast_id
+LEFT JOIN texts t ON t.image_id = o_orderkey LEFT JOIN screen_times s ON s.image_id = o_orderkey
+LEFT JOIN lists c ON c.image_id = o_orderkey"""
 
 ORACLES["text_context"] = f"""{with_(CLOCK, TIME_SCREENS)}
 SELECT image_id, {context('full_text', 'short')} AS context,
@@ -885,6 +913,34 @@ WITH e AS (SELECT user_id AS clip_id, event_id AS seq, event_type IN ('click', '
 x AS (SELECT clip_id, seq, off, CAST(unnest(generate_series(a, a + k)) AS INTEGER) AS word_index FROM e),
 l AS (SELECT *, row_number() OVER (PARTITION BY clip_id, word_index ORDER BY seq DESC) AS r FROM x)
 SELECT clip_id, word_index FROM l WHERE r = 1 AND NOT off"""
+# The selection of each clip after each event; a block is bounded by the nearest words
+# that are not selected.
+ORACLES["selection_fold"] = """WITH RECURSIVE e AS (
+  SELECT user_id AS clip_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn,
+    CASE event_type WHEN 'click' THEN 'click' WHEN 'view' THEN 'drag' WHEN 'error' THEN 'deselect' ELSE 'select' END AS op,
+    CAST(floor(value) AS INTEGER) AS a,
+    CAST(floor(value) AS INTEGER) + coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 0) AS b FROM events),
+fold AS (
+  SELECT clip_id, 0::BIGINT AS rn, []::INTEGER[] AS sel FROM (SELECT DISTINCT clip_id FROM e)
+  UNION ALL
+  SELECT clip_id, rn, CASE
+    WHEN op = 'select' OR (op = 'drag' AND a <> b AND NOT held)
+      THEN list_distinct(list_concat(sel, CAST(generate_series(low, high) AS INTEGER[])))
+    WHEN op = 'deselect' THEN list_filter(sel, lambda x: x NOT BETWEEN low AND high)
+    WHEN op = 'drag' AND a <> b THEN list_filter(sel, lambda x: x NOT BETWEEN greatest(low, first) AND least(high, last))
+    WHEN op = 'click' AND NOT held THEN list_append(sel, a)
+    WHEN op = 'click' AND first = last THEN list_filter(sel, lambda x: x <> a)
+    WHEN op = 'click' THEN list_filter(sel, lambda x: x NOT BETWEEN a + 1 AND last)
+    ELSE sel END
+  FROM (
+    SELECT e.*, f.sel, list_contains(f.sel, a) AS held, least(a, b) AS low, greatest(a, b) AS high,
+      list_max(list_filter(range(-1, a), lambda x: NOT list_contains(f.sel, x::INTEGER))) + 1 AS first,
+      list_min(list_filter(range(a + 1, list_max(list_append(f.sel, a)) + 2),
+        lambda x: NOT list_contains(f.sel, x::INTEGER))) - 1 AS last
+    FROM fold f JOIN e ON e.clip_id = f.clip_id AND e.rn = f.rn + 1)),
+ends AS (SELECT clip_id, arg_max(sel, rn) AS sel FROM fold GROUP BY clip_id)
+SELECT clip_id, unnest(sel) AS word_index FROM ends"""
+
 ORACLES["low_confidence_words"] = f"""{with_(SPOKEN, TOKENS, TIMED)}
 SELECT episode_id, word_index, text, round(confidence, 6) AS confidence FROM timed WHERE confidence < 0.8::DOUBLE"""
 ORACLES["clip_stats"] = f"""{with_(SPOKEN, TOKENS, TIMED, CLIPS,

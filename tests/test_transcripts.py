@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cueglass import schemas
 from cueglass.config import Limits
 from cueglass.operators import edits, selection, transcript
 from cueglass.operators.scale import previous_value, running_total, skew_join
@@ -128,6 +129,48 @@ def test_stream_of_events(spark, tmp_path):
     assert rows == [("c", 1, [0, 1, 2]), ("c", 2, [0, 1]), ("d", 0, [1])]
 
 
+def test_stream_equals_fold_in_any_order(spark, tmp_path):
+    rng = random.Random(7)
+    schema = "clip_id string, seq bigint, op string, from_index int, to_index int"
+    events = [
+        (rng.choice("ab"), seq, rng.choice(["click", "drag", "select", "deselect"]), rng.randrange(20),
+         rng.choice([None, rng.randrange(20)]))
+        for seq in range(60)
+    ]
+    shuffled = rng.sample(events, len(events)) + events[:5]  # some come twice
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+    last = {}
+    for i in range(0, len(shuffled), 22):
+        part = spark.createDataFrame(shuffled[i : i + 22], schema)
+        part.coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        run = jobs.stream_selections(stream).writeStream.outputMode("update").foreachBatch(
+            lambda df, _: last.update({r.clip_id: sorted(r.word_indexes) for r in df.collect()})
+        )
+        started = run.option("checkpointLocation", str(tmp_path / "cp")).start()
+        started.processAllAvailable()
+        started.stop()
+    folded = selection.fold_events(spark.createDataFrame(events, schema)).collect()
+    expected = {c: sorted(r.word_index for r in folded if r.clip_id == c) for c in "ab"}
+    assert last == expected
+
+
+def test_stream_candidates(spark, tmp_path):
+    box = lambda x, y, w: {"vertices": [{"x": x, "y": y}, {"x": x + w, "y": y}, {"x": x + w, "y": y + 60}]}
+    words = [("Hidden", 0), ("Brain", 400), ("Weekly", 800)]
+    annotation = {"image_id": "i", "textAnnotations": [{"description": "Hidden Brain Weekly"}] + [
+        {"description": w, "boundingPoly": box(x, 500, 300)} for w, x in words]}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps(annotation))
+    stream = spark.readStream.schema(schemas.OCR_ANNOTATIONS).json(str(tmp_path / "in"))
+    screens = spark.createDataFrame([("i", 1000)], "image_id string, height int")
+    run = jobs.stream_candidates(stream, screens, str(tmp_path / "out"))
+    started = run.option("checkpointLocation", str(tmp_path / "cp")).start()
+    started.processAllAvailable()
+    started.stop()
+    assert [r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["Hidden Brain Weekly"]
+
+
 def test_quote_text(spark, tmp_path):
     u = spark.createDataFrame([("c", 0, "A", "Hi there."), ("c", 1, "B", "All well?")], UTTERANCE)
     items = transcript.index_utterance_words(u)
