@@ -16,9 +16,9 @@ from cueglass.config import DEFAULT, Limits
 from cueglass.functions.text import (
     NO_WORD,
     keyword_confidence,
-    keyword_match,
     low_title,
     match_key,
+    non_empty,
     norm_similarity,
     plain_keywords,
     ranked_keywords,
@@ -329,16 +329,17 @@ def search_podcasts(
 def episode_listing(episodes: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """One row per podcast with its listing: the newest 200 episodes, in order.
 
-    A listing has a fixed largest size, so it travels as one array and a request
-    needs a single row of its podcast.
+    A listed episode has its description, duration and artwork (the small one first)
+    where ``episodes`` has them.
     """
     order = [F.desc_nulls_last("release_date"), F.col("episode_id")]
     page = top_per_group(episodes, ["podcast_id"], order, limits.episode_page)
-    return page.groupBy("podcast_id").agg(
-        F.sort_array(
-            F.collect_list(F.struct(F.col("rank").alias("ord"), "episode_id", "title", "release_date"))
-        ).alias("listing")
-    )
+    art = [F.col(c) for c in ("artwork_100", "artwork_600") if c in episodes.columns]
+    shown = [c for c in ("description", "duration_ms") if c in episodes.columns]
+    if art:
+        art = [F.coalesce(*map(non_empty, art)).alias("artwork_url")]
+    fields = [F.col("rank").alias("ord"), "episode_id", "title", "release_date", *shown, *art]
+    return page.groupBy("podcast_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("listing"))
 
 
 def catalog_episodes(episodes: DataFrame) -> DataFrame:
@@ -494,8 +495,3 @@ def fuzzy_episodes(requests: DataFrame, episodes: DataFrame, limits: Limits = DE
     confidence = F.when(tiered, F.lit(0.9)).otherwise(keyword_confidence(F.col("score")))
     return found.withColumn("confidence", confidence)
 
-
-def explain_keywords(rows: DataFrame) -> DataFrame:
-    """Add which keywords of ``term`` were found in ``title`` and how."""
-    match = keyword_match(F.col("title"), plain_keywords(F.col("term")))
-    return rows.withColumn("keywords", match)

@@ -1,13 +1,11 @@
 """Fixed schemas of the input and output tables."""
 
-SCREENSHOTS = (
-    "request_id string, image_id string, file_index int, name string, mime string, "
-    "length bigint, width int, height int, user_agent string"
-)
 OCR_ANNOTATIONS = (
     "image_id string, textAnnotations array<struct<description: string, "
     "boundingPoly: struct<vertices: array<struct<x: int, y: int>>>>>"
 )
+#: Holds the text of a line that could not be read.
+BAD_LINE = "_corrupt_record"
 PODCASTS = (
     "podcast_id bigint, title string, artist string, feed_url string, artwork_100 string, "
     "artwork_600 string, description string, genres array<string>"
@@ -25,8 +23,3 @@ TRANSCRIPT_RESULTS = (
     "words array<struct<text: string, start: bigint, end: bigint, confidence: double>>, "
     "utterances array<struct<speaker: string, text: string>>"
 )
-SELECTION_EVENTS = "clip_id string, seq bigint, op string, from_index int, to_index int"
-OVERRIDES = (
-    "image_id string, podcast_id bigint, podcast_title string, episode_id bigint, "
-    "episode_title string, timestamp string, deleted boolean"
-)

@@ -55,7 +55,21 @@ def accept_requests(screenshots: DataFrame, limits: Limits = DEFAULT) -> DataFra
 
 
 def read_ocr(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.OCR_ANNOTATIONS).json(path)
+    """OCR results, one JSON object a line; a line that is none keeps its text in
+    ``_corrupt_record`` and goes on to :func:`ocr_errors`."""
+    schema = f"{schemas.OCR_ANNOTATIONS}, {schemas.BAD_LINE} string"
+    return spark.read.schema(schema).option("columnNameOfCorruptRecord", schemas.BAD_LINE).json(path)
+
+
+def ocr_errors(annotations: DataFrame) -> DataFrame:
+    """``(image_id, error, raw_text)``: an error row for every line that cannot be used."""
+    bad = F.col(schemas.BAD_LINE)
+    error = F.when(bad.isNotNull(), "Unreadable OCR result").when(
+        F.col("image_id").isNull(), "OCR result without image"
+    )
+    return annotations.select("image_id", error.alias("error"), bad.alias("raw_text")).where(
+        F.col("error").isNotNull()
+    )
 
 
 def ocr_texts(annotations: DataFrame) -> DataFrame:

@@ -325,7 +325,7 @@ def time_screens(t: Tables) -> tuple[DataFrame, DataFrame]:
         upper.alias("upper"), lower.alias("lower"), short.alias("short"), long.alias("long"),
     )
     rest = F.when(F.col("kind") == "error", F.concat(F.lit(" | "), "long", F.lit(" pm | some more words in between | "), "short")).otherwise("")
-    texts = e.select("image_id", F.concat("upper", F.lit("\n"), "lower", rest).alias("full_text"))
+    texts = e.select("image_id", "short", F.concat("upper", F.lit("\n"), "lower", rest).alias("full_text"))
     area = F.when(F.col("kind") == "signup", F.lit(6000.0)).otherwise(F.lit(3000.0))
     two = F.array(
         F.struct(F.lit(1).alias("line_key"), F.col("upper").alias("text"),
@@ -453,8 +453,8 @@ def files(t: Tables) -> DataFrame:
     )
 
 
-def resolutions(t: Tables) -> DataFrame:
-    """Orders read as resolved screens, some fields missing."""
+def resolutions(t: Tables, *more: str) -> DataFrame:
+    """Orders read as resolved screens, some fields missing; ``more`` columns of orders."""
     s = F.col("o_orderstatus")
     return t.orders.select(
         F.col("o_orderkey").alias("image_id"),
@@ -464,6 +464,7 @@ def resolutions(t: Tables) -> DataFrame:
         F.when(s == "O", F.concat(F.lit("Talk "), F.col("o_orderpriority"))).alias("episode_title"),
         F.date_format("o_orderdate", "d:MM").alias("timestamp"),
         (s == "O").alias("validated"),
+        *more,
     )
 
 

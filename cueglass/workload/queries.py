@@ -353,10 +353,8 @@ def timestamp_extract(t: Tables) -> DataFrame:
 @query
 def text_context(t: Tables) -> DataFrame:
     _, texts = inputs.time_screens(t)
-    short, _ = inputs.clock_times()
-    times = t.events.select(F.col("event_id").alias("image_id"), short.alias("time"))
-    near = text.text_context(F.col("full_text"), F.col("time"))
-    return texts.join(times, "image_id").select(
+    near = text.text_context(F.col("full_text"), F.col("short"))
+    return texts.select(
         "image_id", near.alias("context"), screen.clock_context(near).alias("is_clock")
     )
 
@@ -416,9 +414,7 @@ def clamp_range(t: Tables) -> DataFrame:
 
 @query
 def deep_link(t: Tables) -> DataFrame:
-    r = inputs.resolutions(t).join(
-        t.orders.select(F.col("o_orderkey").alias("image_id"), "o_totalprice"), "image_id"
-    )
+    r = inputs.resolutions(t, "o_totalprice")
     start = F.when(F.col("o_totalprice") > 100000, F.floor("o_totalprice"))
     return r.select(
         "image_id", timefmt.deep_link(F.col("podcast_id"), F.col("episode_id"), start).alias("link")

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from cueglass import schemas
 from cueglass.config import Limits
-from cueglass.operators import edits, selection, transcript
+from cueglass.functions.screen import SYSTEM_PHRASES
+from cueglass.functions.text import PLAIN_STOP_WORDS, RANKED_STOP_WORDS
+from cueglass.operators import catalog, edits, selection, transcript
 from cueglass.operators.scale import previous_value, running_total, skew_join
-from cueglass.plans import clips, quotes
+from cueglass.plans import clips, quotes, resolve
 from cueglass.sources import readers, writers
 from cueglass.streaming import jobs
 
@@ -159,7 +161,7 @@ def test_stream_candidates(spark, tmp_path):
     box = lambda x, y, w: {"vertices": [{"x": x, "y": y}, {"x": x + w, "y": y}, {"x": x + w, "y": y + 60}]}
     words = [("Hidden", 0), ("Brain", 400), ("Weekly", 800)]
     annotation = {"image_id": "i", "textAnnotations": [{"description": "Hidden Brain Weekly"}] + [
-        {"description": w, "boundingPoly": box(x, 500, 300)} for w, x in words]}
+        {"description": w, "boundingPoly": box(x, 500, 120)} for w, x in words]}
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text(json.dumps(annotation))
     stream = spark.readStream.schema(schemas.OCR_ANNOTATIONS).json(str(tmp_path / "in"))
@@ -286,3 +288,54 @@ def test_corrections(spark):
                    (None, None, "Correction applied (details not available)", None)]
     status = edits.status_counts(df.withColumn("error", F.when(F.col("k") == "c", "bad"))).first()
     assert tuple(status) == (2, 1, 1)
+
+
+def test_bad_ocr_lines_become_error_rows(spark, tmp_path):
+    (tmp_path / "o.json").write_text('{"image_id": "a", "textAnnotations": []}\n{broken\n{"textAnnotations": []}\n')
+    found = readers.read_ocr(spark, str(tmp_path / "o.json"))
+    rows = sorted((r.error, r.raw_text) for r in readers.ocr_errors(found).collect())
+    assert rows == [("OCR result without image", None), ("Unreadable OCR result", "{broken")]
+
+
+def test_catalog_and_image_files(spark, tmp_path):
+    pods = [(1, " A\u00a0b ", None, None, "s", "l", None, None)]
+    spark.createDataFrame(pods, schemas.PODCASTS).write.parquet(str(tmp_path / "p"))
+    eps = [(1, 2, " E ", "d", 5, "", "l", None)]
+    spark.createDataFrame(eps, schemas.EPISODES).write.parquet(str(tmp_path / "e"))
+    podcasts, found = readers.read_podcasts(spark, str(tmp_path / "p")), readers.read_episodes(spark, str(tmp_path / "e"))
+    assert [r.title for r in podcasts.collect()] == ["A b"]
+    listed = catalog.episode_listing(found).first().listing[0]
+    assert (listed.title, listed.description, listed.duration_ms, listed.artwork_url) == ("E", "d", 5, "l")
+    (tmp_path / "i").mkdir()
+    (tmp_path / "i" / "x.PNG").write_bytes(b"abc")
+    (tmp_path / "i" / "y.txt").write_bytes(b"abcd")
+    files = readers.read_image_files(spark, str(tmp_path / "i")).collect()
+    assert sorted((r.mime, r.length) for r in files) == [("image/png", 3), ("other", 4)]
+
+
+def test_records_and_writers(spark, tmp_path):
+    images = spark.createDataFrame([("a",), ("b",)], "image_id string")
+    resolved = spark.createDataFrame(
+        [("a", 1, "P", 0.9, 2, "E", 0.8)],
+        "image_id string, podcast_id bigint, podcast_title string, podcast_confidence double, "
+        "episode_id bigint, episode_title string, episode_confidence double")
+    texts = spark.createDataFrame([("a", "P E")], "image_id string, full_text string")
+    times = spark.createDataFrame([("a", "1:00")], "image_id string, timestamp string")
+    lists = spark.createDataFrame([("a", ["P"])], "image_id string, candidates array<string>")
+    podcasts = spark.createDataFrame([(1, "", "big")], "podcast_id bigint, artwork_100 string, artwork_600 string")
+    records = resolve.extraction_records(images, texts, times, lists, resolved, podcasts)
+    writers.write_resolutions(records, str(tmp_path / "r"))
+    a, b = spark.read.parquet(str(tmp_path / "r")).orderBy("image_id").collect()
+    assert tuple(a.validated_podcast) == (1, "P", "big", 0.9) and tuple(a.validated_episode) == (2, "E", None, 0.8)
+    assert (b.validated_podcast, b.error) == (None, "No text detected in image")
+    writers.write_transcripts(times, str(tmp_path / "t"), "json")
+    assert spark.read.json(str(tmp_path / "t")).count() == 1
+
+
+def test_word_lists():
+    for word in ("the", "with", "and"):
+        assert word in RANKED_STOP_WORDS and word in PLAIN_STOP_WORDS
+    for word in ("podcast", "hidden", "news", ""):
+        assert word not in PLAIN_STOP_WORDS
+    assert "hidden" not in RANKED_STOP_WORDS
+    assert len(SYSTEM_PHRASES) == len(set(SYSTEM_PHRASES)) and all(p == p.lower() for p in SYSTEM_PHRASES)
