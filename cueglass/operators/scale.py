@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,9 +30,18 @@ def set_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder once; later steps read it from there."""
-    set_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` to the checkpoint folder once; later steps read it from there.
+
+    It is written as Parquet, so a later step reads only the columns it needs and the
+    planner knows the size. The files go when the application ends.
+    """
+    spark = df.sparkSession
+    set_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
