@@ -66,18 +66,22 @@ def _heads(known: dict[str, int]) -> set[str]:
     return {feature.partition("*")[0][: STEMS[0]] for feature in known}
 
 
+def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of all rows one after another, and the row of each."""
+    flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
+    return flat, np.repeat(np.arange(len(rows)), [len(own) for own in rows])
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * x))
 
 
-def fit_ordinal(rows: list[list[int]], grades: np.ndarray, n_features: int, n_grades: int) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, n_grades: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of greatest penalised likelihood, by gradient ascent (Adam).
 
     Thresholds are kept in order by fitting the first and the logarithms of the gaps.
     """
-    sizes = np.array([len(r) for r in rows])
-    flat = np.array([i for r in rows for i in r], np.int64)
-    owner = np.repeat(np.arange(len(rows)), sizes)
+    flat, owner = _flat(rows)
     own = np.zeros(n_features + n_grades - 1)
     own[n_features] = 1.0
     first, second = np.zeros_like(own), np.zeros_like(own)
@@ -139,30 +143,32 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         heads = _heads(weighed)
         for batch in batches:
             own = [sorted(weighed[f] for f in features(x.as_py(), weighed, heads)) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, pa.list_(pa.int32()))], names=["toxic", "own"])
-
-    rows = sample.mapInArrow(known, "toxic boolean, own array<int>").collect()  # SAMPLE rows at most
-    rows = sorted((r["toxic"], r["own"]) for r in rows)
-    marked = np.array([toxic for toxic, _ in rows], bool)
-    kept = _associated([own for _, own in rows], marked, len(weighed))
+            packed = [np.array(x, np.int32).tobytes() for x in own]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(packed, pa.binary())], names=["toxic", "own"])
+
+    # SAMPLE rows at most, a few kilobytes each.
+    pairs = sorted((r["toxic"], bytes(r["own"])) for r in sample.mapInArrow(known, "toxic boolean, own binary").collect())
+    marked = np.array([toxic for toxic, _ in pairs], bool)
+    rows = [np.frombuffer(own, np.int32) for _, own in pairs]
+    kept = _associated(rows, marked, len(weighed))
     if not len(kept):
         return Model({}, np.empty(0), np.full(GRADES - 1, 30.0))
-    new = {int(old): i for i, old in enumerate(kept)}
-    rows = [[new[i] for i in own if i in new] for _, own in rows]
+    place = np.full(len(weighed), -1, np.int64)
+    place[kept] = np.arange(len(kept))
+    rows = [own[own >= 0] for own in (place[x] for x in rows)]
     counts = np.array([len(own) for own in rows])
     cuts = np.quantile(counts[marked], np.arange(1, GRADES - 1) / (GRADES - 1))
     grades = np.where(marked, 1 + np.searchsorted(cuts, counts, "left"), 0)
     weights, thresholds = fit_ordinal(rows, grades, len(kept), GRADES)
     names = list(weighed)
-    return Model({names[old]: i for old, i in new.items()}, weights, thresholds)
+    return Model({names[old]: i for i, old in enumerate(kept)}, weights, thresholds)
 
 
-def _associated(rows: list[list[int]], marked: np.ndarray, n_features: int) -> np.ndarray:
+def _associated(rows: list[np.ndarray], marked: np.ndarray, n_features: int) -> np.ndarray:
     """The features that go most with marked rows, by G squared; at most ``FEATURES``."""
     if not marked.any() or marked.all():
         return np.empty(0, int)
-    flat = np.array([i for own in rows for i in own], np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(own) for own in rows])
+    flat, owner = _flat(rows)
     both = np.bincount(flat, minlength=n_features)
     bad = np.bincount(flat[marked[owner]], minlength=n_features)
     share = marked.mean()

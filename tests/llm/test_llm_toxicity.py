@@ -54,7 +54,7 @@ def test_ordinal_weights_are_shared():
     x = rng.random((3000, 3)) < 0.5
     score = x @ np.array([3.0, 2.0, 0.0]) + rng.logistic(size=3000)
     grades = np.searchsorted([1.5, 4.0], score)
-    weights, limits = fit_ordinal([np.flatnonzero(r).tolist() for r in x], grades, 3, 3)
+    weights, limits = fit_ordinal([np.flatnonzero(r) for r in x], grades, 3, 3)
     assert np.allclose(weights, [3, 2, 0], atol=0.3)
     assert np.allclose(limits, [1.5, 4.0], atol=0.3)
 
