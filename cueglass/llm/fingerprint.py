@@ -71,42 +71,48 @@ def from_text(text: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(text), "<u8")
 
 
+#: Ranges of doc_id for each shuffle partition; more of them even out the tasks.
+RANGES = 4
+
+
 def _neighbours(docs: DataFrame, ranges: int) -> DataFrame:
     """Rows in ranges of descending doc_id, each range followed by the row after it.
 
     Bounds of the ranges are approximate quantiles of doc_id; they only balance the
-    tasks. Of each range the driver learns its largest doc_id. The rows that carry it
-    go to the range before as well, marked as guests that sort last, where the first
-    of them is the successor of the range's own last row. The first range's largest
-    row is the last range's guest.
+    tasks. Of each range the driver learns its largest doc_id, so what it holds grows
+    with the number of ranges alone. The rows that carry it go to the range before as
+    well, marked as guests that sort last, where the first of them is the successor of
+    the range's own last row. The first range's largest row is the last range's guest.
     """
-    steps = [i / ranges for i in range(1, ranges)]
-    cuts = docs.select(F.percentile_approx("doc_id", F.array(*map(F.lit, steps or [0.5])), 10_000)).first()[0]
-    cuts = sorted({c for c in cuts or [] if c is not None}, reverse=True)
+    steps = F.array([F.lit(i / ranges) for i in range(1, ranges)] or [F.lit(0.5)])
+    bounds = docs.select(F.percentile_approx("doc_id", steps, 10_000)).first()[0]
+    bounds = np.unique(np.array(bounds or [], np.int64))
 
-    @F.pandas_udf("int")
-    def range_of(ids):
+    @F.arrow_udf("int")
+    def range_of(ids: pa.Array) -> pa.Array:
         # Range 0 holds the largest ids; nulls come after all others.
-        places = len(cuts) - np.searchsorted(np.array(cuts[::-1], np.int64), ids.fillna(0).astype("int64"), "right")
-        return ids.isna().mul(len(cuts) + 1).where(ids.isna(), places).astype("int32")
-
-    placed = docs.withColumn("range", range_of("doc_id") if cuts else F.when(F.col("doc_id").isNull(), 1).otherwise(0))
-    heads = placed.groupBy("range").agg(F.max(F.struct("doc_id", "tie")).alias("head")).collect()
-    heads = sorted((r["range"], r["head"]) for r in heads)
-    before = {r: heads[i - 1][0] for i, (r, _) in enumerate(heads)}
-    head = F.lit(False)
-    target = F.lit(None).cast("int")
-    table = placed.sparkSession.createDataFrame(
-        [(r, h["doc_id"], h["tie"], before[r]) for r, h in heads],
-        f"range int, head_id {docs.schema['doc_id'].dataType.simpleString()}, head_tie long, guest_of int",
+        known = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place = len(bounds) - np.searchsorted(bounds, known, "right")
+        place[ids.is_null().to_numpy(zero_copy_only=False)] = len(bounds) + 1
+        return pa.array(place, pa.int32())
+
+    placed = docs.withColumn("range", range_of("doc_id"))
+    heads = sorted(
+        (r["range"], r["head"]["doc_id"], r["head"]["tie"])
+        for r in placed.groupBy("range").agg(F.max(F.struct("doc_id", "tie")).alias("head")).collect()
+    )
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    table = docs.sparkSession.createDataFrame(
+        [(*head, heads[i - 1][0]) for i, head in enumerate(heads)],
+        f"range int, head_id {kind}, head_tie long, guest_of int",
     )
-    del head, target
     is_head = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie"))
     own = F.struct(F.col("range").alias("to"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("guest_of").alias("to"), F.lit(True).alias("guest"))
+    seats = F.when(is_head, F.array(own, guest)).otherwise(F.array(own))
     return (
         placed.join(F.broadcast(table), "range")  # one row for each range
-        .select("doc_id", "tie", "text", F.explode(F.when(is_head, F.array(own, guest)).otherwise(F.array(own))).alias("seat"))
+        .select("doc_id", "tie", "text", F.explode(seats).alias("seat"))
         .select("doc_id", "tie", "text", "seat.to", "seat.guest")
         .repartition("to")
         .sortWithinPartitions("to", "guest", F.desc_nulls_last("doc_id"), F.desc("tie"), F.desc("text"))
@@ -128,7 +134,7 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     kind = docs.schema[doc_id].dataType.simpleString()
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     slim = slim.withColumn("tie", F.xxhash64("text"))
-    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
