@@ -1,14 +1,15 @@
 """Benchmark passages in documents by q-gram lemma filtering and banded alignment.
 
 Texts are compared as bytes with letters in lower case and every run of other ASCII
-characters as one space. Each benchmark item is cut into windows of 96 bytes that start
-every 48 bytes. A document holds a window if a part of it is within ``edits`` edits of
-the window, one in ten bytes. Such a part shares at least ``m + 1 - Q - Q * edits``
-q-grams with a window of m bytes, and they lie on at most ``edits + 1`` neighbouring
-diagonals. So shared q-grams are counted in bands of twice that many diagonals, each
-overlapping the next by half, and the bands that reach the bound are aligned. A window's
-few most frequent q-grams are not looked up, and its bound is lowered by their number,
-so this loses nothing.
+characters as one space. The windows of a benchmark item are all of its stretches of 96
+bytes, one from each place on; a shorter item is one window. A document holds a window
+if a part of it is within ``edits`` edits of the window, one in ten bytes. Such a part
+shares at least ``m + 1 - Q - Q * edits`` q-grams with a window of m bytes, and they lie
+on at most ``edits + 1`` neighbouring diagonals. So the q-grams that a text shares with
+an item are put into bands of twice that many diagonals, each overlapping the next by
+half, and the windows whose stretch of a band reaches the bound are aligned there. Up to
+``SKIPPED`` frequent q-grams of a window are not looked up, and its bound is lowered by
+their number, so this loses nothing.
 """
 
 from __future__ import annotations
@@ -24,11 +25,13 @@ from pyspark.sql import functions as F
 from cueglass.llm.shingles import BLOCK_BYTES, blocks, buffers
 
 Q = 8
-WINDOW, STRIDE = 96, 48
+WINDOW = 96
 #: Bytes for each edit that a window may differ by.
 PER_EDIT = 10
 #: Most frequent q-grams of a window that are not looked up, at most.
 SKIPPED = 8
+#: Windows that are aligned at once.
+_ALIGNED = 1 << 12
 #: Bytes of benchmark text that are searched for in one pass over the documents.
 PASS_BYTES = 1 << 20
 
@@ -42,18 +45,20 @@ _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Index(NamedTuple):
-    """Windows of benchmark items and where their q-grams stand in them."""
+    """Benchmark items, their windows, and where their q-grams stand."""
 
     items: list  # item of each window
-    texts: np.ndarray  # all windows one after another
+    texts: np.ndarray  # all items one after another
     starts: np.ndarray  # of each window in texts
     lengths: np.ndarray
     edits: np.ndarray
-    needed: np.ndarray  # shared q-grams, at least
+    bounds: np.ndarray  # of each item in texts
+    first: np.ndarray  # bounds of each item's windows
+    same: np.ndarray  # first of the items with the same name
+    needed: np.ndarray  # shared q-grams of a window of the item, at least
     grams: np.ndarray  # sorted
     lists: np.ndarray  # bounds of each gram's places
-    windows: np.ndarray  # window of each place
-    offsets: np.ndarray  # place in the window
+    places: np.ndarray  # in texts
     filter: np.ndarray
 
 
@@ -102,95 +107,166 @@ def build_index(items: list, texts: list[str | None]) -> Index | None:
         own = folded[ends[i] : ends[i + 1] - 1]
         lead = int(len(own) > 0 and own[0] == _SPACE)
         own = own[lead : len(own) - int(len(own) > lead and own[-1] == _SPACE)]
-        if len(own) < Q:
-            continue
-        begins = [*range(0, max(1, len(own) - WINDOW), STRIDE), max(0, len(own) - WINDOW)]
-        for begin in dict.fromkeys(begins):
+        if len(own) >= Q:
             owners.append(item)
-            parts.append(own[begin : begin + WINDOW])
+            parts.append(own)
     if not parts:
         return None
-    lengths = np.array([len(p) for p in parts])
-    edits = np.maximum(0, np.minimum(lengths // PER_EDIT, lengths // Q - 2))
-    bound = lengths + 1 - Q - Q * edits
-    grams = [_grams(p) for p in parts]
-    _, back, counts = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-    spread = np.split(counts[back], np.cumsum([len(g) for g in grams])[:-1])
-    skipped = np.minimum(SKIPPED, bound - 1)
-    kept = [np.sort(np.argsort(n, kind="stable")[: len(n) - s]) for n, s in zip(spread, skipped, strict=True)]
-    all_grams = np.concatenate([g[k] for g, k in zip(grams, kept, strict=True)])
-    windows = np.repeat(np.arange(len(parts)), [len(k) for k in kept])
-    order = np.argsort(all_grams, kind="stable")
-    known, first = np.unique(all_grams[order], return_index=True)
+    sizes = np.array([len(p) for p in parts])
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    length = np.minimum(sizes, WINDOW)
+    budget = np.maximum(0, np.minimum(length // PER_EDIT, length // Q - 2))
+    shared = length + 1 - Q - Q * budget
+    skipped = np.minimum(SKIPPED, shared - 1)
+    windows = sizes - length + 1
+    first = np.concatenate([[0], np.cumsum(windows)])
+    owner = np.repeat(np.arange(len(parts)), windows)
+    # The q-grams of a window stand in two stretches of that many places at most, so
+    # half of those skipped may come from each; an item of one window is one stretch.
+    counts = sizes - Q + 1
+    item = np.repeat(np.arange(len(parts)), counts)
+    local = np.arange(len(item)) - np.repeat(np.cumsum(counts) - counts, counts)
+    grams = np.concatenate([_grams(p) for p in parts])
+    _, back, often = np.unique(grams, return_inverse=True, return_counts=True)
+    stretch = bounds[item] + local // (WINDOW - Q + 1) * (sizes > WINDOW)[item]
+    order = np.lexsort((-often[back], stretch))
+    heads = np.flatnonzero(np.diff(stretch[order], prepend=-1))
+    rank = np.arange(len(order)) - np.repeat(heads, np.diff(heads, append=len(order)))
+    most = np.where(sizes > WINDOW, skipped // 2, skipped)
+    kept = np.sort(order[rank >= most[item[order]]])
+    kept = kept[np.argsort(grams[kept], kind="stable")]
+    known, begins = np.unique(grams[kept], return_index=True)
     table = np.zeros(1 << int(_BITS), bool)
     table[_slot(known)] = True
+    names: dict = {}
     return Index(
-        owners, np.concatenate(parts), np.cumsum(lengths) - lengths, lengths, edits, bound - skipped, known,
-        np.append(first, len(order)), windows[order], np.concatenate(kept)[order], table,
+        [owners[i] for i in owner], np.concatenate(parts), bounds[owner] + np.arange(len(owner)) - first[owner],
+        length[owner], budget[owner], bounds, first, np.array([names.setdefault(x, i) for i, x in enumerate(owners)]),
+        shared - skipped, known, np.append(begins, len(kept)), (bounds[item] + local)[kept], table,
     )
 
 
-def _bands(folded: np.ndarray, ends: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, window, band) with enough shared q-grams. Band b of a window with e edits
-    covers the diagonals from b * (e + 1) to below (b + 2) * (e + 1)."""
-    none = np.empty(0, np.int64)
+class _Candidates(NamedTuple):
+    """Windows that share enough q-grams with a text in a band of diagonals."""
+
+    text: np.ndarray
+    window: np.ndarray
+    low: np.ndarray  # where the band's first diagonal meets the window's first byte
+    near: np.ndarray  # the same for the diagonal of one shared q-gram
+
+
+def _candidates(folded: np.ndarray, ends: np.ndarray, index: Index) -> _Candidates:
+    """Band b of an item with e edits covers the diagonals from b * (e + 1) to below
+    (b + 2) * (e + 1)."""
+    none = _Candidates(*[np.empty(0, np.int64)] * 4)
     if len(folded) < Q:
-        return none, none, none
+        return none
     grams = _grams(folded)
     at = np.flatnonzero(index.filter[_slot(grams)])
-    place = np.minimum(np.searchsorted(index.grams, grams[at]), len(index.grams) - 1)
-    same = index.grams[place] == grams[at]
-    at, place = at[same], place[same]
-    counts = index.lists[place + 1] - index.lists[place]
+    gram = np.minimum(np.searchsorted(index.grams, grams[at]), len(index.grams) - 1)
+    same = index.grams[gram] == grams[at]
+    at, gram = at[same], gram[same]
+    counts = index.lists[gram + 1] - index.lists[gram]
     total = int(counts.sum())
     if not total:
-        return none, none, none
-    entry = np.arange(total) + np.repeat(index.lists[place] - (np.cumsum(counts) - counts), counts)
+        return none
+    place = index.places[np.arange(total) + np.repeat(index.lists[gram] - (np.cumsum(counts) - counts), counts)]
     at = np.repeat(at, counts)
-    window = index.windows[entry]
+    n_items = len(index.needed)
+    item = np.searchsorted(index.bounds, place, "right") - 1
     text = np.searchsorted(ends, at, "right") - 1
+    sizes, budget = np.diff(index.bounds), index.edits[index.first[:-1]]
     # Diagonals are counted from the text's start and moved up so that none is negative.
-    band = (at - ends[text] - index.offsets[entry] + 2 * WINDOW) // (index.edits[window] + 1)
+    up = int(sizes.max()) + 2 * WINDOW
+    band = (at - ends[text] - (place - index.bounds[item]) + up) // (budget[item] + 1)
     width = int(band.max()) + 2
-    key = (text * len(index.lengths) + window) * width + band
+    key = (text * n_items + item) * width + band
     keys, found = np.unique(np.concatenate([key, key - 1]), return_counts=True)
-    window = keys // width % len(index.lengths)
-    keys = keys[found >= index.needed[window]]
-    return keys // width // len(index.lengths), keys // width % len(index.lengths), keys % width
+    keys = keys[found >= index.needed[keys // width % n_items]]
+    if not len(keys):
+        return none
+    # Shared q-grams of each band that is left, in the order of the item.
+    hits = []
+    for own in (key, key - 1):
+        group = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        hit = np.flatnonzero(keys[group] == own)
+        hits.append((group[hit] * len(index.texts) + place[hit], (at - place)[hit]))
+    spots, one = np.unique(np.concatenate([x[0] for x in hits]), return_index=True)
+    shift = np.concatenate([x[1] for x in hits])[one]
+    group, place = spots // len(index.texts), spots % len(index.texts)
+    item = keys[group] // width % n_items
+    length = np.minimum(sizes, WINDOW)[item]
+    last = np.arange(len(spots)) + index.needed[item] - 1
+    end = np.minimum(last, len(spots) - 1)
+    enough = (last == end) & (group[end] == group) & (place[end] - place <= length - Q)
+    begin = np.flatnonzero(enough)
+    group, item, length = group[begin], item[begin], length[begin]
+    lowest = np.maximum(place[end[begin]] - (length - Q), index.bounds[item])
+    highest = np.minimum(place[begin], index.bounds[item + 1] - length)
+    if not len(begin):
+        return none
+    heads = np.ones(len(begin), bool)
+    heads[1:] = (group[1:] != group[:-1]) | (lowest[1:] > highest[:-1] + 1)
+    tails = np.append(heads[1:], True)
+    lowest, group, item = lowest[heads], group[heads], item[heads]
+    counts = highest[tails] - lowest + 1
+    start = np.arange(int(counts.sum())) + np.repeat(lowest - (np.cumsum(counts) - counts), counts)
+    group, item = np.repeat(group, counts), np.repeat(item, counts)
+    text = keys[group] // width // n_items
+    local = start - index.bounds[item]
+    return _Candidates(
+        text,
+        index.first[item] + local,
+        keys[group] % width * (budget[item] + 1) - up + ends[text] + local,
+        start + shift[np.searchsorted(spots, group * len(index.texts) + start)],
+    )
 
 
-def _align(folded, ends, index: Index, text, window, band) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _align(folded: np.ndarray, ends: np.ndarray, index: Index, found: _Candidates) -> tuple[np.ndarray, ...]:
     """Least edits of each window to a part of the text in its band; the part's bounds.
 
-    All windows of one length are aligned together, row by row over the diagonals of
-    the band and as many more on both sides as there may be edits. A cell holds edits
-    and the diagonal its alignment began on in one number.
+    Windows that stand in the text letter by letter need no alignment. The others of one
+    length are aligned together, row by row over the diagonals of the band and as many
+    more on both sides as there may be edits. A cell holds edits and the diagonal its
+    alignment began on in one number.
     """
-    edits = np.full(len(text), 1 << 20, np.int64)
-    begin, end = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
-    scale = 1 << 12
-    for length in np.unique(index.lengths[window]):
-        own = np.flatnonzero(index.lengths[window] == length)
-        w, t = window[own], text[own]
-        e = int(index.edits[w[0]])
-        low = band[own] * (e + 1) - 2 * WINDOW - e + ends[t]
-        width = 2 * (e + 1) + 2 * e
-        column = np.arange(width)
-        cells = np.broadcast_to(column, (len(own), width)).astype(np.int64)
-        ramp = column * scale
-        for i in range(int(length)):
-            at = low[:, None] + column + i
-            inside = (at >= ends[t][:, None]) & (at < ends[t + 1][:, None] - 1)
-            letter = folded[np.clip(at, 0, len(folded) - 1)]
-            differs = ~inside | (letter != index.texts[index.starts[w] + i][:, None])
-            stepped = cells + differs * scale
-            stepped[:, :-1] = np.minimum(stepped[:, :-1], cells[:, 1:] + scale)
-            cells = np.minimum.accumulate(stepped - ramp, axis=1) + ramp
-        best = cells.argmin(axis=1)
-        value = cells[np.arange(len(own)), best]
-        edits[own] = value // scale
-        begin[own] = low + value % scale
-        end[own] = low + best + int(length)
+    edits = np.zeros(len(found.text), np.int64)
+    begin, end = found.near.copy(), found.near + index.lengths[found.window]
+    lengths = index.lengths[found.window]
+    for length in np.unique(lengths).tolist():
+        chosen = np.flatnonzero(lengths == length)
+        for first in range(0, len(chosen), _ALIGNED):
+            own = chosen[first : first + _ALIGNED]
+            row = np.arange(length)[:, None]
+            items = index.texts[index.starts[found.window[own]] + row]
+            near = begin[own] + row
+            letters = folded[np.clip(near, 0, len(folded) - 1)]
+            rest = (letters != items).any(axis=0) | (near[0] < 0) | (near[-1] >= len(folded))
+            own, items = own[rest], items[:, rest]
+            if not len(own):
+                continue
+            t = found.text[own]
+            e = int(index.edits[found.window[own[0]]])
+            low = found.low[own] - e
+            width = 2 * (e + 1) + 2 * e
+            scale = 64  # above any width, and small enough for cells of 16 bits
+            at = low + np.arange(length + width)[:, None]
+            inside = (at >= ends[t]) & (at < ends[t + 1] - 1)
+            letters = np.where(inside, folded[np.clip(at, 0, len(folded) - 1)], _END)
+            column = np.arange(width, dtype=np.int16)[:, None]
+            ramp = column * np.int16(scale)
+            cells = np.repeat(column, len(own), axis=1)
+            for i in range(length):
+                stepped = cells + (letters[i : i + width] != items[i]) * np.int16(scale)
+                np.minimum(stepped[:-1], cells[1:] + np.int16(scale), out=stepped[:-1])
+                stepped -= ramp
+                cells = np.minimum.accumulate(stepped, axis=0)
+                cells += ramp
+            best = cells.argmin(axis=0)
+            value = cells[best, np.arange(len(own))].astype(np.int64)
+            edits[own] = value // scale
+            begin[own] = low + value % scale
+            end[own] = low + best + length
     return edits, begin, end
 
 
@@ -201,25 +277,30 @@ def _search(texts: pa.Array, index: Index) -> Iterator[tuple[int, object, int, i
         own = offsets[first : last + 1]
         raw = data[own[0] : own[-1]]
         folded, ends, origin = fold(raw, own - own[0])
-        text, window, band = _bands(folded, ends, index)
-        edits, begin, end = _align(folded, ends, index, text, window, band)
-        found = edits <= index.edits[window]
-        regions: dict[tuple, list] = {}
-        for t, w, a, b, e in zip(text[found], window[found], begin[found], end[found], edits[found], strict=True):
-            a, b = max(a, ends[t]), min(b, ends[t + 1] - 1)
-            regions.setdefault((int(t), index.items[w]), []).append((int(a), int(b), int(e)))
-        for (t, item), parts in regions.items():
-            parts.sort()
-            merged = [list(parts[0])]
-            for a, b, e in parts[1:]:
-                if a <= merged[-1][1]:
-                    merged[-1][1:] = max(merged[-1][1], b), min(merged[-1][2], e)
-                else:
-                    merged.append([a, b, e])
+        own_windows = _candidates(folded, ends, index)
+        edits, begin, end = _align(folded, ends, index, own_windows)
+        found = np.flatnonzero(edits <= index.edits[own_windows.window])
+        if not len(found):
+            continue
+        text = own_windows.text[found]
+        item = index.same[np.searchsorted(index.first, own_windows.window[found], "right") - 1]
+        begin, end = np.maximum(begin[found], ends[text]), np.minimum(end[found], ends[text + 1] - 1)
+        order = np.lexsort((begin, item, text))
+        text, item, begin, end, edits = text[order], item[order], begin[order], end[order], edits[found][order]
+        other = np.ones(len(found), bool)
+        other[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
+        # The largest end so far, in each text and item.
+        part = np.cumsum(other) * (len(folded) + 1)
+        reach = np.maximum.accumulate(end + part) - part
+        other[1:] |= begin[1:] > reach[:-1]
+        heads = np.flatnonzero(other)
+        for t, i, a, b, e in zip(
+            text[heads].tolist(), item[heads].tolist(), begin[heads].tolist(),
+            np.maximum.reduceat(end, heads).tolist(), np.minimum.reduceat(edits, heads).tolist(), strict=True,
+        ):
             begins = int(own[t] - own[0])
-            for a, b, e in merged:
-                points = [len(bytes(raw[begins : origin[x]]).decode(errors="ignore")) for x in (a, b)]
-                yield first + t, item, *points, e
+            points = [len(bytes(raw[begins : origin[x]]).decode(errors="ignore")) for x in (a, b)]
+            yield first + t, index.items[index.first[i]], *points, e
 
 
 def _passes(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Index]:

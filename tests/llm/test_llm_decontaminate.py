@@ -110,3 +110,43 @@ def test_passes(spark, monkeypatch, size):
     assert found(spark, docs, items) == {(i, i) for i in range(4)}
     kept = drop_contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items[1:], ITEMS))
     assert [r.doc_id for r in kept.collect()] == [0]
+
+
+def windows_at_every_offset(text):
+    own = folded(text)
+    size = min(len(own), 96)
+    edits = max(0, min(size // 10, size // 8 - 2))
+    return [(own[i : i + size], edits) for i in range(len(own) - size + 1)]
+
+
+def test_quotes_at_every_offset(spark):
+    """A verbatim quote of 87 bytes holds a window, wherever in the item it begins."""
+    rng = random.Random(12)
+    item = prose(rng, 70).replace("é", "e")[:394].strip()
+    docs = []
+    for size in (87, 100, 120):
+        for begin in range(0, len(item) - size + 1, 1 if size == 87 else 7):
+            docs.append((len(docs), f"zqx zqx {item[begin : begin + size]} zqx zqx"))
+    assert len(item) > 380
+    assert found(spark, docs, [(1, item)]) == {(i, 1) for i in range(len(docs))}
+    kept = drop_contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, item)], ITEMS))
+    assert kept.count() == 0
+
+
+def test_equals_alignment_of_every_offset(spark):
+    rng = random.Random(21)
+    items = [(i, prose(rng, n)) for i, n in enumerate((30, 34, 12))]
+    docs = []
+    for i in range(30):
+        text = rng.choice(items)[1]
+        begin, size = rng.randrange(len(text) // 2), rng.randrange(70, 130)
+        own = edit(rng, text[begin : begin + size], rng.randrange(0, 8))
+        docs.append((i, f"{prose(rng, rng.randrange(0, 12))} {own} {prose(rng, rng.randrange(0, 12))}"))
+    expected = {
+        (doc, item)
+        for doc, own in docs
+        for item, text in items
+        if any(least_edits(w, folded(own)) <= e for w, e in windows_at_every_offset(text))
+    }
+    assert 7 < len(expected) < 30
+    assert found(spark, docs, items) == expected
