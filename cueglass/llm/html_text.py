@@ -4,9 +4,9 @@ The standard-library parser streams its events into *lines*, runs of text betwee
 boundaries, and a tree of elements. A line's ratio is its characters over the tags
 inside it. The ratios are smoothed with a Gaussian along the page and split into two
 clusters by a threshold; lines in the upper cluster vote, with their length, for the
-content region. The region is the article (or main) element with most votes, or else
-the innermost element that still holds most of them. It gives all of its lines, short
-ones too, except those in menus, headers, footers, sidebars, notices, adverts, forms
+content region. The region is every article (or main) element with votes, or else the
+innermost container that holds all of them, lines of links only aside, and the page's
+h1. It gives all of its lines, short ones too, except those in menus, headers, footers, sidebars, notices, adverts, forms
 and reader comments, known by element, role, class or id.
 """
 
@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 SIGMA = 1.5
 _KERNEL = np.exp(-0.5 * (np.arange(-4, 5) / SIGMA) ** 2)
 _KERNEL /= _KERNEL.sum()
-#: Part of the votes that an element must hold to be the region.
-MOST = 0.7
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -50,6 +48,8 @@ _MARKS = frozenset(
     "subscription signup login search form pagination pager toolbar skip".split()
 )
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Elements that may be the region of a page without article or main element.
+_CONTAINERS = frozenset(["", "html", "body", "div", "center", "form"])
 #: Elements whose end tag may be missing, with those that keep an open one open.
 _CLOSED_BY_NEXT = {
     "p": (frozenset(["p"]), _BLOCK - {"p"} - {"br", "hr"}),
@@ -78,26 +78,29 @@ class _Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # name, element, dropped
+        self.open: list[tuple[str, int, bool, bool]] = []  # name, element, dropped, link
         self.parents: list[int] = [-1]
         self.names: list[str] = [""]
         self.element, self.dropped = 0, False
+        self.link, self.plain = False, False  # in a link; the line has text outside of links
         self.words: list[str] = []
         self.dropped_words: list[str] = []
         self.tags = 0
         self.lines: list[tuple[str, int, int, bool]] = []  # text, tags, element, dropped
+        self.prose: list[bool] = []  # lines with text outside of links
 
     def _end_line(self) -> None:
         for dropped, words in ((False, self.words), (True, self.dropped_words)):
             if words:
                 if text := " ".join("".join(words).split()):
                     self.lines.append((text, self.tags, self.element, dropped))
+                    self.prose.append(self.plain)
                 words.clear()
-        self.tags = 0
+        self.tags, self.plain = 0, False
 
     def _pop_to(self, depth: int) -> None:
         del self.open[depth:]
-        _, self.element, self.dropped = self.open[-1] if self.open else ("", 0, False)
+        _, self.element, self.dropped, self.link = self.open[-1] if self.open else ("", 0, False, False)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _BLOCK:
@@ -121,7 +124,8 @@ class _Lines(HTMLParser):
             self.names.append(tag)
             self.element = len(self.parents) - 1
         self.dropped = dropped
-        self.open.append((tag, self.element, dropped))
+        self.link = self.link or tag == "a"
+        self.open.append((tag, self.element, dropped, self.link))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _BLOCK:
@@ -139,6 +143,7 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.cdata_elem is None:  # neither script nor style
             (self.dropped_words if self.dropped else self.words).append(data)
+            self.plain = self.plain or not (self.link or self.dropped or data.isspace())
 
 
 def _threshold(values: np.ndarray) -> float:
@@ -191,21 +196,31 @@ def main_text(html: str | None) -> str:
     for element in range(len(votes) - 1, 0, -1):  # children come after their parents
         votes[page.parents[element]] += votes[element]
         live[page.parents[element]] += live[element]
+    inside = np.zeros(len(votes), bool)
     region = 0
     for kind in ("article", "main"):
-        named = [e for e, name in enumerate(page.names) if name == kind and live[e]]
-        if named:
-            region = max(named, key=lambda e: (votes[e], live[e], -e))
+        if named := [e for e, name in enumerate(page.names) if name == kind and live[e]]:
+            with_votes = [e for e in named if votes[e]]
+            inside[with_votes or max(named, key=lambda e: (live[e], -e))] = True
             break
     else:
-        need = MOST * votes[0]
+        marks = np.zeros(len(votes))  # lines that the region must hold
+        for (_, _, element, dropped), high, prose in zip(page.lines, upper, page.prose, strict=True):
+            marks[element] += not dropped and ((high and prose) or page.names[element] == "h1")
+        if not marks.any():
+            marks[0] = 1
+        for element in range(len(votes) - 1, 0, -1):
+            marks[page.parents[element]] += marks[element]
+        own = {element for text, _, element, dropped in page.lines if not dropped}
         for element in range(1, len(votes)):
-            if votes[element] >= need and page.parents[element] == region and page.names[element] not in ("p", "li"):
+            if page.parents[element] == region and marks[element] == marks[0]:
                 region = element
-    inside = np.zeros(len(votes), bool)
-    inside[region] = True
-    for element in range(region + 1, len(votes)):
-        inside[element] = inside[page.parents[element]]
+        # A paragraph, list or the like is a part of an article, not its container.
+        while region and (region in own or page.names[region] not in _CONTAINERS):
+            region = page.parents[region]
+        inside[region] = True
+    for element in range(1, len(votes)):
+        inside[element] |= inside[page.parents[element]]
     return " ".join(text for text, _, element, dropped in page.lines if inside[element] and not dropped)
 
 

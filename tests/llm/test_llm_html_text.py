@@ -55,3 +55,25 @@ def test_table(spark):
         [(1, "u", "é", 1), (1, "u", "é", 1), (None, None, "", 0)], key=str
     )
     assert extract_text(spark.createDataFrame([], schema)).collect() == []
+
+
+LEAD = "A lead of some words that opens the article and stands in a block of its own."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (
+            f"<body><div class=post><h1>T</h1><div class=lead><p>{LEAD}</p></div>"
+            f"<div class=text>{f'<p>{LONG}</p>' * 4}</div></div>{FOOT}</body>",
+            " ".join(["T", LEAD, *[LONG] * 4]),
+        ),
+        (f"<div><h1>T</h1><blockquote><p>{LONG}</p><p>{LONG}</p></blockquote><p>End.</p></div>", f"T {LONG} {LONG} End."),
+        (f"<div><p>Lead.</p><div>{LONG}</div><p>End.</p></div>", f"Lead. {LONG} End."),
+        (f"<div><p>Lead.</p><ul><li>{LONG}</li><li>{LONG}</li></ul></div>", f"Lead. {LONG} {LONG}"),
+        (f"<div><p>Lead.</p><table><tr><td>{LONG}</td></tr></table><pre>End.</pre></div>", f"Lead. {LONG} End."),
+        (f"<article><p>{LONG}</p></article><article><p>{LEAD}</p></article>{FOOT}", f"{LONG} {LEAD}"),
+    ],
+)
+def test_articles_split_over_blocks(html, text):
+    assert main_text(html) == text
