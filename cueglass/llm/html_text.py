@@ -6,8 +6,10 @@ inside it. The ratios are smoothed with a Gaussian along the page and split into
 clusters by a threshold; lines in the upper cluster vote, with their length, for the
 content region. The region is every article (or main) element with votes, or else the
 innermost container that holds all of them, lines of links only aside, and the page's
-h1. It gives all of its lines, short ones too, except those in menus, headers, footers, sidebars, notices, adverts, forms
-and reader comments, known by element, role, class or id.
+h1. It gives all of its lines,
+short ones too, except those in menus, headers, footers, sidebars, notices, adverts,
+forms and reader comments, known by element, role, class or id. A form or marked element
+around the article itself is no such part: the page is read again without that mark.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 SIGMA = 1.5
 _KERNEL = np.exp(-0.5 * (np.arange(-4, 5) / SIGMA) ** 2)
 _KERNEL /= _KERNEL.sum()
+#: Part of the upper cluster's text that a marked element must hold to be no aside.
+MOST = 0.7
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -47,7 +51,15 @@ _MARKS = frozenset(
     "cookie cookies consent gdpr notice notices alert warning popup modal overlay newsletter subscribe "
     "subscription signup login search form pagination pager toolbar skip".split()
 )
+#: Marks of what others wrote: such an element is no article as long as there is other text.
+_OTHERS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion "
+    "promoted related recommended recommendations comment comments commentlist discussion disqus reply "
+    "replies respond responses cookie cookies consent gdpr notice notices popup modal newsletter".split()
+)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Names that say which parts surround an element or that it has none.
+_LAYOUT = re.compile(r"(?:has|no|not|with|without)[-_]", re.IGNORECASE)
 #: Elements that may be the region of a page without article or main element.
 _CONTAINERS = frozenset(["", "html", "body", "div", "center", "form"])
 #: Elements whose end tag may be missing, with those that keep an open one open.
@@ -63,31 +75,45 @@ _CLOSED_BY_NEXT = {
 }
 
 
-def _is_marked(attrs: list[tuple[str, str | None]]) -> bool:
+def _marks(attrs: list[tuple[str, str | None]]) -> set[str]:
+    """The marking words of an element's class, id and role."""
+    words = set()
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
-            if any(w.lower() in _MARKS for w in _WORD.findall(value)):
-                return True
-        elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-    return False
+            for part in value.split():
+                if not _LAYOUT.match(part):
+                    own = {w.lower() for w in _WORD.findall(part)}
+                    words |= own - {"widget"} if "elementor" in own else own  # its name for any block
+    return words & _MARKS
+
+
+def _is_hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    return any(name == "hidden" or (name == "aria-hidden" and value == "true") for name, value in attrs)
 
 
 class _Lines(HTMLParser):
-    """Collects lines and the elements they stand in."""
+    """Collects lines and the elements they stand in.
+
+    Marked elements and forms are numbered; those in ``spared`` are not dropped.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, spared: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, bool]] = []  # name, element, dropped, link
+        self.spared = spared
+        self.asides: list[tuple[int, bool, bool]] = []  # the aside around it, words of others, in an article
+        self.holders: set[int] = set()  # asides with an article or main element
+        self.aside, self.lost = -1, False  # innermost aside; in what never holds article text
+        self.link, self.plain = False, False  # in a link; the line has text outside of links
+        self.open: list[tuple[str, int, bool, int, bool, bool]] = []  # name, element, dropped, aside, lost, link
         self.parents: list[int] = [-1]
         self.names: list[str] = [""]
         self.element, self.dropped = 0, False
-        self.link, self.plain = False, False  # in a link; the line has text outside of links
         self.words: list[str] = []
         self.dropped_words: list[str] = []
         self.tags = 0
         self.lines: list[tuple[str, int, int, bool]] = []  # text, tags, element, dropped
         self.prose: list[bool] = []  # lines with text outside of links
+        self.within: list[int] = []  # aside of each line, -1 for none, -2 in what is always dropped
 
     def _end_line(self) -> None:
         for dropped, words in ((False, self.words), (True, self.dropped_words)):
@@ -95,12 +121,14 @@ class _Lines(HTMLParser):
                 if text := " ".join("".join(words).split()):
                     self.lines.append((text, self.tags, self.element, dropped))
                     self.prose.append(self.plain)
+                    self.within.append((-2 if self.lost else self.aside) if dropped else -1)
                 words.clear()
         self.tags, self.plain = 0, False
 
     def _pop_to(self, depth: int) -> None:
         del self.open[depth:]
-        _, self.element, self.dropped, self.link = self.open[-1] if self.open else ("", 0, False, False)
+        last = self.open[-1] if self.open else ("", 0, False, -1, False, False)
+        _, self.element, self.dropped, self.aside, self.lost, self.link = last
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _BLOCK:
@@ -116,16 +144,24 @@ class _Lines(HTMLParser):
                 if self.open[depth][0] in ends:
                     self._pop_to(depth)
                     break
-        dropped = self.dropped or tag in _DROPPED
-        if not dropped and attrs and tag not in ("html", "body", "article", "main"):
-            dropped = _is_marked(attrs)
+        if tag in ("article", "main") and self.dropped and not self.lost:
+            self.holders.add(self.aside)
+        named = attrs and tag not in ("html", "body", "article", "main")
+        self.lost = self.lost or (tag in _DROPPED and tag != "form") or bool(named and _is_hidden(attrs))
+        dropped = self.dropped or self.lost
+        if not self.lost and (marks := _marks(attrs) if named else set()) | ({tag} & {"form"}):
+            held = any(x[0] in ("article", "main") for x in self.open)
+            self.asides.append((self.aside, bool(marks & _OTHERS), held))
+            number = len(self.asides) - 1
+            if number not in self.spared:
+                self.aside, dropped = number, True
         if tag in _BLOCK and not dropped:
             self.parents.append(self.element)
             self.names.append(tag)
             self.element = len(self.parents) - 1
         self.dropped = dropped
         self.link = self.link or tag == "a"
-        self.open.append((tag, self.element, dropped, self.link))
+        self.open.append((tag, self.element, dropped, self.aside, self.lost, self.link))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _BLOCK:
@@ -170,19 +206,65 @@ def _whole_tags(html: str) -> str:
     return html
 
 
-def main_text(html: str | None) -> str:
-    """Blocks of the content region in page order, joined by one space."""
-    page = _Lines()
-    page.feed(_whole_tags(html or ""))
+def _read(html: str, spared: frozenset[int] = frozenset()) -> tuple[_Lines, np.ndarray]:
+    """The lines of a page and which of them are in the upper cluster."""
+    page = _Lines(spared)
+    page.feed(html)
     page.close()
     page._end_line()
     if not page.lines:
-        return ""
+        return page, np.empty(0, bool)
     ratio = np.array([len(text) / max(1, tags) for text, tags, _, _ in page.lines])
     half = len(_KERNEL) // 2
     padded = np.pad(ratio, half, mode="edge")
     smooth = np.convolve(padded, _KERNEL, mode="valid")
-    upper = smooth >= _threshold(smooth)
+    return page, smooth >= _threshold(smooth)
+
+
+def _no_asides(page: _Lines, upper: np.ndarray) -> frozenset[int]:
+    """Marked elements and forms that hold the article, from the outermost on."""
+    held, own = np.zeros(len(page.asides)), np.zeros(len(page.asides))
+    free = outside = 0
+    for (text, *_), high, aside in zip(page.lines, upper, page.within, strict=True):
+        if aside == -1:
+            free += len(text) * high
+            outside += len(text)
+        elif aside >= 0:
+            held[aside] += len(text) * high
+            own[aside] += len(text)
+    holders, whole = set(page.holders), own.copy()
+    for aside in range(len(held) - 1, -1, -1):  # inner ones come after outer ones
+        if (around := page.asides[aside][0]) >= 0:
+            held[around] += held[aside]
+            whole[around] += whole[aside]
+            if aside in holders:
+                holders.add(around)
+    total = free + sum(held[a] for a, (around, *_) in enumerate(page.asides) if around < 0)
+    named = any(name in ("article", "main") for name in page.names)
+    spared = set()
+    for aside, (around, others, within) in enumerate(page.asides):
+        if (around >= 0 and around not in spared) or not whole[aside] or (others and outside):
+            continue
+        most = 0 < MOST * total <= held[aside]
+        if named and not within:
+            fits = aside in holders and most
+        else:
+            fits = most or aside in holders or not outside
+        if fits:
+            spared.add(aside)
+            outside += own[aside]
+    return frozenset(spared)
+
+
+def main_text(html: str | None) -> str:
+    """Blocks of the content region in page order, joined by one space."""
+    html = _whole_tags(html or "")
+    page, upper = _read(html)
+    spared = _no_asides(page, upper) if page.asides and page.lines else None
+    if spared:
+        page, upper = _read(html, spared)
+    if not page.lines:
+        return ""
     votes = np.zeros(len(page.parents))
     live = np.zeros(len(page.parents))
     for (text, _, element, dropped), high in zip(page.lines, upper, strict=True):
@@ -201,6 +283,8 @@ def main_text(html: str | None) -> str:
     for kind in ("article", "main"):
         if named := [e for e, name in enumerate(page.names) if name == kind and live[e]]:
             with_votes = [e for e in named if votes[e]]
+            if spared and max(votes[e] for e in named) < MOST * votes[0] and len(with_votes) < 2:
+                continue  # a teaser in what was spared, beside an article without a name
             inside[with_votes or max(named, key=lambda e: (live[e], -e))] = True
             break
     else:

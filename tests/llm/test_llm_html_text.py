@@ -77,3 +77,27 @@ LEAD = "A lead of some words that opens the article and stands in a block of its
 )
 def test_articles_split_over_blocks(html, text):
     assert main_text(html) == text
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        'div class="has-sidebar"', 'div class="no-sidebar"', 'div class="with-navigation"',
+        'div class="elementor-widget-container"', 'form id="aspnetForm"', 'div class="sidebar-container"',
+    ],
+)
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_marked_wrappers(wrapper, inner):
+    end = wrapper.split()[0]
+    body = f'<{inner}><h1>T</h1><p>{LONG}</p><p>d</p></{inner}><div class="comments"><p>{LEAD}</p></div>'
+    page = f"<body>{MENU}<{wrapper}>{body}</{end}>{FOOT}</body>"
+    assert main_text(page) == f"T {LONG} d"
+    page = f"<article><{wrapper}><h1>T</h1><p>{LONG}</p><p>d</p></{end}></article>{FOOT}"
+    assert main_text(page) == f"T {LONG} d"
+
+
+def test_asides_stay_out():
+    aside = f'<div class="sidebar"><p>{LEAD}</p></div>'
+    assert main_text(f"<article><p>{LONG}</p></article>{aside}") == LONG
+    assert main_text(f"<div><p>{LONG}</p><p>{LONG}</p></div>{aside}") == f"{LONG} {LONG}"
+    assert main_text(f'<div><p>{LONG}</p></div><div class="comments"><article>{LEAD}</article></div>') == LONG
