@@ -26,6 +26,8 @@ _TILE = 1 << 17
 
 _FACTORS = np.random.default_rng(60013).integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _WEIGHTS = np.random.default_rng(80021).integers(1, 1 << 63, 4, dtype=np.uint64) | np.uint64(1)
+#: Column that tells rows apart, by doc_id and text.
+_KEY = "near_dedup_key"
 _BAND_NO = np.arange(BANDS, dtype=np.uint64)
 
 
@@ -151,6 +153,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     or null, and then they are kept. Rows that repeat a doc_id are rows of their own.
     Other columns are ignored.
     """
+    named, signed, classes = _classified(docs, doc_id, text)
+    component = _component_ids(classes, _components(named, classes))
+    out = signed.select("doc_id", "n_shingles", "class").join(component, "class", "left")
+    own = F.coalesce("component_id", F.when(F.col("class").isNull(), F.col("doc_id")))
+    return out.select(
+        "doc_id",
+        "n_shingles",
+        own.alias("component_id"),
+        F.coalesce(F.col("doc_id") == own, own.isNull()).alias("kept"),
+    )
+
+
+def _classified(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts with their digests; (doc_id, digest, class) and more of every row; the classes."""
     named = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("digest")
     )
@@ -169,32 +185,37 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .agg(
             F.min("doc_id").alias("first"),
             F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("row"),
+            F.min(F.when(F.col("doc_id").isNull(), F.col("digest"))).alias("unnamed"),
             F.any_value("n_shingles").alias("n"),
             F.any_value("keys").alias("keys"),
         )
     )
-    component = _component_ids(classes, _components(named, classes))
-    out = signed.select("doc_id", "n_shingles", "class").join(component, "class", "left")
-    own = F.coalesce("component_id", F.when(F.col("class").isNull(), F.col("doc_id")))
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        own.alias("component_id"),
-        F.coalesce(F.col("doc_id") == own, own.isNull()).alias("kept"),
-    )
+    return named, signed, classes
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row, with all columns, of each group: that of the smallest doc_id.
+    """One row, with all columns, of each group: the first by doc_id, then text digest.
 
-    Rows without shingles stay. Rows with a null doc_id stay too, as nothing tells them
-    apart; of rows that repeat a doc_id one is kept.
+    Rows are told apart by doc_id and text, so rows that share a doc_id but are not alike
+    all stay, and rows without shingles do. Of a group's rows with a null doc_id the first
+    by text digest stays as well, as nothing says that they are the named document.
     """
-    known = F.col(doc_id).isNotNull()
-    kept = near_duplicates(docs, doc_id, text).where("kept and doc_id is not null")
-    chosen = kept.select(F.col("doc_id").alias(doc_id)).distinct()
-    one = docs.where(known).join(chosen, doc_id, "left_semi").dropDuplicates([doc_id])
-    return one.union(docs.where(~known))
+    named, _, classes = _classified(docs, doc_id, text)
+    named_row = F.when(F.col("first").isNotNull(), F.struct("row.doc_id", "row.digest"))
+    nobody = F.lit(None).cast(docs.schema[doc_id].dataType).alias("doc_id")
+    unnamed_row = F.when(F.col("unnamed").isNotNull(), F.struct(nobody, F.col("unnamed").alias("digest")))
+    chosen = (
+        classes.join(_components(named, classes).withColumnRenamed("node", "class"), "class", "left")
+        .select(F.coalesce("label", "class").alias("label"), named_row.alias("row"), unnamed_row.alias("unnamed"))
+        .groupBy("label")
+        .agg(F.min("row").alias("row"), F.min("unnamed").alias("unnamed"))
+        .select(F.explode(F.array("row", "unnamed")).alias(_KEY))
+        .where(F.col(_KEY).isNotNull())
+    )
+    blank = F.coalesce(F.trim(F.col(text), F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == ""
+    key = F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("digest"))
+    one = docs.where(~blank).withColumn(_KEY, key).join(chosen, _KEY, "left_semi").dropDuplicates([_KEY])
+    return one.drop(_KEY).union(docs.where(blank))
 
 
 def _component_ids(classes: DataFrame, found: DataFrame) -> DataFrame:

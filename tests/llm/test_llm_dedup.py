@@ -112,6 +112,19 @@ def test_one_row_of_each_group_stays(spark):
     assert ordered(r.doc_id for r in kept.collect()) == [1, 3, None]
 
 
+def test_rows_that_share_a_doc_id(spark):
+    """(7, near copy of A) goes, (7, B) stays; copies without an id shrink to one."""
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    rows = [(3, " ".join(a)), (7, " ".join(a[:-1])), (7, " ".join(b)), (9, " \t"), (9, None)]
+    rows += [(1, f"text {i} of one and the same id") for i in range(5)]
+    rows += [(None, "copied text")] * 20 + [(None, "Copied text"), (None, None), (None, None)]
+    kept = [tuple(r) for r in drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()]
+    copies = [r for r in kept if (r[1] or "").lower() == "copied text"]
+    assert len(copies) == 1
+    expected = [r for r in rows if (r[1] or "").lower() != "copied text" and r != (7, " ".join(a[:-1]))]
+    assert ordered(r for r in kept if r not in copies) == ordered(expected)
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=14))
 def test_components(spark, links):
