@@ -66,8 +66,81 @@ SELECT conv_id, count(*) AS n_turns,
 FROM rows GROUP BY conv_id
 """
 
+#: Every document scored for every item it shares a term with.
+LEXICAL_SEARCH = r"""
+WITH doc_terms AS (
+  SELECT row_number() OVER () AS row_no, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents
+), sizes AS (SELECT row_no, doc_id, len(t) AS n FROM doc_terms WHERE len(t) > 0),
+totals AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM sizes),
+counts AS (
+  SELECT row_no, term, count(*) AS tf
+  FROM (SELECT row_no, unnest(t) AS term FROM doc_terms) GROUP BY row_no, term
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * nd + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w
+  FROM counts, totals GROUP BY term, nd
+), scored AS (
+  SELECT a.item_id, s.row_no, s.doc_id,
+    CAST(sum(w.w * ((1000000000 * c.tf) // (1000 * c.tf + 20 * (50 + (50 * s.n * nd) // l)))) AS BIGINT) AS score
+  FROM asked a JOIN weights w USING (term) JOIN counts c USING (term) JOIN sizes s USING (row_no), totals
+  GROUP BY a.item_id, s.row_no, s.doc_id
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank,
+    doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+#: All phrases of up to four words counted, cut in two in all ways and compared.
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece
+  FROM documents
+), words AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM words, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k
+), counts AS (
+  SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 30
+), cuts AS (
+  SELECT c.lang, c.phrase, c.k, c.a, i,
+    array_to_string(string_split(c.phrase, ' ')[1:i], ' ') AS lp,
+    array_to_string(string_split(c.phrase, ' ')[i + 1:], ' ') AS rp
+  FROM counts c, (SELECT unnest([1, 2, 3]) AS i) WHERE i < c.k
+), scored AS (
+  SELECT x.lang, x.phrase, x.k, x.a,
+    min(struct_pack(score := (2000000 * x.a::HUGEINT) // (lc.a + rc.a), i := x.i, l := lc.a, r := rc.a)) AS cut
+  FROM cuts x JOIN counts lc ON lc.lang = x.lang AND lc.phrase = x.lp
+    JOIN counts rc ON rc.lang = x.lang AND rc.phrase = x.rp
+  GROUP BY x.lang, x.phrase, x.k, x.a
+), inner_parts AS (
+  SELECT c.lang, array_to_string(string_split(c.phrase, ' ')[s:s + z - 1], ' ') AS phrase, max(c.a) AS longer
+  FROM counts c, (SELECT unnest([1, 2, 3]) AS s), (SELECT unnest([2, 3]) AS z)
+  WHERE z < c.k AND s + z - 1 <= c.k GROUP BY 1, 2
+), ranked AS (
+  SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY s.cut.score DESC, s.a DESC, s.phrase) AS rank,
+    s.phrase, s.a, s.cut.l AS l, s.cut.r AS r, t.n, CAST(s.cut.score AS BIGINT) AS score
+  FROM scored s JOIN totals t ON t.lang = s.lang
+    LEFT JOIN inner_parts p ON p.lang = s.lang AND p.phrase = s.phrase
+  WHERE p.longer IS NULL OR 100 * p.longer < 80 * s.a
+)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op1_url_filter": URL_FILTER,
     "op3_chat_format": CHAT_FORMAT,
     "op8_near_dedup": NEAR_DEDUP,
+    "op11_lexical_search": LEXICAL_SEARCH,
+    "op12_collocations": COLLOCATIONS,
 }

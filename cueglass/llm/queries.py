@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cueglass.llm import chat, decontaminate, toxicity
+from cueglass.llm.collocations import collocations
 from cueglass.llm.fingerprint import fingerprint_documents
 from cueglass.llm.html_text import extract_text
+from cueglass.llm.lexical_search import search_documents
 from cueglass.llm.near_dedup import near_duplicates
 from cueglass.llm.packing import pack_documents
 from cueglass.llm.sharding import shuffle_into_shards
+from cueglass.llm.simhash import simhash_components
 from cueglass.llm.token_scan import document_tokens
 from cueglass.llm.url_filter import judge_urls
 
@@ -77,6 +80,18 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_documents(_table(spark, folder, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search_documents(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(_table(spark, folder, "documents"))
+
+
+def op13_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_components(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_sharding": op2_sharding,
@@ -88,4 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_collocations": op12_collocations,
+    "op13_simhash": op13_simhash,
 }
