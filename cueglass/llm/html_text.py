@@ -15,7 +15,9 @@ around the article itself is no such part: the page is read again without that m
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -39,8 +41,14 @@ _BLOCK = frozenset(
 )
 #: Elements that never hold article text.
 _DROPPED = frozenset(
-    "head title nav header footer aside menu form button select option textarea input label "
-    "script style noscript template iframe object canvas svg math dialog search".split()
+    "head title nav header footer aside menu form button select option textarea input "
+    "script style noscript template iframe object canvas svg dialog search".split()
+)
+#: The same, unless they stand in a sentence.
+_DROPPED_ALONE = frozenset(["label", "math"])
+#: Blocks whose inline elements are parts of sentences: no mark makes an aside of those.
+_SENTENCES = frozenset(
+    "p li dt dd td th h1 h2 h3 h4 h5 h6 blockquote pre figcaption caption summary address".split()
 )
 #: Words in class, id or role that mark what surrounds an article.
 _MARKS = frozenset(
@@ -104,7 +112,10 @@ class _Lines(HTMLParser):
         self.holders: set[int] = set()  # asides with an article or main element
         self.aside, self.lost = -1, False  # innermost aside; in what never holds article text
         self.link, self.plain = False, False  # in a link; the line has text outside of links
-        self.open: list[tuple[str, int, bool, int, bool, bool]] = []  # name, element, dropped, aside, lost, link
+        self.block = ""  # the innermost open block
+        self.names_open: Counter[str] = Counter()  # how often each element is open
+        # name, element, dropped, aside, lost, link, block
+        self.open: list[tuple[str, int, bool, int, bool, bool, str]] = []
         self.parents: list[int] = [-1]
         self.names: list[str] = [""]
         self.element, self.dropped = 0, False
@@ -126,9 +137,16 @@ class _Lines(HTMLParser):
         self.tags, self.plain = 0, False
 
     def _pop_to(self, depth: int) -> None:
+        self.names_open.subtract(x[0] for x in self.open[depth:])
         del self.open[depth:]
-        last = self.open[-1] if self.open else ("", 0, False, -1, False, False)
-        _, self.element, self.dropped, self.aside, self.lost, self.link = last
+        last = self.open[-1] if self.open else ("", 0, False, -1, False, False, "")
+        _, self.element, self.dropped, self.aside, self.lost, self.link, self.block = last
+
+    def _in_sentence(self) -> bool:
+        """Whether the line has words already, or the innermost open block holds sentences."""
+        if any(not w.isspace() for w in self.words):
+            return True
+        return self.block in _SENTENCES
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _BLOCK:
@@ -138,7 +156,8 @@ class _Lines(HTMLParser):
             return
         if tag in _CLOSED_BY_NEXT:
             ends, stops = _CLOSED_BY_NEXT[tag]
-            for depth in range(len(self.open) - 1, -1, -1):
+            any_open = any(self.names_open[x] for x in ends)
+            for depth in range(len(self.open) - 1, -1, -1) if any_open else ():
                 if self.open[depth][0] in stops:
                     break
                 if self.open[depth][0] in ends:
@@ -147,10 +166,12 @@ class _Lines(HTMLParser):
         if tag in ("article", "main") and self.dropped and not self.lost:
             self.holders.add(self.aside)
         named = attrs and tag not in ("html", "body", "article", "main")
-        self.lost = self.lost or (tag in _DROPPED and tag != "form") or bool(named and _is_hidden(attrs))
+        in_sentence = tag not in _BLOCK and self._in_sentence()
+        never = (tag in _DROPPED and tag != "form") or (tag in _DROPPED_ALONE and not in_sentence)
+        self.lost = self.lost or never or bool(named and _is_hidden(attrs))
         dropped = self.dropped or self.lost
-        if not self.lost and (marks := _marks(attrs) if named else set()) | ({tag} & {"form"}):
-            held = any(x[0] in ("article", "main") for x in self.open)
+        if not self.lost and (marks := _marks(attrs) if named and not in_sentence else set()) | ({tag} & {"form"}):
+            held = bool(self.names_open["article"] or self.names_open["main"])
             self.asides.append((self.aside, bool(marks & _OTHERS), held))
             number = len(self.asides) - 1
             if number not in self.spared:
@@ -161,13 +182,15 @@ class _Lines(HTMLParser):
             self.element = len(self.parents) - 1
         self.dropped = dropped
         self.link = self.link or tag == "a"
-        self.open.append((tag, self.element, dropped, self.aside, self.lost, self.link))
+        self.block = tag if tag in _BLOCK else self.block
+        self.names_open[tag] += 1
+        self.open.append((tag, self.element, dropped, self.aside, self.lost, self.link, self.block))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _BLOCK:
             self._end_line()
         self.tags += 1
-        for depth in range(len(self.open) - 1, -1, -1):
+        for depth in range(len(self.open) - 1, -1, -1) if self.names_open[tag] else ():
             if self.open[depth][0] == tag:
                 self._pop_to(depth)
                 return
@@ -196,14 +219,73 @@ def _threshold(values: np.ndarray) -> float:
     return bound
 
 
-def _whole_tags(html: str) -> str:
-    """The page without a tag or comment that the end of the page cuts off."""
-    if (at := html.rfind("<!--")) > html.rfind("-->"):
-        html = html[:at]
-    at = html.rfind("<")
-    if at > html.rfind(">") and (html[at + 1 : at + 2].isalpha() or html[at + 1 : at + 2] in ("/", "!", "?", "")):
-        html = html[:at]
-    return html
+#: One tag that a ``>`` ends outside of quoted values; possessive, so it never goes back.
+_TAG = re.compile(
+    r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>="']++|=\s*+(?:"[^"]*+"|'[^']*+')|[="'])*+)>"""
+)
+_ATTRIBUTE = re.compile(
+    r"""([^\s/>="']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']*+)))?"""
+)
+_PLAIN_NAME = re.compile(r"[a-z][a-z0-9:_-]*")
+#: Attributes that say what an element is for.
+_READ = ("class", "id", "role", "hidden", "aria-hidden")
+#: Elements whose content is no markup.
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in ("script", "style")}
+
+
+def _plain_tag(end: str, name: str, attributes: str) -> str:
+    name = name.lower()
+    if not _PLAIN_NAME.fullmatch(name):
+        name = "x-unknown"
+    if end:
+        return f"</{name}>"
+    kept: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        if (key := m[1].lower()) in _READ and key not in kept:
+            kept[key] = next((v for v in m.groups()[1:] if v is not None), "")
+    return f"<{name}{''.join(f' {k}="{escape(unescaped)}"' for k, unescaped in kept.items())}>"
+
+
+def _plain_markup(html: str) -> str:
+    """The page in markup that has one reading: comments, declarations and scripts are gone,
+    tags have only the attributes in ``_READ``, and other ``<`` are written ``&lt;``.
+
+    A tag, comment or script that the page's end cuts off goes with all that follows its
+    beginning. One way through the page: what has been looked at is not looked at again.
+    """
+    out, done = [], 0
+    while (at := html.find("<", done)) >= 0:
+        out.append(html[done:at])
+        after = html[at + 1 : at + 2]
+        if html.startswith("<!--", at):
+            # ``<!-->`` and ``<!--->`` are whole comments.
+            end = at + 4 if html.startswith(">", at + 4) else at + 5 if html.startswith("->", at + 4) else -1
+            if end < 0:
+                end = html.find("-->", at + 4)
+                end = end + 2 if end >= 0 else -1
+        elif after in ("!", "?") or (after == "/" and not html[at + 2 : at + 3].isalpha() and html[at + 2 : at + 3]):
+            end = html.find(">", at)
+        elif after == "" or (after == "/" and at + 2 == len(html)):
+            end = -1
+        elif not (m := _TAG.match(html, at)):
+            if after.isascii() and after.isalpha() or after == "/":
+                end = -1
+            else:
+                out.append("&lt;")
+                end = at
+        else:
+            end = m.end() - 1
+            out.append(_plain_tag(*m.groups()))
+            name = m[2].lower()
+            if not m[1] and name in _RAW_END:
+                close = _RAW_END[name].search(html, m.end())
+                if not close:
+                    return "".join(out)
+                end = close.start() - 1
+        if end < 0:
+            return "".join(out)
+        done = end + 1
+    return "".join(out) + html[done:]
 
 
 def _read(html: str, spared: frozenset[int] = frozenset()) -> tuple[_Lines, np.ndarray]:
@@ -258,7 +340,7 @@ def _no_asides(page: _Lines, upper: np.ndarray) -> frozenset[int]:
 
 def main_text(html: str | None) -> str:
     """Blocks of the content region in page order, joined by one space."""
-    html = _whole_tags(html or "")
+    html = _plain_markup(html or "")
     page, upper = _read(html)
     spared = _no_asides(page, upper) if page.asides and page.lines else None
     if spared:

@@ -1,5 +1,8 @@
 """Main text of pages with known articles."""
 
+import random
+import time
+
 import pytest
 
 from cueglass.llm.html_text import extract_text, main_text
@@ -101,3 +104,42 @@ def test_asides_stay_out():
     assert main_text(f"<article><p>{LONG}</p></article>{aside}") == LONG
     assert main_text(f"<div><p>{LONG}</p><p>{LONG}</p></div>{aside}") == f"{LONG} {LONG}"
     assert main_text(f'<div><p>{LONG}</p></div><div class="comments"><article>{LEAD}</article></div>') == LONG
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<article><p>x</p><![ x</article>", "x"),
+        ("<article>a<![]>b<![ endif]>c<![1]>d<![foo[x]]>e<!doctype>f</article>", "abcdef"),
+        ("<article>a<![foo", "a"),
+        ("<article>a<?php echo 1 ?>b</ >c</>d", "abcd"),
+        ("<script><!-- var x=1;</script><article>yes</article>", "yes"),
+        ("<article>x<script>no <p>end", "x"),
+        ("<article><p>x<!-->y<!--->z<!-- --!> q --> w</p>", "xyz w"),
+        ('<article><p>so <span class="warning">very</span> <em class="notice">much</em></p></article>', "so very much"),
+        ('<article><p><a class="related-link">a</a> <label>b</label> <math>c</math></p></article>', "a b c"),
+        ('<article><div class="ad">a</div><p title="1>0" x=\'"\'>b</p><a<b>c</a<b></article>', "b c"),
+    ],
+)
+def test_malformed_pages(html, text):
+    assert main_text(html) == text
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<a " * 40_000, '<a x="' * 40_000, "<!--" * 100_000, "<" * 200_000, "</" * 100_000, "<script>" * 50_000,
+     "<b>" * 20_000 + "</i>" * 20_000, "<p class='" + "a " * 100_000 + "'>x", '<div class="ad">' * 10_000, "<svg>" * 9_000 + "<p>x" * 9_000],
+    ids=range(10),
+)
+def test_no_page_takes_long(html):
+    began = time.monotonic()
+    main_text(html)
+    assert time.monotonic() - began < 5
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_any_soup_is_read(seed):
+    rng = random.Random(seed)
+    parts = ["<", ">", "</", "<!", "<!--", "-->", "<![", '"', "'", "=", "p", "div", " ", "a", "article", "script", "/", "&", "&amp;", "]"]
+    main_text("".join(rng.choice(parts) for _ in range(200_000)))
+    main_text("".join(chr(rng.randrange(1, 256)) for _ in range(1_000_000)))
