@@ -100,4 +100,6 @@ def has_bit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def slot(hashes: np.ndarray, size: int) -> np.ndarray:
-    return (mix(hashes) % np.uint64(size)).astype(np.int64)
+    """Place of each hash in a table of ``size`` bits, a power of two: its uppermost bits."""
+    return (hashes >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
