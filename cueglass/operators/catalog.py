@@ -7,7 +7,7 @@ every pair above a similarity without comparing all texts of a common word.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +28,14 @@ from cueglass.functions.text import (
     title_norm,
     trim_blank,
 )
+from cueglass.operators.episode_search import (
+    best_of,
+    by_podcast_size,
+    contained,
+    counted_best,
+    holding_words,
+    related_words,
+)
 from cueglass.operators.scale import cut, first_by, skew_join, top_per_group
 
 # The largest boost that similarity adds to counted word matches.
@@ -383,33 +391,80 @@ def _similar(requests: DataFrame, episodes: DataFrame) -> DataFrame:
     )
 
 
-def _best(rows: DataFrame, score: Column, place: Column) -> DataFrame:
-    """``(podcast_id, term, ord)`` of the row of highest score, then lowest place.
-
-    Both go into one number, so this is a hash aggregate that starts before the
-    shuffle. Scores that differ by less than a ten-millionth count as equal, which no
-    two scores of titles below a thousand characters do.
-    """
-    packed = F.round(score * 10**7).cast("bigint") * F.lit(1 << 31) - place
-    return rows.groupBy("podcast_id", "term").agg(F.max_by("ord", packed).alias("ord"))
-
-
 def _with_episode(best: DataFrame, episodes: DataFrame) -> DataFrame:
     return best.join(episodes, ["podcast_id", "ord"])
 
 
-def best_match(requests: DataFrame, episodes: DataFrame) -> DataFrame:
+def _either_way(texts: DataFrame, titles: DataFrame, limits: Limits) -> DataFrame:
+    """``(podcast_id, text, title)`` where one stands inside the other."""
+    named = titles.select("podcast_id", F.col("title").alias("text"), "words")
+    inside = contained(texts, named, limits).withColumnsRenamed({"short": "text", "long": "title"})
+    around = contained(named, texts, limits).withColumnsRenamed({"short": "title", "long": "text"})
+    return inside.unionByName(around).distinct()
+
+
+def _similarity(text: str, title: str) -> Column:
+    a, b = F.col(text), F.col(title)
+    return norm_similarity(a, b, split_words(a), split_words(b))
+
+
+def similar_episodes(
+    requests: DataFrame, episodes: DataFrame, limits: Limits = DEFAULT
+) -> tuple[DataFrame, DataFrame]:
+    """``(podcast_id, text, ord, score)`` of the most similar title per normalised text, and
+    the pairs that were scored to find it; texts like no title at all are left out."""
+    norm = requests.select("podcast_id", title_norm(F.col("term")).alias("text"))
+    texts = cut(norm.where("text is not null").distinct().withColumn("words", split_words(F.col("text"))))
+    titles = (
+        episodes.where("norm is not null")
+        .groupBy("podcast_id", F.col("norm").alias("title"))
+        .agg(F.min("ord").alias("ord"))
+        .withColumn("words", split_words(F.col("title")))
+        .withColumn("_all", F.transform("words", lambda w: F.substring(w, 1, 2)))
+        .withColumn("_starts", F.array_distinct("_all"))
+        .withColumn("repeats", _most_repeats("_starts", "_all"))
+        .select("podcast_id", "title", "words", "ord", F.col("ord").alias("place"), "repeats")
+    )
+    titles = cut(titles)
+    places = titles.select("podcast_id", "title", "ord", "place")
+    known = _either_way(texts, titles, limits).join(places, ["podcast_id", "title"])
+    words = [cut(df.select(F.explode("words").alias("word")).distinct()) for df in (texts, titles)]
+    gain = F.max(F.when(F.col("word") == F.col("held"), 1.0).otherwise(0.6)) * F.max("repeats")
+    return counted_best(
+        texts, titles, related_words(*words, least=2), gain, lambda gains, n: gains / n + MAX_BOOST,
+        _similarity("text", "title"), known, limits=limits,
+    )
+
+
+def best_match(requests: DataFrame, episodes: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """Most similar episode per ``(podcast_id, term)``; the first one on ties, and the
     first of the podcast when nothing is similar at all.
 
-    ``episodes`` of this and the next functions comes from :func:`catalog_episodes`.
+    Scores that differ by less than a ten-millionth count as equal. ``episodes`` of this
+    and the next functions comes from :func:`catalog_episodes`. In a podcast of very many
+    requests and episodes only pairs that can be best are scored.
     """
-    best = _best(_similar(requests, episodes), F.col("similarity"), F.col("ord"))
-    norm = title_norm(F.col("term"))
-    score = norm_similarity(norm, F.col("norm"), split_words(norm), F.col("norm_words"))
-    return _with_episode(best, episodes).select(
-        "podcast_id", "term", *_SHOWN, score.alias("similarity")
-    )
+
+    def of_few(requests: DataFrame, episodes: DataFrame) -> DataFrame:
+        rows = _similar(requests, episodes).select(
+            "podcast_id", F.col("term").alias("text"), "ord", F.col("ord").alias("place"),
+            F.col("similarity").alias("score"),
+        )
+        return best_of(rows)
+
+    def of_many(requests: DataFrame, episodes: DataFrame) -> DataFrame:
+        best, _ = similar_episodes(requests, episodes, limits)
+        asked = requests.select("podcast_id", "term", title_norm(F.col("term")).alias("text"))
+        return asked.join(best, ["podcast_id", "text"], "left").select(
+            "podcast_id", F.col("term").alias("text"),
+            F.when(F.col("score") > 0, F.col("ord")).otherwise(1).alias("ord"),
+            F.coalesce("score", F.lit(0.0)).alias("score"),
+        )
+
+    asked = requests.select("podcast_id", "term").distinct()
+    ranked = by_podcast_size(asked, episodes, limits, of_few, of_many)
+    named = ranked.withColumnsRenamed({"text": "term", "score": "similarity"})
+    return _with_episode(named, episodes).select("podcast_id", "term", *_SHOWN, "similarity")
 
 
 def match_episodes(requests: DataFrame, episodes: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
@@ -435,63 +490,120 @@ def rank_episodes(requests: DataFrame, episodes: DataFrame, limits: Limits = DEF
     return rows.withColumn("rank", F.row_number().over(by_similarity))
 
 
+def keyword_candidates(
+    requests: DataFrame, episodes: DataFrame, keywords: Callable[[Column], Column], least: float, place: str, limits: Limits = DEFAULT
+) -> tuple[DataFrame, DataFrame]:
+    """``(podcast_id, text, ord, score)`` of the title with the best share of keywords per
+    term, at least ``least``, then by ``place``; and the pairs scored to find it."""
+    texts = requests.select("podcast_id", F.col("term").alias("text")).where("text is not null").distinct()
+    texts = cut(texts.withColumn("words", keywords(F.col("text"))).where(F.size("words") > 0))
+    titles = cut(
+        episodes.where("title is not null")
+        .groupBy("podcast_id", F.lower("title").alias("title"))
+        .agg(F.min_by("ord", place).alias("ord"), F.min(place).alias("place"))
+        .withColumns({"words": split_words(F.col("title")), "repeats": F.lit(1)})
+    )
+    asked, held = (df.select(F.explode("words").alias("word")).distinct() for df in (texts, titles))
+    asked, held = cut(asked), cut(held)
+    related = related_words(asked, held, least=0).union(holding_words(asked, held, limits)).distinct()
+    exact = F.max(F.contains("held", F.col("word")).cast("int"))
+    part = F.max((F.startswith("held", F.col("word")) | F.startswith("word", F.col("held"))).cast("int"))
+    score = shared_keywords(F.col("title"), split_words(F.col("title")), keywords(F.col("text")))
+    none = texts.select("podcast_id", "text", F.lit("").alias("title"), F.lit(0).alias("ord"), F.lit(0).alias("place"))
+    return counted_best(
+        texts, titles, related, exact + 0.5 * part, lambda gains, n: gains / n, score, none.limit(0), least, limits
+    )
+
+
 def _by_keywords(
-    requests: DataFrame, episodes: DataFrame, keywords: Column, least: float, place: str
+    requests: DataFrame, episodes: DataFrame, keywords: Callable[[Column], Column], least: float, place: str,
+    limits: Limits,
 ) -> DataFrame:
     """Episode with the best share of keywords, at least ``least``, then by ``place``."""
-    rows = requests.withColumn("_k", keywords).join(episodes, "podcast_id").select(
-        "podcast_id", "term", "ord", "newest",
-        shared_keywords(F.lower("title"), F.col("low_words"), F.col("_k")).alias("score"),
-    )
-    best = _best(rows.where(F.col("score") >= least), F.col("score"), F.col(place))
-    score = shared_keywords(F.lower("title"), F.col("low_words"), keywords)
+
+    def of_few(requests: DataFrame, episodes: DataFrame) -> DataFrame:
+        rows = requests.withColumn("_k", keywords(F.col("term"))).join(episodes, "podcast_id").select(
+            "podcast_id", F.col("term").alias("text"), "ord", F.col(place).alias("place"),
+            shared_keywords(F.lower("title"), F.col("low_words"), F.col("_k")).alias("score"),
+        )
+        return best_of(rows.where(F.col("score") >= least))
+
+    def of_many(requests: DataFrame, episodes: DataFrame) -> DataFrame:
+        return keyword_candidates(requests, episodes, keywords, least, place, limits)[0]
+
+    asked = requests.select("podcast_id", "term").distinct()
+    best = by_podcast_size(asked, episodes, limits, of_few, of_many).withColumnRenamed("text", "term")
     return (
         _with_episode(best, episodes)
-        .select("podcast_id", "term", *_SHOWN, score.alias("score"))
+        .select("podcast_id", "term", *_SHOWN, "score")
         .withColumn("confidence", keyword_confidence(F.col("score")))
     )
 
 
 def keyword_episode(requests: DataFrame, episodes: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """Episode with the best share of ranked keywords, at least 0.3; first on ties."""
-    keywords = ranked_keywords(F.col("term"), limits.max_keywords)
-    return _by_keywords(requests, episodes, keywords, limits.keyword_score, "ord")
+    keywords = lambda text: ranked_keywords(text, limits.max_keywords)
+    return _by_keywords(requests, episodes, keywords, limits.keyword_score, "ord", limits)
 
 
 def best_by_keywords(requests: DataFrame, episodes: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """Episode with the best share of plain keywords; the newest one on ties."""
-    keywords = plain_keywords(F.col("term"))
-    return _by_keywords(requests, episodes, keywords, limits.any_keyword_score, "newest")
+    return _by_keywords(requests, episodes, plain_keywords, limits.any_keyword_score, "newest", limits)
+
+
+def _tier_matches(requests: DataFrame, episodes: DataFrame, limits: Limits) -> DataFrame:
+    """``(podcast_id, term, ord)`` of the first title of the best tier per term."""
+    search = trim_blank(low_title(F.col("term")))
+    asked = cut(requests.select("podcast_id", "term", search.alias("text")).where("text is not null").distinct())
+    texts = asked.select("podcast_id", "text").distinct().withColumn("words", split_words(F.col("text")))
+    titles = cut(
+        episodes.where("low is not null")
+        .groupBy("podcast_id", F.col("low").alias("title"))
+        .agg(F.min("ord").alias("ord"))
+        .withColumn("words", split_words(F.col("title")))
+    )
+    pairs = _either_way(texts, titles, limits).join(titles.drop("words"), ["podcast_id", "title"])
+    tier = tier_of(F.col("text"), F.col("title"))
+    best = best_of(pairs.withColumns({"score": 100.0 - tier, "place": F.col("ord")}))
+    return asked.join(best, ["podcast_id", "text"]).select("podcast_id", "term", "ord")
 
 
 def fuzzy_episodes(requests: DataFrame, episodes: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """Title match (equal, contained, containing) at confidence 0.9, else plain keywords.
 
-    One pass over the episodes and one partial aggregate: a title match goes before
-    every keyword match.
+    A title match goes before every keyword match.
     """
-    search, keywords = trim_blank(low_title(F.col("term"))), plain_keywords(F.col("term"))
-    rows = (
-        requests.withColumn("_s", search).withColumn("_k", keywords)
-        .join(episodes, "podcast_id")
-        .select(
-            "podcast_id", "term", "ord", "newest",
-            tier_of(F.col("_s"), F.col("low")).alias("tier"),
-            shared_keywords(F.lower("title"), F.col("low_words"), F.col("_k")).alias("score"),
+    search, low = trim_blank(low_title(F.col("term"))), F.lower("title")
+    tier, tiered = tier_of(F.col("_s"), F.col("low")), F.col("tier").isNotNull()
+
+    def of_few(requests: DataFrame, episodes: DataFrame) -> DataFrame:
+        asked = requests.withColumn("_s", search).withColumn("_k", plain_keywords(F.col("term")))
+        rows = asked.join(episodes, "podcast_id").select(
+            "podcast_id", F.col("term").alias("text"), "ord", "newest", tier.alias("tier"),
+            shared_keywords(low, F.col("low_words"), F.col("_k")).alias("score"),
         )
-    )
-    tiered = F.col("tier").isNotNull()
-    usable = rows.where(tiered | (F.col("score") >= limits.any_keyword_score))
-    best = _best(
-        usable,
-        F.when(tiered, 100.0 - F.col("tier")).otherwise(F.col("score")),
-        F.when(tiered, F.col("ord")).otherwise(F.col("newest")),
-    )
+        usable = rows.where(tiered | (F.col("score") >= limits.any_keyword_score)).select(
+            "podcast_id", "text", "ord",
+            F.when(tiered, F.col("ord")).otherwise(F.col("newest")).alias("place"),
+            # Above any share of keywords.
+            F.when(tiered, 100.0 - F.col("tier")).otherwise(F.col("score")).alias("score"),
+        )
+        return best_of(usable).select("podcast_id", F.col("text").alias("term"), "ord")
+
+    def of_many(requests: DataFrame, episodes: DataFrame) -> DataFrame:
+        named = cut(_tier_matches(requests, episodes, limits))
+        rest = requests.join(named, ["podcast_id", "term"], "left_anti")
+        by_words, _ = keyword_candidates(
+            rest, episodes, plain_keywords, limits.any_keyword_score, "newest", limits
+        )
+        return named.unionByName(by_words.select("podcast_id", F.col("text").alias("term"), "ord"))
+
+    asked = requests.select("podcast_id", "term").distinct()
+    best = by_podcast_size(asked, episodes, limits, of_few, of_many)
     found = _with_episode(best, episodes).select(
         "podcast_id", "term", *_SHOWN,
-        tier_of(search, F.col("low")).alias("tier"),
-        shared_keywords(F.lower("title"), F.col("low_words"), keywords).alias("score"),
+        tier_of(trim_blank(low_title(F.col("term"))), F.col("low")).alias("tier"),
+        shared_keywords(F.lower("title"), F.col("low_words"), plain_keywords(F.col("term"))).alias("score"),
     )
-    confidence = F.when(tiered, F.lit(0.9)).otherwise(keyword_confidence(F.col("score")))
+    confidence = F.when(F.col("tier").isNotNull(), F.lit(0.9)).otherwise(keyword_confidence(F.col("score")))
     return found.withColumn("confidence", confidence)
-
