@@ -36,7 +36,7 @@ from cueglass.operators.episode_search import (
     holding_words,
     related_words,
 )
-from cueglass.operators.scale import cut, first_by, skew_join, top_per_group
+from cueglass.operators.scale import cut, first_by, rank_in_group, skew_join, top_per_group
 
 # The largest boost that similarity adds to counted word matches.
 MAX_BOOST = 0.15
@@ -356,17 +356,20 @@ def catalog_episodes(episodes: DataFrame) -> DataFrame:
     ``ord`` is its place in its podcast, newest first (nulls last), then by id;
     ``newest`` is the same with a missing date as that of 1970.
     """
-    released = F.coalesce(F.unix_micros(F.col("release_date").cast("timestamp")), F.lit(0).cast("bigint"))
-    of_podcast = Window.partitionBy("podcast_id")
-    placed = episodes.select(
-        "podcast_id",
-        "episode_id",
-        F.row_number().over(of_podcast.orderBy(F.desc_nulls_last("release_date"), "episode_id")).alias("ord"),
-        F.row_number().over(
-            of_podcast.orderBy(released.desc(), F.desc_nulls_last("release_date"), "episode_id")
-        ).alias("newest"),
-        "title",
-        "release_date",
+    date = F.col("release_date")
+    early = F.unix_micros(date.cast("timestamp")) < 0
+    named = episodes.select("podcast_id", "episode_id", "title", "release_date")
+    ranked = rank_in_group(named, "podcast_id", [F.desc_nulls_last("release_date"), F.col("episode_id")], "ord")
+    # Seen as from 1970, episodes without a date go before all older ones.
+    moved = (
+        named.groupBy("podcast_id")
+        .agg(F.count(F.when(early, 1)).alias("_early"), F.count(F.when(date.isNull(), 1)).alias("_undated"))
+        .where("_early > 0 and _undated > 0")
+    )
+    step = F.when(date.isNull(), -F.col("_early")).when(early, F.col("_undated"))
+    placed = ranked.join(moved, "podcast_id", "left").select(
+        "podcast_id", "episode_id", "ord", (F.col("ord") + F.coalesce(step, F.lit(0))).cast("int").alias("newest"),
+        "title", "release_date",
     )
     return placed.select(
         "*",

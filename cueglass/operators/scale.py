@@ -64,6 +64,31 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return ranked.select(*keys, "_first.*")
 
 
+def rank_in_group(df: DataFrame, group: str, order: list[Column], out: str) -> DataFrame:
+    """Add each row's place, from 1, in its ``group`` by ``order``, ties in any order.
+
+    Rows are dealt out by ranges of group and order, so a group that holds a third of the
+    table spreads over a third of the ranges; each range is ranked by itself. Only one
+    count for each group and range is put in sequence.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(
+        df.repartitionByRange(tasks, F.col(group), *order).withColumn("_range", F.spark_partition_id())
+    )
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = dealt.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_rows")).select(
+        group, "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base")
+    )
+    inside = Window.partitionBy(group, "_range").orderBy(*order)
+    same = dealt[group].eqNullSafe(F.col("_group")) & (dealt["_range"] == F.col("_at"))
+    return (
+        dealt.withColumn("_place", F.row_number().over(inside))
+        .join(bases.withColumnsRenamed({group: "_group", "_range": "_at"}), same)
+        .withColumn(out, (F.col("_base") + F.col("_place")).cast("int"))
+        .drop("_range", "_place", "_base", "_group", "_at")
+    )
+
+
 def skew_join(
     many: DataFrame,
     few: DataFrame,

@@ -4,11 +4,12 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cueglass.config import Limits
 from cueglass.functions.text import title_norm, title_similarity
-from cueglass.operators import catalog
+from cueglass.operators import catalog, scale
 
 
 def texts(seed, n):
@@ -175,3 +176,26 @@ def test_best_match_is_a_hash_aggregate(spark, tmp_path):
     best = catalog.best_match(spark.read.parquet(f"{tmp_path}/r"), spark.read.parquet(f"{tmp_path}/e"))
     plan = best._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_places_in_a_podcast_with_a_third_of_all_episodes(spark, monkeypatch):
+    """Places equal those of one window per podcast; no range holds much more than others."""
+    rows = [(1 if i % 3 == 0 else 2 + i % 200, i, f"t{i}", [None, "1950-01-01", f"20{10 + i % 9}-0{1 + i % 7}-11", "1970-01-01"][i * 7 % 4])
+            for i in range(6000)]
+    rows += [(None, 7000, "x", None), (None, 7001, "y", "2000-01-01"), (1, 7002, None, "1969-12-31")]
+    df = spark.createDataFrame(rows, "podcast_id bigint, episode_id bigint, title string, d string").select(
+        "podcast_id", "episode_id", "title", F.to_timestamp("d").alias("release_date"))
+    dealt = []
+    real = scale.cut
+    monkeypatch.setattr(scale, "cut", lambda x: dealt.append(real(x)) or dealt[-1])
+    got = {r.episode_id: (r.ord, r.newest) for r in catalog.catalog_episodes(df).collect()}
+    of_podcast = Window.partitionBy("podcast_id")
+    as_of_1970 = F.coalesce(F.unix_micros("release_date"), F.lit(0))
+    want = df.select(
+        "episode_id",
+        F.row_number().over(of_podcast.orderBy(F.desc_nulls_last("release_date"), "episode_id")).alias("ord"),
+        F.row_number().over(of_podcast.orderBy(as_of_1970.desc(), F.desc_nulls_last("release_date"), "episode_id")).alias("newest"),
+    )
+    assert got == {r.episode_id: (r.ord, r.newest) for r in want.collect()}
+    sizes = sorted(r["count"] for r in dealt[0].groupBy("_range").count().collect())
+    assert len(sizes) >= 6 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
