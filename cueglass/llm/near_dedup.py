@@ -26,8 +26,6 @@ _TILE = 1 << 17
 
 _FACTORS = np.random.default_rng(60013).integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _WEIGHTS = np.random.default_rng(80021).integers(1, 1 << 63, 4, dtype=np.uint64) | np.uint64(1)
-#: Column that tells rows apart, by doc_id and text.
-_KEY = "near_dedup_key"
 _BAND_NO = np.arange(BANDS, dtype=np.uint64)
 
 
@@ -200,6 +198,10 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     all stay, and rows without shingles do. Of a group's rows with a null doc_id the first
     by text digest stays as well, as nothing says that they are the named document.
     """
+    taken = {c.lower() for c in docs.columns}
+    key_name = "near_dedup_key"  # tells rows apart, by doc_id and text
+    while key_name in taken:
+        key_name += "_"
     named, _, classes = _classified(docs, doc_id, text)
     named_row = F.when(F.col("first").isNotNull(), F.struct("row.doc_id", "row.digest"))
     nobody = F.lit(None).cast(docs.schema[doc_id].dataType).alias("doc_id")
@@ -209,13 +211,13 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
         .select(F.coalesce("label", "class").alias("label"), named_row.alias("row"), unnamed_row.alias("unnamed"))
         .groupBy("label")
         .agg(F.min("row").alias("row"), F.min("unnamed").alias("unnamed"))
-        .select(F.explode(F.array("row", "unnamed")).alias(_KEY))
-        .where(F.col(_KEY).isNotNull())
+        .select(F.explode(F.array("row", "unnamed")).alias(key_name))
+        .where(F.col(key_name).isNotNull())
     )
     blank = F.coalesce(F.trim(F.col(text), F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == ""
     key = F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("digest"))
-    one = docs.where(~blank).withColumn(_KEY, key).join(chosen, _KEY, "left_semi").dropDuplicates([_KEY])
-    return one.drop(_KEY).union(docs.where(blank))
+    one = docs.where(~blank).withColumn(key_name, key).join(chosen, key_name, "left_semi").dropDuplicates([key_name])
+    return one.drop(key_name).union(docs.where(blank))
 
 
 def _component_ids(classes: DataFrame, found: DataFrame) -> DataFrame:

@@ -143,3 +143,9 @@ def test_components_of_a_chain(spark):
     links = list(zip(order, order[1:], strict=False)) + [(None, 3)]
     got = connected(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r.node: r.label for r in got} == dict.fromkeys(range(200), 0)
+
+
+def test_columns_named_like_the_key(spark):
+    rows = [(1, "a b c", 5, 6), (2, "a b c", 7, 8), (3, "d", 9, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, near_dedup_key int, NEAR_DEDUP_KEY_ int")
+    assert sorted(map(tuple, drop_near_duplicates(docs).collect())) == [rows[0], rows[2]]
