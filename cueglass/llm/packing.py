@@ -15,7 +15,7 @@ LENGTHS = (1024, 2048, 4096, 8192)
 #: What a sequence costs besides its tokens.
 OVERHEAD = 64
 #: Documents that are packed together.
-GROUP = 1 << 12
+GROUP = 1 << 14
 
 
 def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD) -> list[tuple[int, int, int]]:
