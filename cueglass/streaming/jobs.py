@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cueglass.config import DEFAULT, Limits
-from cueglass.operators.selection import apply_event
+from cueglass.operators.selection import Runs, apply_event
 from cueglass.plans.extract import extract_layout
 from cueglass.sources.readers import ocr_texts, ocr_words
 
@@ -24,13 +24,12 @@ def _update(
             event = int(seq), op, int(start), None if pd.isna(stop) else int(stop)
             known.setdefault(event[0], event)
     events = [known[seq] for seq in sorted(known)]
-    selected: set[int] = set()
+    selected = Runs()
     for _, op, start, stop in events:
         apply_event(selected, op, start, stop)
     state.update(tuple(list(column) for column in zip(*events)))
-    yield pd.DataFrame(
-        {"clip_id": [key[0]], "seq": [events[-1][0]], "word_indexes": [sorted(selected)]}
-    )
+    words = [w for first, last in zip(selected.starts, selected.ends) for w in range(first, last + 1)]
+    yield pd.DataFrame({"clip_id": [key[0]], "seq": [events[-1][0]], "word_indexes": [words]})
 
 
 def stream_selections(events: DataFrame) -> DataFrame:

@@ -115,6 +115,78 @@ def test_range_events_need_no_fold(spark):
     assert covered == fold
 
 
+def test_runs_equal_a_set_of_words():
+    """The interval set against the rules written for a plain set of words."""
+
+    def plain(selected, op, start, end):
+        first = last = start
+        while first - 1 in selected:
+            first -= 1
+        while last + 1 in selected:
+            last += 1
+        if op == "click":
+            if start not in selected:
+                selected.add(start)
+            elif first == last:
+                selected.discard(start)
+            else:
+                selected.difference_update(range(start + 1, last + 1))
+            return
+        end = start if end is None else end
+        low, high = min(start, end), max(start, end)
+        if op == "select" or (op == "drag" and start != end and start not in selected):
+            selected.update(range(low, high + 1))
+        elif op == "deselect":
+            selected.difference_update(range(low, high + 1))
+        elif op == "drag" and start != end:
+            selected.difference_update(range(max(low, first), min(high, last) + 1))
+
+    rng = random.Random(11)
+    for _ in range(200):
+        runs, words = selection.Runs(), set()
+        for _ in range(40):
+            event = rng.choice(["click", "drag", "select", "deselect"]), rng.randrange(25), rng.choice([None, rng.randrange(25)])
+            selection.apply_event(runs, *event)
+            plain(words, *event)
+            assert [w for a, b in zip(runs.starts, runs.ends) for w in range(a, b + 1)] == sorted(words)
+            assert all(b + 1 < a for b, a in zip(runs.ends, runs.starts[1:]))
+
+
+def test_a_drag_over_ten_million_words_is_one_run():
+    runs = selection.Runs()
+    selection.apply_event(runs, "drag", 0, 10_000_000)
+    selection.apply_event(runs, "click", 5_000_000, None)
+    assert (runs.starts, runs.ends) == ([0], [5_000_000])
+
+
+EVENT = "clip_id string, seq bigint, op string, from_index int, to_index int"
+
+
+@pytest.mark.parametrize("chunk", [2, 8, 4096])
+def test_latest_intervals_equal_the_fold(spark, chunk):
+    """Small chunks, so that blocks above them, chunk borders and carried values occur."""
+    rng = random.Random(chunk)
+    rows = [(rng.choice("aab"), i, rng.choice(["select", "deselect"]), rng.randint(0, 300), rng.choice([None, rng.randint(0, 300)]))
+            for i in range(150)]
+    rows += [("c", 0, "deselect", 1, 9), ("d", 0, "select", 4, None), (None, 1, "select", 1, 2), ("d", 1, "select", None, 3)]
+    df = spark.createDataFrame(rows, EVENT)
+    want = sorted(map(tuple, selection.fold_intervals(df.where("clip_id IS NOT NULL AND from_index IS NOT NULL")).collect()))
+    got = selection.latest_intervals(df, Limits(running_chunk=chunk))
+    assert sorted(map(tuple, got.collect())) == want
+    words = spark.createDataFrame([(c, w, "x") for c in "abd" for w in range(0, 300, 3)] * 2, "clip_id string, word_index int, t string")
+    chosen = selection.latest_words(df, words, Limits(running_chunk=chunk))
+    inside = sorted((c, w, "x") for c in "abd" for w in range(0, 300, 3) if any(k == c and a <= w <= b for k, a, b in want))
+    assert sorted(map(tuple, chosen.collect())) == sorted(inside * 2)
+
+
+def test_a_range_of_a_billion_words(spark):
+    rows = [("c", 0, "select", 0, 1_000_000_000), ("c", 1, "deselect", 10, 20), ("c", 2, "select", 15, 15)]
+    df = spark.createDataFrame(rows, EVENT)
+    got = sorted((r.start_index, r.end_index) for r in selection.latest_intervals(df).collect())
+    assert got == [(0, 9), (15, 15), (21, 1_000_000_000)]
+    assert selection.latest_intervals(df.limit(0)).collect() == []
+
+
 def test_stream_of_events(spark, tmp_path):
     schema = "clip_id string, seq bigint, op string, from_index int, to_index int"
     spark.createDataFrame([("c", 0, "select", 0, 4), ("c", 1, "click", 2, None), ("d", 0, "click", 1, None)],
