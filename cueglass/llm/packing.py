@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,18 +15,56 @@ from cueglass.llm.numbering import number_rows
 LENGTHS = (1024, 2048, 4096, 8192)
 #: What a sequence costs besides its tokens.
 OVERHEAD = 64
+#: Length at which attention, which grows with the square, costs as much as all else.
+ATTENTION = 1 << 16
 #: Documents that are packed together.
 GROUP = 1 << 14
 
 
-def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD) -> list[tuple[int, int, int]]:
+def cost(length: int, overhead: int = OVERHEAD, attention: int | None = None) -> float:
+    """What a sequence of that length costs: its tokens, its overhead, and its attention."""
+    return length + overhead + (length * length / attention if attention else 0)
+
+
+def pack_jointly(
+    sizes: list[int],
+    lengths: tuple[int, ...] = LENGTHS,
+    overhead: int = OVERHEAD,
+    attention: int | None = ATTENTION,
+) -> list[tuple[int, int, int]]:
+    """``pack`` with that choice of permitted lengths whose filled bins cost least in all.
+
+    Which lengths are worth opening depends on how the sizes at hand fill them, so every
+    choice that holds the largest piece is filled on trial; bins shrink to any permitted
+    length. Ties go to the choice of fewer and larger lengths.
+    """
+    most = max(sizes, default=0)
+    best = None
+    for n in range(1, len(lengths) + 1):
+        for opened in combinations(sorted(lengths, reverse=True), n):
+            if opened[0] < most:
+                continue
+            bins = pack(sizes, opened, overhead, attention, lengths)
+            total = sum(cost(x, overhead, attention) for x in {own: x for own, _, x in bins}.values())
+            if best is None or total < best[0]:
+                best = total, bins
+    return best[1]
+
+
+def pack(
+    sizes: list[int],
+    lengths: tuple[int, ...] = LENGTHS,
+    overhead: int = OVERHEAD,
+    attention: int | None = None,
+    shrunk_to: tuple[int, ...] | None = None,
+) -> list[tuple[int, int, int]]:
     """(bin, offset in it, bin length) of each piece; sizes are 1 .. max(lengths).
 
     Pieces go by decreasing size. A piece goes into the open bin where it leaves the
     least room. If it fits nowhere, a bin is opened of that permitted length whose cost
-    (length + overhead) is least for each token it can still get: its length, or all
-    that is left if that is less. At the end each bin shrinks to the least permitted
-    length that holds its contents. Ties go to the earlier piece, the bin opened last
+    is least for each token it can still get: its length, or all that is left if that is
+    less. At the end each bin shrinks to the least permitted length (``shrunk_to``, if
+    more are permitted than may be opened) that holds its contents. Ties go to the earlier piece, the bin opened last
     and the smaller length.
     """
     room_of: dict[int, list[int]] = {}
@@ -43,7 +82,7 @@ def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, overhead: int = O
             if not room_of[room]:
                 rooms ^= 1 << room
         else:
-            costs = (((n + overhead) / min(n, left), n) for n in lengths if n >= size)
+            costs = ((cost(n, overhead, attention) / min(n, left), n) for n in lengths if n >= size)
             room, own = min(costs)[1], len(used)
             used.append(0)
         placed[i] = own, used[own]
@@ -51,7 +90,7 @@ def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, overhead: int = O
         left -= size
         room_of.setdefault(room - size, []).append(own)
         rooms |= 1 << (room - size)
-    ordered = sorted(lengths)
+    ordered = sorted(shrunk_to or lengths)
     shrunk = [next(n for n in ordered if n >= x) for x in used]
     return [(own, offset, shrunk[own]) for own, offset in placed]
 
@@ -61,6 +100,7 @@ def pack_documents(
     lengths: tuple[int, ...] = LENGTHS,
     overhead: int = OVERHEAD,
     group: int = GROUP,
+    attention: int | None = ATTENTION,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -69,8 +109,8 @@ def pack_documents(
     Each text is cut into pieces of the greatest permitted length and a rest; together
     the pieces hold every byte of every text once (``first`` is where a piece starts).
     Documents are numbered in the order of doc_id and size, and every ``group``
-    documents after one another are packed together, so a task's memory has a bound and
-    the result depends on the rows alone. Whole pieces of the greatest length fill bins
+    documents after one another are packed together (``pack_jointly``), so a task's memory
+    has a bound and the result depends on the rows alone. Whole pieces of the greatest length fill bins
     of their own without being gathered.
 
     Empty and null texts have no tokens: one row with piece 0 and no bin, so that no
@@ -86,7 +126,7 @@ def pack_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed() -> pa.RecordBatch:
-            bins = pack([r[4] for r in held], lengths, overhead)
+            bins = pack_jointly([r[4] for r in held], lengths, overhead, attention)
             names = ["doc_id", "row", "piece", "first", "n_tokens", "bin", "offset", "bin_length"]
             rows = [[r[i] for r in held] for i in range(5)]
             rows += [[f"{parcel}-{b}" for b, _, _ in bins], [o for _, o, _ in bins], [n for _, _, n in bins]]

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from cueglass.llm.packing import OVERHEAD, pack, pack_documents
+from cueglass.llm.packing import OVERHEAD, cost, pack, pack_documents, pack_jointly
 
 LENGTHS = (16, 32, 64)
 SCHEMA = "doc_id long, text string"
@@ -79,3 +79,38 @@ def test_empty_table(spark):
 def test_smaller_bins_are_opened_when_little_is_left():
     assert pack([30], LENGTHS, OVERHEAD) == [(0, 0, 32)]
     assert [n for _, _, n in pack([10] * 8, LENGTHS, 8)] == [64] * 6 + [16] * 2
+
+
+def total(bins, overhead, attention):
+    return sum(cost(n, overhead, attention) for n in {b: n for b, _, n in bins}.values())
+
+
+def test_mixed_lengths_beat_the_largest_alone_and_are_found():
+    """Pieces that fill 16 or 32 exactly: with costly attention no bin of 64 is opened for them."""
+    sizes = [16] * 10 + [32] * 5 + [60]
+    mixed, largest = pack_jointly(sizes, LENGTHS, 4, 64), pack(sizes, (64,), 4, 64, LENGTHS)
+    assert total(mixed, 4, 64) < total(largest, 4, 64)
+    assert {n for _, _, n in mixed} >= {16, 64}
+    assert pack_jointly(sizes, LENGTHS, 4, None) == largest  # linear costs: few large bins
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_no_choice_of_lengths_costs_less(seed):
+    rng = random.Random(seed)
+    sizes = [rng.randint(1, 64) for _ in range(rng.randrange(1, 60))]
+    best = total(pack_jointly(sizes, LENGTHS, 4, 200), 4, 200)
+    for opened in [(64,), (32, 64), (16, 64), (16, 32, 64), (32,), (16, 32), (16,)]:
+        if max(opened) >= max(sizes):
+            bins = pack(sizes, opened, 4, 200, LENGTHS)
+            assert best <= total(bins, 4, 200)
+    bins = {}
+    for size, (own, offset, n) in zip(sizes, pack_jointly(sizes, LENGTHS, 4, 200), strict=True):
+        bins.setdefault((own, n), []).append((offset, size))
+    for (_, n), pieces in bins.items():
+        pieces.sort()
+        assert [o for o, _ in pieces] == [sum(s for _, s in pieces[:i]) for i in range(len(pieces))]
+        assert n == min(x for x in LENGTHS if x >= sum(s for _, s in pieces))
+
+
+def test_nothing_to_pack():
+    assert pack_jointly([]) == []
