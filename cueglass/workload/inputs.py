@@ -100,9 +100,15 @@ def last_episode_terms(t: Tables) -> DataFrame:
     return last.select("podcast_id", noisy_episode(F.col("title")).alias("term"))
 
 
-def first_words(t: Tables, n: int) -> DataFrame:
-    """The first ``n`` words of every document, split at blanks."""
-    return t.documents.select(F.substring_index("text", " ", n).alias("title")).distinct()
+def words(t: Tables) -> DataFrame:
+    """Every word of every document, once; words end at blanks and line ends."""
+    return t.documents.select(F.explode(F.split("text", "[ \n]")).alias("word")).distinct()
+
+
+def short_lines(t: Tables) -> DataFrame:
+    """Every line of one or two words in any document, once."""
+    lines = t.documents.select(F.explode(F.split("text", "\n")).alias("title"))
+    return lines.where(F.size(F.split("title", " ")) <= 2).distinct()
 
 
 def text_pairs(t: Tables) -> DataFrame:

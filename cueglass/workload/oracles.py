@@ -237,11 +237,17 @@ ALL_PAIRS = [
 ORACLES["fuzzy_catalog_join"] = f"""{with_(*CATALOG, *ALL_PAIRS)}
 SELECT term, title, round(sim, 6) AS similarity FROM scored WHERE sim > 0.7"""
 
+# Above 0.7 one text contains the other, or a word of one begins with a word of the other.
 SHORT_TITLES = [
-    r"""short_pairs AS (SELECT a.x AS term, b.y AS title FROM
-  (SELECT DISTINCT split_part(text, ' ', 1) AS x FROM documents) a,
-  (SELECT DISTINCT CASE WHEN contains(text, ' ') THEN split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)
-    ELSE text END AS y FROM documents) b)""",
+    f"""short_words AS (SELECT DISTINCT unnest(string_split_regex(text, '[ \\n]')) AS term FROM documents)""",
+    r"""short_lines AS (SELECT * FROM (SELECT DISTINCT unnest(string_split(text, chr(10))) AS title FROM documents)
+  WHERE len(string_split(title, ' ')) <= 2)""",
+    f"""short_terms AS (SELECT term, {norm('term')} AS nt FROM short_words)""",
+    f"""short_titles AS (SELECT title, {norm('title')} AS nl FROM short_lines)""",
+    r"""short_pairs AS (SELECT term, title FROM short_terms, short_titles
+  WHERE contains(nt, trim(nl)) OR contains(nl, trim(nt))
+    OR list_has_any(list_transform(string_split_regex(trim(nt), '\s+'), lambda w: w[1]),
+                    list_transform(string_split_regex(trim(nl), '\s+'), lambda w: w[1])))""",
     similarity("short_pairs", "term", "title", "scored"),
 ]
 
@@ -913,6 +919,13 @@ WITH e AS (SELECT user_id AS clip_id, event_id AS seq, event_type IN ('click', '
 x AS (SELECT clip_id, seq, off, CAST(unnest(generate_series(a, a + k)) AS INTEGER) AS word_index FROM e),
 l AS (SELECT *, row_number() OVER (PARTITION BY clip_id, word_index ORDER BY seq DESC) AS r FROM x)
 SELECT clip_id, word_index FROM l WHERE r = 1 AND NOT off"""
+LATEST = ORACLES["selection_latest"].strip()
+ORACLES["selection_intervals"] = f"""
+SELECT clip_id, min(word_index) AS start_index, max(word_index) AS end_index
+FROM (SELECT *, word_index - row_number() OVER (PARTITION BY clip_id ORDER BY word_index) AS run FROM ({LATEST}))
+GROUP BY clip_id, run"""
+ORACLES["selection_latest_words"] = f"""{with_(SPOKEN, TOKENS)}
+SELECT clip_id, word_index FROM tokens JOIN ({LATEST}) USING (clip_id, word_index)"""
 # The selection of each clip after each event; a block is bounded by the nearest words
 # that are not selected.
 ORACLES["selection_fold"] = """WITH RECURSIVE e AS (
@@ -1024,11 +1037,11 @@ SELECT podcast_id, term, pos AS episode_id, title FROM first_item"""
 ORACLES["feed_audio_url"] = f"{with_(*FIRST_ITEM, AUDIO)} SELECT * FROM audio"
 
 ORACLES["clip_transcript"] = f"""{with_(*FIRST_ITEM, AUDIO, SPOKEN, TOKENS, TIMED, CLIPS,
-    '''ready AS (SELECT w.*, a.podcast_id, a.audio_url FROM windows w LEFT JOIN (
-  SELECT a.* FROM audio a JOIN last_episode_terms USING (podcast_id, term)) a ON a.podcast_id = w.clip_id)''',
+    '''ready AS (SELECT concat_ws('/', w.clip_id, a.term) AS clip_id, w.clip_id AS episode_id, w.start_ms, w.end_ms,
+    a.podcast_id, a.audio_url FROM windows w LEFT JOIN audio a ON a.podcast_id = w.clip_id)''',
     '''said AS (SELECT r.clip_id, string_agg(t.text, ' ' ORDER BY t.word_index) AS transcript,
     avg(t.confidence) AS confidence, count(*) AS word_count
-  FROM ready r JOIN timed t ON t.episode_id = r.clip_id AND t.start_ms >= r.start_ms AND t.start_ms < r.end_ms
+  FROM ready r JOIN timed t ON t.episode_id = r.episode_id AND t.start_ms >= r.start_ms AND t.start_ms < r.end_ms
   WHERE r.audio_url IS NOT NULL GROUP BY r.clip_id)''')}
 SELECT clip_id, coalesce(podcast_id, -1) AS podcast_id, start_ms, end_ms, audio_url, coalesce(transcript, '') AS transcript,
   round(coalesce(confidence, 0), 6) AS confidence, coalesce(word_count, 0) AS word_count,

@@ -137,10 +137,10 @@ def fuzzy_catalog_join(t: Tables) -> DataFrame:
 
 @query
 def short_title_join(t: Tables) -> DataFrame:
-    """Titles of one or two words, some of one letter and some without ASCII letters."""
+    """All words against all lines of one or two, some of one letter, some without ASCII letters."""
     found = catalog.fuzzy_pairs(
-        catalog.norm_texts(inputs.first_words(t, 1), "title"),
-        catalog.norm_texts(inputs.first_words(t, 2), "title"),
+        catalog.norm_texts(inputs.words(t), "word"),
+        catalog.norm_texts(inputs.short_lines(t), "title"),
         0.7,
     )
     return found.select("term", "title", six("similarity").alias("similarity"))
@@ -477,6 +477,18 @@ def selection_latest(t: Tables) -> DataFrame:
     return selection.latest_ranges(inputs.range_events(t))
 
 
+@query
+def selection_intervals(t: Tables) -> DataFrame:
+    return selection.latest_intervals(inputs.range_events(t))
+
+
+@query
+def selection_latest_words(t: Tables) -> DataFrame:
+    """Words of the transcripts that the last select or deselect event on them selects."""
+    words = inputs.timed_words(t).select(F.col("episode_id").alias("clip_id"), "word_index")
+    return selection.latest_words(inputs.range_events(t), words)
+
+
 @query
 def selection_fold(t: Tables) -> DataFrame:
     return selection.fold_events(inputs.gesture_events(t))
@@ -624,13 +636,15 @@ def feed_audio_url(t: Tables) -> DataFrame:
 
 @query
 def clip_transcript(t: Tables) -> DataFrame:
-    asked = inputs.clips(t).join(
-        inputs.last_episode_terms(t).select(
-            F.col("podcast_id").alias("clip_id"), "podcast_id", F.col("term").alias("episode_title")
+    """Each clip is asked for under every episode title of its podcast."""
+    asked = inputs.clips(t).withColumnRenamed("clip_id", "conv_id").join(
+        inputs.episode_terms(t).select(
+            F.col("podcast_id").alias("conv_id"), "podcast_id", F.col("term").alias("episode_title")
         ),
-        "clip_id",
+        "conv_id",
         "left",
     )
+    asked = asked.withColumn("clip_id", F.concat_ws("/", "conv_id", "episode_title"))
     return clip_plans.clip_transcripts(asked, inputs.feed_items(t), inputs.timed_words(t)).select(
         "clip_id", known("podcast_id"), "start_ms", "end_ms", "audio_url", "transcript",
         six("confidence").alias("confidence"), "word_count", "source", "mock_reason",
