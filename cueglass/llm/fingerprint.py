@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,31 +77,36 @@ RANGES = 4
 
 
 def _neighbours(docs: DataFrame, ranges: int) -> DataFrame:
-    """Rows in ranges of descending doc_id, each range followed by the row after it.
-
-    Bounds of the ranges are approximate quantiles of doc_id; they only balance the
-    tasks. Of each range the driver learns its largest doc_id, so what it holds grows
-    with the number of ranges alone. The rows that carry it go to the range before as
-    well, marked as guests that sort last, where the first of them is the successor of
-    the range's own last row. The first range's largest row is the last range's guest.
+    """Rows in ranges of descending (doc_id, tie), each range followed by the row after it.
+
+    Spark deals the keys alone into ranges of about equal size, so that neither one id on
+    many rows nor all null ids make a large range. Of each range the driver learns its
+    largest key, so what it holds grows with the number of ranges alone. The rows that
+    carry it go to the range before as well, marked as guests that sort last, where the
+    first of them is the successor of the range's own last row. The first range's largest
+    row is the last range's guest.
     """
-    steps = F.array([F.lit(i / ranges) for i in range(1, ranges)] or [F.lit(0.5)])
-    bounds = docs.select(F.percentile_approx("doc_id", steps, 10_000)).first()[0]
-    bounds = np.unique(np.array(bounds or [], np.int64))
+    dealt = (
+        docs.select("doc_id", "tie")
+        .repartitionByRange(ranges, F.desc_nulls_last("doc_id"), F.desc("tie"))
+        .groupBy(F.spark_partition_id().alias("part"))
+        .agg(F.max(F.struct("doc_id", "tie")).alias("head"))
+    )
+
+    def in_order(own_id, tie) -> tuple:
+        return (False, tie) if own_id is None else (True, own_id, tie)
+
+    found = sorted(((r["head"]["doc_id"], r["head"]["tie"]) for r in dealt.collect()), key=lambda h: in_order(*h))
+    rising = [in_order(*h) for h in found]
 
     @F.arrow_udf("int")
-    def range_of(ids: pa.Array) -> pa.Array:
-        # Range 0 holds the largest ids; nulls come after all others.
-        known = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        place = len(bounds) - np.searchsorted(bounds, known, "right")
-        place[ids.is_null().to_numpy(zero_copy_only=False)] = len(bounds) + 1
-        return pa.array(place, pa.int32())
-
-    placed = docs.withColumn("range", range_of("doc_id"))
-    heads = sorted(
-        (r["range"], r["head"]["doc_id"], r["head"]["tie"])
-        for r in placed.groupBy("range").agg(F.max(F.struct("doc_id", "tie")).alias("head")).collect()
-    )
+    def range_of(ids: pa.Array, ties: pa.Array) -> pa.Array:
+        # Range 0 holds the largest keys; nulls come after all others.
+        keys = (in_order(*key) for key in zip(ids.to_pylist(), ties.to_pylist(), strict=True))
+        return pa.array([len(rising) - 1 - bisect_left(rising, key) for key in keys], pa.int32())
+
+    placed = docs.withColumn("range", range_of("doc_id", "tie"))
+    heads = [(i, *head) for i, head in enumerate(reversed(found))]
     kind = docs.schema["doc_id"].dataType.simpleString()
     table = docs.sparkSession.createDataFrame(
         [(*head, heads[i - 1][0]) for i, head in enumerate(heads)],
@@ -129,7 +135,7 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     near_edited (the text against the edited text) and near_next (against the next
     text). A null text counts as empty; an empty text has an empty fingerprint, and two
     of them are alike. Repeated rows are rows of their own. An empty table gives an
-    empty one. ``doc_id`` is an integer. Other columns are ignored.
+    empty one. ``doc_id`` is of any type with an order. Other columns are ignored.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

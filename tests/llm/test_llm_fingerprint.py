@@ -75,3 +75,17 @@ def test_odd_rows(spark):
         hashlib.sha256(b"abcdab").hexdigest()
     )
     assert fp.fingerprint_documents(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_one_id_and_null_ids_are_dealt_out_and_ids_may_be_strings(spark):
+    rng = random.Random(5)
+    texts = [" ".join(str(rng.randrange(50)) for _ in range(12)) for _ in range(300)]
+    ids = [None] * 100 + ["hot"] * 100 + [f"d{i}" for i in range(98)] + ["", "日本"]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id string, text string").repartition(4)
+    tied = docs.select("doc_id", fp.F.xxhash64("text").alias("tie"), "text").collect()
+    ordered = sorted(tied, key=lambda r: (r.doc_id is not None, r.doc_id or "", r.tie, r.text), reverse=True)
+    want = sorted(brute([(r.doc_id, r.text) for r in ordered]), key=repr)
+    assert sorted((tuple(r)[:5] for r in fp.fingerprint_documents(docs).collect()), key=repr) == want
+    slim = docs.withColumn("tie", fp.F.xxhash64("text"))
+    ranges = fp._neighbours(slim, 16).where("NOT guest").groupBy("to").count().collect()
+    assert len(ranges) >= 12 and max(r["count"] for r in ranges) < 60
