@@ -54,5 +54,5 @@ def test_pipeline(spark, tmp_path):
 def test_registered():
     names = entry.queries()
     assert set(QUERIES) <= names.keys()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert names["pipeline"] is corpus_pipeline.run
