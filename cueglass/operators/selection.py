@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueglass.config import DEFAULT, Limits
-from cueglass.operators.scale import cut, previous_value, rank_in_group, running_total
+from cueglass.operators.scale import cut, previous_value, rank_in_group, running_total, shuffled
 
 
 class Runs:
@@ -154,8 +154,8 @@ def latest_intervals(events: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     )
     blocks = (
         ranges.groupBy("_clip", "_low", "_high").agg(F.max("_latest").alias("_latest"))
-        .join(ends.withColumnsRenamed({"_index": "_low", "_place": "_a"}), ["_clip", "_low"])
-        .join(ends.withColumnsRenamed({"_index": "_high", "_place": "_b"}), ["_clip", "_high"])
+        .join(shuffled(ends.withColumnsRenamed({"_index": "_low", "_place": "_a"})), ["_clip", "_low"])
+        .join(shuffled(ends.withColumnsRenamed({"_index": "_high", "_place": "_b"})), ["_clip", "_high"])
         .select("_clip", "_latest", F.explode(_blocks("_a", "_b")).alias("_block"))
         .groupBy("_clip", "_block.level", "_block.number").agg(F.max("_latest").alias("_latest"))
     )
@@ -165,21 +165,21 @@ def latest_intervals(events: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     wide = (
         chunks.select("_clip", "_chunk", F.explode(F.sequence(F.lit(chunk), F.lit(31))).alias("level"))
         .withColumn("number", F.expr(f"shiftright(_chunk, level - {chunk})"))
-        .join(blocks.where(F.col("level") >= chunk), ["_clip", "level", "number"])
+        .join(shuffled(blocks.where(F.col("level") >= chunk)), ["_clip", "level", "number"])
         .groupBy("_clip", "_chunk").agg(F.max("_latest").alias("_wide"))
     )
     level = F.explode(F.sequence(F.lit(0), F.lit(chunk - 1)))
     near = (
         ends.select("_clip", "_place", level.alias("level"))
         .withColumn("number", F.expr("shiftright(_place, level)"))
-        .join(blocks.where(F.col("level") < chunk), ["_clip", "level", "number"])
+        .join(shuffled(blocks.where(F.col("level") < chunk)), ["_clip", "level", "number"])
         .groupBy("_clip", "_place").agg(F.max("_latest").alias("_near"))
     )
     latest = F.greatest("_near", "_wide")
     stretches = cut(
-        ends.join(near, ["_clip", "_place"], "left")
+        ends.join(shuffled(near), ["_clip", "_place"], "left")
         .withColumn("_chunk", F.shiftright("_place", chunk))
-        .join(wide, ["_clip", "_chunk"], "left")
+        .join(shuffled(wide), ["_clip", "_chunk"], "left")
         .select("_clip", "_place", "_index", F.coalesce(latest["on"], F.lit(False)).alias("_on"))
     )
     size = limits.running_chunk
@@ -243,7 +243,7 @@ def latest_words(events: DataFrame, words: DataFrame, limits: Limits = DEFAULT)
     inside = Window.partitionBy("clip_id", "_chunk").orderBy("_order")
     reach = F.greatest(F.max("_end").over(inside), F.col("_carried"))
     return (
-        known.join(carried, ["clip_id", "_chunk"])
+        known.join(shuffled(carried), ["clip_id", "_chunk"])
         .withColumn("_reach", reach)
         .where(F.col("_word").isNotNull() & (F.col("_reach") >= F.col("_at")))
         .select("_word.*")
@@ -282,7 +282,7 @@ def selection_edges(selections: DataFrame) -> DataFrame:
         F.min("word_index").alias("low"), F.max("word_index").alias("high")
     )
     edge = (F.col("word_index") == F.col("low")) | (F.col("word_index") == F.col("high"))
-    return selections.join(ends, "clip_id").select("clip_id", "word_index", edge.alias("is_edge"))
+    return selections.join(shuffled(ends), "clip_id").select("clip_id", "word_index", edge.alias("is_edge"))
 
 
 def lone_words(selections: DataFrame, limits: Limits = DEFAULT) -> DataFrame:

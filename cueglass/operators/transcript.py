@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cueglass.config import DEFAULT, Limits
 from cueglass.functions.text import non_empty
 from cueglass.functions.timefmt import clip_window
-from cueglass.operators.scale import previous_value, running_total
+from cueglass.operators.scale import previous_value, running_total, shuffled
 
 TOKEN = r"(\S+)(\s*)"
 
@@ -131,7 +131,7 @@ def slice_clips(clips: DataFrame, words: DataFrame, limits: Limits = DEFAULT) ->
     inside = (F.col("word_start_ms") >= F.col("start_ms")) & (
         F.col("word_start_ms") < F.col("end_ms")
     )
-    return spans.join(timed, ["episode_id", "_minute"]).where(inside).drop("_minute")
+    return spans.join(shuffled(timed), ["episode_id", "_minute"]).where(inside).drop("_minute")
 
 
 def add_window(requests: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def add_window(requests: DataFrame) -> DataFrame:
 def align_timings(tokens: DataFrame, timings: DataFrame) -> DataFrame:
     """Display tokens with the timing row at the same place; null where there is none."""
     return tokens.join(
-        timings.select("clip_id", "word_index", "start_ms", "end_ms"),
+        shuffled(timings.select("clip_id", "word_index", "start_ms", "end_ms")),
         ["clip_id", "word_index"],
         "left",
     )

@@ -9,6 +9,7 @@ from cueglass.config import DEFAULT, Limits
 from cueglass.functions.text import trim_blank
 from cueglass.functions.timefmt import deep_link, timeframe, word_timerange
 from cueglass.operators.edits import first_filled
+from cueglass.operators.scale import shuffled
 from cueglass.operators.selection import with_block
 
 
@@ -19,8 +20,8 @@ def block_texts(items: DataFrame, selections: DataFrame, limits: Limits = DEFAUL
     block stays as it is. Selected indexes without a word do not count.
     """
     words = items.where(F.col("pos") >= 0).select("clip_id", "word_index")
-    real = selections.join(words, ["clip_id", "word_index"], "left_semi")
-    placed = items.join(with_block(real, limits), ["clip_id", "word_index"])
+    real = selections.join(shuffled(words), ["clip_id", "word_index"], "left_semi")
+    placed = items.join(shuffled(with_block(real, limits)), ["clip_id", "word_index"])
     pieces = F.sort_array(F.collect_list(F.struct("word_index", "seq", "pos", "item")))
     return placed.groupBy("clip_id", "block").agg(
         F.min("word_index").alias("start_index"),
@@ -56,8 +57,8 @@ def export_quotes(
     ends = timings.select(
         "clip_id", F.col("word_index").alias("last_word"), F.col("end_ms").alias("last_ms")
     )
-    timed = chosen.join(starts, ["clip_id", "first_word"], "left").join(
-        ends, ["clip_id", "last_word"], "left"
+    timed = chosen.join(shuffled(starts), ["clip_id", "first_word"], "left").join(
+        shuffled(ends), ["clip_id", "last_word"], "left"
     )
     requested = timeframe(
         F.col("timestamp"), F.col("range_start"), F.col("range_end"), F.col("stored_label")
@@ -69,7 +70,7 @@ def export_quotes(
         deep_link(F.col("podcast_id"), F.col("episode_id"), F.col("first_ms")), F.lit("\n\n"),
         F.col("body"),
     )
-    return clips.join(timed, "clip_id").select("clip_id", quote.alias("quote"))
+    return clips.join(shuffled(timed), "clip_id").select("clip_id", quote.alias("quote"))
 
 
 def export_requests(quotes: DataFrame) -> DataFrame:

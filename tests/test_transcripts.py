@@ -187,6 +187,19 @@ def test_a_range_of_a_billion_words(spark):
     assert selection.latest_intervals(df.limit(0)).collect() == []
 
 
+def test_selected_words_are_never_broadcast(spark, capsys):
+    """Rows made from ranges or texts are more than Spark expects, and would fill the driver."""
+    events = spark.createDataFrame(
+        [(1, 1, "select", 2, 9), (1, 2, "deselect", 4, 5)],
+        "clip_id bigint, seq bigint, op string, from_index int, to_index int",
+    )
+    words = spark.range(12).select(F.lit(1).cast("long").alias("clip_id"), F.col("id").alias("word_index"))
+    found = selection.latest_words(events, words)
+    found.explain()
+    assert sorted(r.word_index for r in found.collect()) == [2, 3, 6, 7, 8, 9]
+    assert "Broadcast" not in capsys.readouterr().out
+
+
 def test_stream_of_events(spark, tmp_path):
     schema = "clip_id string, seq bigint, op string, from_index int, to_index int"
     spark.createDataFrame([("c", 0, "select", 0, 4), ("c", 1, "click", 2, None), ("d", 0, "click", 1, None)],
@@ -269,6 +282,19 @@ def test_quote_text(spark, tmp_path):
     assert "there." in "".join(r.value for r in spark.read.text(str(tmp_path / "q")).collect())
 
 
+def test_transcript_words_are_never_broadcast(spark, capsys):
+    spoken = spark.createDataFrame([(1, 0, "a", "one two"), (1, 1, "b", "three four")], "clip_id bigint, seq int, speaker string, text string")
+    items = transcript.index_utterance_words(spoken)
+    times = spark.range(3).selectExpr("1L AS clip_id", "int(id) AS word_index", "id AS start_ms", "id + 1 AS end_ms")
+    aligned = transcript.align_timings(items, times)
+    blocks = quotes.block_texts(items, spark.range(1, 3).selectExpr("1L AS clip_id", "int(id) AS word_index"))
+    aligned.explain()
+    blocks.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+    assert [r.start_ms for r in aligned.where("pos >= 0").orderBy("word_index").collect()] == [0, 1, 2, None]
+    assert [r.text for r in blocks.collect()] == ["two\n\nthree"]
+
+
 def test_clip_words_and_transcripts(spark):
     asked = spark.createDataFrame(
         [("k1", 1, 11, "Pilot", "0:10", 5, 5), ("k2", 1, 11, "Pilot", "", 5, 5), ("k3", 2, 12, "Zzz", "0:10", 5, 5)],
