@@ -36,7 +36,7 @@ from cueglass.operators.episode_search import (
     holding_words,
     related_words,
 )
-from cueglass.operators.scale import cut, first_by, rank_in_group, skew_join, top_per_group
+from cueglass.operators.scale import cut, first_by, rank_in_group, shuffled, skew_join, top_per_group
 
 # The largest boost that similarity adds to counted word matches.
 MAX_BOOST = 0.15
@@ -277,6 +277,40 @@ def fuzzy_pairs(
     )
 
 
+def podcast_pairs(
+    terms: DataFrame, titles: DataFrame, min_similarity: float, limits: Limits = DEFAULT
+) -> DataFrame:
+    """``(podcast_id, term, title)`` of :func:`fuzzy_pairs` within podcasts.
+
+    In a podcast of few terms and titles each pair is tested as it stands: that moves every
+    text once, where the index moves one row for each beginning and piece of a text.
+    """
+    scope = ["podcast_id"]
+
+    def of_few(terms: DataFrame, titles: DataFrame) -> DataFrame:
+        def side(texts: DataFrame, name: str) -> DataFrame:
+            texts = texts.where(~F.startswith("norm", F.lit(NO_WORD)))
+            return texts.select(
+                *scope, F.col("norm").alias(name), F.struct("words", "starts", "level").alias(f"{name}_side")
+            )
+
+        term, title = F.col("term"), F.col("title")
+        holds = F.contains(term, title) | F.contains(title, term)
+        score = norm_similarity(term, title, F.col("term_side.words"), F.col("title_side.words"))
+        return (
+            side(terms, "term").join(shuffled(side(titles, "title")), "podcast_id")
+            .where(holds | _can_reach(min_similarity - MAX_BOOST))
+            .where(score > min_similarity)
+            .select(*scope, "term", "title")
+        )
+
+    def of_many(terms: DataFrame, titles: DataFrame) -> DataFrame:
+        found = fuzzy_pairs(terms, titles, min_similarity, scope=scope, limits=limits)
+        return found.select(*scope, "term", "title")
+
+    return by_podcast_size(cut(terms), cut(titles), limits, of_few, of_many)
+
+
 def _title_ids(catalog: DataFrame) -> DataFrame:
     """``(title, podcast_id)`` by match key."""
     return catalog.select(match_key(F.col("title")).alias("title"), "podcast_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cueglass.config import DEFAULT, Limits
 from cueglass.functions.text import non_empty
+from cueglass.operators.scale import cut, shuffled
 from cueglass.operators.transcript import add_window, slice_clips
 from cueglass.sources.readers import audio_urls
 
@@ -41,7 +42,8 @@ def clip_transcripts(
 
     Without an audio address or a timestamp there is no transcript: the row says
     ``mock`` and why. ``requests``: clip_id, podcast_id, episode_id, episode_title,
-    timestamp, before_s, after_s.
+    timestamp, before_s, after_s. Requests for the same window share its words: each
+    window is cut out and put together once.
     """
     urls = audio_urls(
         requests.select("podcast_id", F.col("episode_title").alias("term")), items, limits
@@ -50,15 +52,21 @@ def clip_transcripts(
     ready = windowed.where(
         F.col("audio_url").isNotNull() & non_empty(F.col("timestamp")).isNotNull()
     )
-    sliced = slice_clips(ready.select("clip_id", "episode_id", "start_ms", "end_ms"), words, limits)
+    # A clip id that comes twice has the words of both windows.
+    window = F.struct("episode_id", "start_ms", "end_ms")
+    asked = cut(ready.groupBy("clip_id").agg(F.sort_array(F.collect_list(window)).alias("windows")))
+    once = asked.select("windows").distinct().select("windows", F.explode("windows").alias("w"))
+    sliced = slice_clips(once.select("windows", "w.*"), words, limits)
     ordered = F.sort_array(F.collect_list(F.struct("word_index", "text", "confidence")))
-    texts = sliced.groupBy("clip_id").agg(
+    texts = sliced.groupBy("windows").agg(
         F.array_join(F.transform(ordered, lambda w: w.text), " ").alias("transcript"),
         F.avg("confidence").alias("confidence"),
         F.count(F.lit(1)).alias("word_count"),
     )
     has_text = F.col("transcript").isNotNull()
-    return windowed.join(texts, "clip_id", "left").select(
+    # The long texts are joined last, so they are moved once for each window.
+    found = windowed.join(shuffled(asked), "clip_id", "left").join(shuffled(texts), "windows", "left")
+    return found.select(
         "clip_id",
         "podcast_id",
         "episode_id",

@@ -9,8 +9,8 @@ from cueglass import schemas
 from cueglass.config import DEFAULT, Limits
 from cueglass.functions.text import non_empty, plain_spaces, title_norm, trim_blank
 from cueglass.functions.timefmt import file_size_mb
-from cueglass.operators.catalog import fuzzy_pairs, norm_texts
-from cueglass.operators.scale import cut, first_by
+from cueglass.operators.catalog import norm_texts, podcast_pairs
+from cueglass.operators.scale import cut, first_by, shuffled
 
 
 def read_image_files(spark: SparkSession, path: str) -> DataFrame:
@@ -153,28 +153,27 @@ def first_similar_items(
 ) -> DataFrame:
     """First item of the feed (not the best) that is more than 0.7 similar.
 
-    ``requests`` has distinct ``(podcast_id, term)``. Goes through the blocked join per
-    podcast, so a feed with very many items is not compared item by item. Texts without
+    ``requests`` has distinct ``(podcast_id, term)``. Goes through the blocked join in
+    large feeds, so a feed with very many items is not compared item by item. Texts without
     a letter or digit count as contained in any other text.
     """
     asked = cut(requests.select("podcast_id", "term", title_norm(F.col("term")).alias("n")))
     named = items.where(F.length("title") > 0).withColumn("m", title_norm(F.col("title")))
     # Copies of a text are one text: only its first item can be the answer.
     per_text = cut(first_by(named, ["podcast_id", "m"], [F.col("pos")]))
-    pairs = fuzzy_pairs(
+    pairs = podcast_pairs(
         norm_texts(asked, "term", ["podcast_id"]),
         norm_texts(per_text, "title", ["podcast_id"]),
         limits.feed_item_similarity,
-        scope=["podcast_id"],
-        limits=limits,
+        limits,
     ).select("podcast_id", F.col("term").alias("n"), F.col("title").alias("m"))
     fields = ["podcast_id", "term", "pos", "title", "url", "type", "length"]
     has_word = lambda name: F.col(name).rlike(r"\S")
     any_item = first_by(per_text.drop("m"), ["podcast_id"], [F.col("pos")])
     blank_item = first_by(per_text.where(~has_word("m")).drop("m"), ["podcast_id"], [F.col("pos")])
     hits = (
-        asked.join(pairs, ["podcast_id", "n"])
-        .join(per_text, ["podcast_id", "m"])
+        asked.join(shuffled(pairs), ["podcast_id", "n"])
+        .join(shuffled(per_text), ["podcast_id", "m"])
         .select(*fields)
         .unionByName(asked.where(has_word("n")).join(blank_item, "podcast_id").select(*fields))
         .unionByName(asked.where(~has_word("n")).join(any_item, "podcast_id").select(*fields))

@@ -199,3 +199,17 @@ def test_places_in_a_podcast_with_a_third_of_all_episodes(spark, monkeypatch):
     assert got == {r.episode_id: (r.ord, r.newest) for r in want.collect()}
     sizes = sorted(r["count"] for r in dealt[0].groupBy("_range").count().collect())
     assert len(sizes) >= 6 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+def test_pairs_of_small_podcasts_need_no_index(spark, monkeypatch):
+    """Both ways find the pairs of scoring every text against every title of its podcast."""
+    parts = ["ab", "abc", "abcd", "x", "xy", "Talk", "talks", "ab ab", "", "日本", "on-air"]
+    texts = [(k % 3, " ".join(parts[(k * 7 + i * i) % 11] for i in range(1 + k % 4))) for k in range(60)]
+    asked = spark.createDataFrame(texts[:30], "podcast_id int, term string")
+    held = spark.createDataFrame(texts[20:], "podcast_id int, title string")
+    sides = [catalog.norm_texts(asked, "term", ["podcast_id"]), catalog.norm_texts(held, "title", ["podcast_id"])]
+    has_word = lambda r: not r[1].startswith("\0") and not r[2].startswith("\0")
+    every = {tuple(r) for r in catalog.podcast_pairs(*sides, 0.7, Limits(hot_pairs=1)).collect() if has_word(r)}
+    monkeypatch.delattr(catalog, "fuzzy_pairs")
+    direct = [tuple(r) for r in catalog.podcast_pairs(*sides, 0.7).collect()]
+    assert len(direct) == len(set(direct)) and set(direct) == every and len(every) > 30

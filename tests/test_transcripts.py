@@ -318,6 +318,30 @@ def test_clip_words_and_transcripts(spark):
     assert (got["k3"].source, got["k3"].mock_reason) == ("mock", "Audio URL not available")
 
 
+def test_a_window_is_cut_out_once(spark, monkeypatch):
+    """Two titles asked for one window share its words; an id that comes twice has both windows."""
+    rows = [("k1", 1, 11, "Pilot", "0:10", 5, 5), ("k2", 1, 11, "The Pilot", "0:10", 5, 5)]
+    rows += [("k3", 1, 11, "Pilot", "0:03", 1, 1), ("k3", 1, 11, "Pilot", "0:10", 5, 5)]
+    asked = spark.createDataFrame(
+        rows, "clip_id string, podcast_id bigint, episode_id bigint, episode_title string, timestamp string, "
+        "before_s int, after_s int",
+    )
+    timed = spark.range(30).selectExpr(
+        "11L AS episode_id", "int(id) AS word_index", "concat('w', id) AS text", "id * 1000 AS start_ms",
+        "id * 1000 + 500 AS end_ms", "0.9D AS confidence",
+    )
+    items = spark.createDataFrame(
+        [(1, 0, "The Pilot", "http://a/1.mp3", None, "")],
+        "podcast_id bigint, pos int, title string, url string, type string, length string",
+    )
+    cut_out, slice_clips = [], clips.slice_clips
+    monkeypatch.setattr(clips, "slice_clips", lambda spans, *rest: cut_out.append(spans) or slice_clips(spans, *rest))
+    got = {(r.clip_id, r.timestamp): r.transcript for r in clips.clip_transcripts(asked, items, timed).collect()}
+    assert cut_out[0].count() == 3
+    assert got["k1", "0:10"] == got["k2", "0:10"] == " ".join(f"w{i}" for i in range(5, 15))
+    assert got["k3", "0:03"] == got["k3", "0:10"] == " ".join(f"w{i}" for i in [2, 3, *range(5, 15)])
+
+
 def test_feed_parsing_and_odd_titles(spark):
     xml = (
         "<rss><channel><title>x</title><item><title>日本</title></item>"
