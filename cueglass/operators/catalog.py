@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueglass.config import DEFAULT, Limits
@@ -28,6 +28,7 @@ from cueglass.functions.text import (
     title_norm,
     trim_blank,
 )
+from cueglass.operators import episode_scores
 from cueglass.operators.episode_search import (
     best_of,
     by_podcast_size,
@@ -418,6 +419,14 @@ def catalog_episodes(episodes: DataFrame) -> DataFrame:
 _SHOWN = ["ord", "episode_id", "title", "release_date"]
 
 
+def _scored_by_norm(requests: DataFrame, episodes: DataFrame, pick: Callable) -> DataFrame:
+    asked_keys = {"norm": title_norm(F.col("term")), "term": F.col("term")}
+    held_keys = {"norm": F.col("norm"), "ord": F.col("ord")}
+    return episode_scores.score_podcasts(
+        requests, episodes, asked_keys, held_keys, _SHOWN, episode_scores.similarities, pick
+    ).withColumnRenamed("score", "similarity")
+
+
 def _similar(requests: DataFrame, episodes: DataFrame) -> DataFrame:
     """Each request with each episode of its podcast and their similarity."""
     norm = title_norm(F.col("term"))
@@ -482,26 +491,23 @@ def best_match(requests: DataFrame, episodes: DataFrame, limits: Limits = DEFAUL
     requests and episodes only pairs that can be best are scored.
     """
 
+    columns = ["podcast_id", "term", *_SHOWN, "similarity"]
+
     def of_few(requests: DataFrame, episodes: DataFrame) -> DataFrame:
-        rows = _similar(requests, episodes).select(
-            "podcast_id", F.col("term").alias("text"), "ord", F.col("ord").alias("place"),
-            F.col("similarity").alias("score"),
-        )
-        return best_of(rows)
+        return _scored_by_norm(requests, episodes, episode_scores.best_row).select(*columns)
 
     def of_many(requests: DataFrame, episodes: DataFrame) -> DataFrame:
         best, _ = similar_episodes(requests, episodes, limits)
         asked = requests.select("podcast_id", "term", title_norm(F.col("term")).alias("text"))
-        return asked.join(best, ["podcast_id", "text"], "left").select(
-            "podcast_id", F.col("term").alias("text"),
+        named = asked.join(best, ["podcast_id", "text"], "left").select(
+            "podcast_id", "term",
             F.when(F.col("score") > 0, F.col("ord")).otherwise(1).alias("ord"),
-            F.coalesce("score", F.lit(0.0)).alias("score"),
+            F.coalesce("score", F.lit(0.0)).alias("similarity"),
         )
+        return _with_episode(named, episodes).select(*columns)
 
     asked = requests.select("podcast_id", "term").distinct()
-    ranked = by_podcast_size(asked, episodes, limits, of_few, of_many)
-    named = ranked.withColumnsRenamed({"text": "term", "score": "similarity"})
-    return _with_episode(named, episodes).select("podcast_id", "term", *_SHOWN, "similarity")
+    return by_podcast_size(asked, episodes, limits, of_few, of_many)
 
 
 def match_episodes(requests: DataFrame, episodes: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
@@ -512,19 +518,29 @@ def match_episodes(requests: DataFrame, episodes: DataFrame, limits: Limits = DE
 def search_episodes(requests: DataFrame, episodes: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """Up to ten episodes above 0.1 per request, most similar first."""
     usable = requests.where(F.length("term") >= limits.min_term_chars)
-    rows = _similar(usable, episodes).where(F.col("similarity") > limits.episode_list_similarity)
-    return top_per_group(
-        rows, ["podcast_id", "term"], [F.desc("similarity"), F.col("ord")], limits.episode_results
-    )
+    return _listed(usable, episodes, limits.episode_list_similarity, limits.episode_results, limits)
+
+
+def _listed(
+    requests: DataFrame, episodes: DataFrame, above: float, most: int | None, limits: Limits
+) -> DataFrame:
+    """The first ``most`` episodes above a similarity per request, with their ``rank``."""
+    columns = [*requests.columns, *_SHOWN, "similarity", "rank"]
+
+    def of_few(requests: DataFrame, episodes: DataFrame) -> DataFrame:
+        return _scored_by_norm(requests, episodes, episode_scores.ranked_rows(above, most)).select(*columns)
+
+    def of_many(requests: DataFrame, episodes: DataFrame) -> DataFrame:
+        rows = _similar(requests, episodes).where(F.col("similarity") > above)
+        order = [F.desc("similarity"), F.col("ord")]
+        return top_per_group(rows, ["podcast_id", "term"], order, most or 2**31 - 1).select(*columns)
+
+    return by_podcast_size(requests, episodes, limits, of_few, of_many)
 
 
 def rank_episodes(requests: DataFrame, episodes: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """All episodes above 0.3 with their place by similarity."""
-    rows = _similar(requests, episodes).where(
-        F.col("similarity") > limits.episode_rank_similarity
-    )
-    by_similarity = Window.partitionBy("podcast_id", "term").orderBy(F.desc("similarity"), "ord")
-    return rows.withColumn("rank", F.row_number().over(by_similarity))
+    return _listed(requests, episodes, limits.episode_rank_similarity, None, limits)
 
 
 def keyword_candidates(
@@ -558,23 +574,22 @@ def _by_keywords(
 ) -> DataFrame:
     """Episode with the best share of keywords, at least ``least``, then by ``place``."""
 
+    columns = ["podcast_id", "term", *_SHOWN, "score"]
+
     def of_few(requests: DataFrame, episodes: DataFrame) -> DataFrame:
-        rows = requests.withColumn("_k", keywords(F.col("term"))).join(episodes, "podcast_id").select(
-            "podcast_id", F.col("term").alias("text"), "ord", F.col(place).alias("place"),
-            shared_keywords(F.lower("title"), F.col("low_words"), F.col("_k")).alias("score"),
-        )
-        return best_of(rows.where(F.col("score") >= least))
+        return episode_scores.score_podcasts(
+            requests, episodes,
+            {"keys": keywords(F.col("term"))}, {"low": F.lower("title"), "place": F.col(place)},
+            _SHOWN, episode_scores.by_keywords(least), episode_scores.best_row,
+        ).select(*columns)
 
     def of_many(requests: DataFrame, episodes: DataFrame) -> DataFrame:
-        return keyword_candidates(requests, episodes, keywords, least, place, limits)[0]
+        best = keyword_candidates(requests, episodes, keywords, least, place, limits)[0]
+        return _with_episode(best.withColumnRenamed("text", "term"), episodes).select(*columns)
 
     asked = requests.select("podcast_id", "term").distinct()
-    best = by_podcast_size(asked, episodes, limits, of_few, of_many).withColumnRenamed("text", "term")
-    return (
-        _with_episode(best, episodes)
-        .select("podcast_id", "term", *_SHOWN, "score")
-        .withColumn("confidence", keyword_confidence(F.col("score")))
-    )
+    best = by_podcast_size(asked, episodes, limits, of_few, of_many)
+    return best.withColumn("confidence", keyword_confidence(F.col("score")))
 
 
 def keyword_episode(requests: DataFrame, episodes: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
@@ -611,21 +626,15 @@ def fuzzy_episodes(requests: DataFrame, episodes: DataFrame, limits: Limits = DE
     A title match goes before every keyword match.
     """
     search, low = trim_blank(low_title(F.col("term"))), F.lower("title")
-    tier, tiered = tier_of(F.col("_s"), F.col("low")), F.col("tier").isNotNull()
+    columns = ["podcast_id", "term", *_SHOWN]
 
     def of_few(requests: DataFrame, episodes: DataFrame) -> DataFrame:
-        asked = requests.withColumn("_s", search).withColumn("_k", plain_keywords(F.col("term")))
-        rows = asked.join(episodes, "podcast_id").select(
-            "podcast_id", F.col("term").alias("text"), "ord", "newest", tier.alias("tier"),
-            shared_keywords(low, F.col("low_words"), F.col("_k")).alias("score"),
-        )
-        usable = rows.where(tiered | (F.col("score") >= limits.any_keyword_score)).select(
-            "podcast_id", "text", "ord",
-            F.when(tiered, F.col("ord")).otherwise(F.col("newest")).alias("place"),
-            # Above any share of keywords.
-            F.when(tiered, 100.0 - F.col("tier")).otherwise(F.col("score")).alias("score"),
-        )
-        return best_of(usable).select("podcast_id", F.col("text").alias("term"), "ord")
+        return episode_scores.score_podcasts(
+            requests, episodes,
+            {"keys": plain_keywords(F.col("term")), "search": search},
+            {"low": low, "place": F.col("newest"), "ord": F.col("ord")},
+            _SHOWN, episode_scores.by_tier(limits.any_keyword_score), episode_scores.best_row,
+        ).select(*columns)
 
     def of_many(requests: DataFrame, episodes: DataFrame) -> DataFrame:
         named = cut(_tier_matches(requests, episodes, limits))
@@ -633,14 +642,14 @@ def fuzzy_episodes(requests: DataFrame, episodes: DataFrame, limits: Limits = DE
         by_words, _ = keyword_candidates(
             rest, episodes, plain_keywords, limits.any_keyword_score, "newest", limits
         )
-        return named.unionByName(by_words.select("podcast_id", F.col("text").alias("term"), "ord"))
+        best = named.unionByName(by_words.select("podcast_id", F.col("text").alias("term"), "ord"))
+        return _with_episode(best, episodes).select(*columns)
 
     asked = requests.select("podcast_id", "term").distinct()
     best = by_podcast_size(asked, episodes, limits, of_few, of_many)
-    found = _with_episode(best, episodes).select(
-        "podcast_id", "term", *_SHOWN,
-        tier_of(trim_blank(low_title(F.col("term"))), F.col("low")).alias("tier"),
-        shared_keywords(F.lower("title"), F.col("low_words"), plain_keywords(F.col("term"))).alias("score"),
+    found = best.select(
+        *columns, tier_of(search, low_title(F.col("title"))).alias("tier"),
+        shared_keywords(low, split_words(low), plain_keywords(F.col("term"))).alias("score"),
     )
     confidence = F.when(F.col("tier").isNotNull(), F.lit(0.9)).otherwise(keyword_confidence(F.col("score")))
     return found.withColumn("confidence", confidence)

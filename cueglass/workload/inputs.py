@@ -89,9 +89,11 @@ def episodes(t: Tables) -> DataFrame:
     )
 
 
-def episode_terms(t: Tables) -> DataFrame:
-    """One request for every episode, as a screen may show its title."""
-    return episodes(t).select("podcast_id", noisy_episode(F.col("title")).alias("term")).distinct()
+def episode_terms(t: Tables, listed: DataFrame | None = None) -> DataFrame:
+    """One request for every episode, as a screen may show its title. ``listed`` is what
+    :func:`episodes` gave, if it is at hand."""
+    listed = episodes(t) if listed is None else listed
+    return listed.select("podcast_id", noisy_episode(F.col("title")).alias("term")).distinct()
 
 
 def last_episode_terms(t: Tables) -> DataFrame:

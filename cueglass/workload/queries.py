@@ -167,7 +167,8 @@ def podcast_suggestions(t: Tables) -> DataFrame:
 
 
 def _episode_case(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return inputs.episode_terms(t), cut(catalog.catalog_episodes(inputs.episodes(t)))
+    episodes = cut(inputs.episodes(t))
+    return cut(inputs.episode_terms(t, episodes)), cut(catalog.catalog_episodes(episodes))
 
 
 @query

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cueglass.config import Limits
@@ -108,6 +109,48 @@ def test_title_tiers_go_before_keywords(case):
     assert key(got) == key(want)
 
 
+@pytest.mark.parametrize("find,above,most", [
+    (catalog.search_episodes, 0.1, 10), (catalog.rank_episodes, 0.3, 10**9)], ids=["search", "rank"])
+def test_listed_episodes(case, find, above, most):
+    """Every pair above the floor, ranked; a request that comes twice has each episode twice."""
+    requests, listed, limits = case
+    if find is catalog.search_episodes:
+        requests = requests.where("length(term) >= 2")
+    norm = title_norm(F.col("term"))
+    score = norm_similarity(norm, F.col("norm"), split_words(norm), F.col("norm_words"))
+    rows = requests.join(listed, "podcast_id").withColumn("s", score).where(F.col("s") > above)
+    order = Window.partitionBy("podcast_id", "term").orderBy(F.desc("s"), "ord")
+    want = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    key = lambda df, s: sorted([(r.podcast_id, r.term, r["rank"], r.ord, r.episode_id, r.title, r[s]) for r in df.collect()], key=str)
+    got = find(requests, listed, limits)
+    assert got.columns == ["podcast_id", "term", "ord", "episode_id", "title", "release_date", "similarity", "rank"]
+    assert key(got, "similarity") == key(want, "s") and got.count() > 300
+
+
+def test_pairs_of_small_podcasts_are_scored_in_place(case):
+    """No row for each pair: episodes meet requests in one fold, and no window ranks them."""
+    requests, listed, _ = case
+    requests = scale.cut(requests)
+    for find in (catalog.best_match, catalog.search_episodes, catalog.rank_episodes,
+                 catalog.keyword_episode, catalog.best_by_keywords, catalog.fuzzy_episodes):
+        plan = find(requests, listed)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Join" not in plan and "Window" not in plan
+
+
+def test_podcasts_across_batches(spark):
+    """A podcast may begin in one Arrow batch and end in another one."""
+    titles = [(k % 7, k, f"part {k} of {'abcdef'[k % 6] * 3}") for k in range(300)]
+    episodes = spark.createDataFrame(titles, "podcast_id long, episode_id long, title string")
+    listed = scale.cut(catalog.catalog_episodes(episodes.withColumn("release_date", F.lit(None).cast("timestamp"))))
+    requests = spark.createDataFrame([(p, title[:-1]) for p, _, title in titles], "podcast_id long, term string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        found = {(r.podcast_id, r.term): r.episode_id for r in catalog.best_match(requests, listed).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == {(p, title[:-1]): k for p, k, title in titles}
+
+
 def test_contained_finds_all(spark):
     titles, terms = corpus(7)
     def distinct(rows):
