@@ -1,5 +1,8 @@
 """Hand-worked cases of the expression layer."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,3 +214,30 @@ def test_deep_link(spark, podcast, episode, start, link):
     df = spark.createDataFrame([(podcast, episode, start)], "p bigint, e bigint, s bigint")
     got = df.select(timefmt.deep_link(F.col("p"), F.col("e"), F.col("s"))).first()[0]
     assert got == (link and "https://podcasts.apple.com/podcast/" + link)
+
+
+def test_scores_of_lines_need_few_scans(spark):
+    """Listed words are found in one scan; ends are tested at the end. Results are the plain ones."""
+    rng = random.Random(3)
+    parts = ["the", "The", "thee", "ep", "episode", "a_the", "ago", "AGO", "é", "of", "I", "x1", "abc", "\u00a0", "?", ".", "_"]
+    lines = ["".join(rng.choice(parts) + rng.choice([" ", "", "  ", "\t", "\n", "-"]) for _ in range(rng.randrange(9))) for _ in range(400)]
+    lines += ["", " ", "\x0b the \x0c", "word ab", "some word ab", "some words abc", "a" * 30, "long enough é ab", "12", None]
+    df = spark.createDataFrame([(t,) for t in lines], "t string")
+    score = screen.candidate_score(F.col("t"), F.lit(1), F.lit(0.0))
+    assert "split(" not in df.select(score)._jdf.queryExecution().executedPlan().toString()
+    got = df.select("t", text.trim_blank(F.col("t")).alias("trimmed"), screen.truncated(F.col("t")).alias("cut"), score.alias("score"))
+    for r in got.collect():
+        if r.t is None:
+            assert (r.trimmed, r.cut) == (None, None)
+            continue
+        assert r.trimmed == re.sub(r"^\s+|\s+\Z", "", r.t, flags=re.ASCII)
+        assert r.cut == bool("..." in r.t or "a" <= r.t[:1] <= "z" or (len(r.t) > 10 and re.search(r"(?<!\w)\w{1,2}\Z", r.t, re.ASCII))
+                             or re.search(r"\w\s+[a-z]{1,3}\Z", r.t, re.ASCII))
+        words, shown, n = set(re.split(r"\W+", r.t.lower(), flags=re.ASCII)), r.trimmed, len(r.t.lower())
+        want = (2.0 if 15 <= n <= 50 else 1.0 if 10 <= n <= 60 else 0.0) + sum(bool(words & set(x)) for x in screen.TITLE_WORDS)
+        want += bool(re.search(r"\?\s*\Z", r.t, re.ASCII)) + ("?" in shown)
+        want += 1.5 * bool("A" <= shown[:1] <= "Z" and re.search("[A-Z][a-z]", shown))
+        cut = bool("..." in shown or "a" <= shown[:1] <= "z" or (len(shown) > 10 and re.search(r"(?<!\w)\w{1,2}\Z", shown, re.ASCII))
+                                      or re.search(r"\w\s+[a-z]{1,3}\Z", shown, re.ASCII))
+        want = want * (0.7 if cut else 1.0) - 2.0 * bool(words & set(screen.PAST_WORDS)) - 2.0 * bool(re.search(r"^\d+\Z", r.t.lower(), re.ASCII))
+        assert r.score == pytest.approx(max(0.0, want)), r.t
