@@ -47,9 +47,14 @@ SLACK = 1e-9
 
 
 def norm_texts(df: DataFrame, column: str, scope: Sequence[str] = ()) -> DataFrame:
-    """Distinct match keys of texts that are not blank, per ``scope`` columns if given."""
-    return (
-        df.select(*scope, match_key(F.col(column)).alias("norm"))
+    """Distinct match keys of texts that are not blank, per ``scope`` columns if given.
+
+    The distinct texts are stored before their keys are made: Spark would move the test of
+    a key below the distinct, to every copy of a text and into the few tasks that read it.
+    """
+    texts = cut(df.select(*scope, column).distinct())
+    return cut(
+        texts.select(*scope, match_key(F.col(column)).alias("norm"))
         .where(F.col("norm").isNotNull())
         .distinct()
         .withColumn("words", split_words(F.col("norm")))
@@ -323,7 +328,9 @@ def match_podcasts(terms: DataFrame, podcasts: DataFrame, limits: Limits = DEFAU
         norm_texts(terms, "term"), norm_texts(podcasts, "title"), limits.podcast_similarity,
         limits=limits,
     )
-    ids = _title_ids(podcasts).groupBy("title").agg(F.min("podcast_id").alias("podcast_id"))
+    # Once by title, so that a match key is made for each title and not for each podcast.
+    first = podcasts.groupBy("title").agg(F.min("podcast_id").alias("podcast_id"))
+    ids = _title_ids(cut(first)).groupBy("title").agg(F.min("podcast_id").alias("podcast_id"))
     return first_by(
         pairs.join(ids, "title").drop("title"),
         ["term"],
@@ -352,8 +359,11 @@ def search_podcasts(
     k = limits.podcast_page
     wanted = norm_texts(terms.where(F.length("term") >= limits.min_term_chars), "term")
     titles = norm_texts(podcasts, "title")
-    # Of equal titles no more than the first ten ids can be in a list.
-    ids = top_per_group(_title_ids(podcasts), ["title"], [F.col("podcast_id")], k).drop("rank")
+    # Of equal titles no more than the first ten ids can be in a list. They are taken by title
+    # first, so that match keys are made for few podcasts and not in the tasks that read them.
+    by_id = [F.col("podcast_id")]
+    few = cut(top_per_group(podcasts.select("title", "podcast_id"), ["title"], by_id, k).drop("rank"))
+    ids = cut(top_per_group(_title_ids(few), ["title"], by_id, k).drop("rank"))
 
     def listed(texts: DataFrame, floor: float) -> DataFrame:
         rows = fuzzy_pairs(texts, titles, floor, limits=limits).join(ids, "title").drop("title")

@@ -213,3 +213,26 @@ def test_pairs_of_small_podcasts_need_no_index(spark, monkeypatch):
     monkeypatch.delattr(catalog, "fuzzy_pairs")
     direct = [tuple(r) for r in catalog.podcast_pairs(*sides, 0.7).collect()]
     assert len(direct) == len(set(direct)) and set(direct) == every and len(every) > 30
+
+
+def test_match_keys_are_made_for_distinct_texts(spark, monkeypatch):
+    """Copies of a text cost one key, as do all but the first podcasts of a title."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def key(title):
+        made.add(1)
+        return title and title.lower()
+
+    monkeypatch.setattr(catalog, "match_key", key)
+    titles = [f"{w} {v}" for w in ("Hidden", "Daily", "Science", "Planet") for v in ("Brain", "News", "Talks")]
+    rows = [(i, titles[i % 12]) for i in range(3000)]
+    podcasts = spark.createDataFrame(rows, "podcast_id bigint, title string")
+    terms = podcasts.select("podcast_id", F.upper("title").alias("term"))
+    assert catalog.norm_texts(terms, "term").count() == 12
+    assert made.value < 300
+    found = catalog.search_podcasts(terms, podcasts).collect()
+    best = [(r.podcast_id, r.rank) for r in found if r.term == "hidden news"]
+    assert len(found) == 120 and sorted(best) == [(1 + 12 * i, i + 1) for i in range(10)]
+    assert {r.podcast_id for r in catalog.match_podcasts(terms, podcasts).collect()} == set(range(12))
+    assert made.value < 3000
