@@ -47,6 +47,7 @@ class Limits:
 
     # Our own scale settings; none of them changes a result.
     hot_pairs: int = 50_000
+    few_keys: int = 100_000
     running_chunk: int = 4_096
     range_bucket_ms: int = 60_000
 

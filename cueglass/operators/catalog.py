@@ -204,15 +204,19 @@ def _contained(
         .select(*scope, "long", F.explode(_grams(F.col("long"), F.col("size"))).alias("gram"))
     )
     counts = F.broadcast(pieces.groupBy("gram").count())
-    rarest = (
+    held = F.coalesce("count", F.lit(0))
+    # A text with a piece that no longer text has stands inside none.
+    rarest = cut(
         asked.select(*scope, norm.alias("short"), F.explode(_grams(norm, F.col("size"))).alias("gram"))
         .join(counts, "gram", "left")
         .groupBy(*scope, "short")
-        .agg(F.min_by("gram", F.struct(F.coalesce("count", F.lit(0)), "gram")).alias("gram"))
+        .agg(F.min_by("gram", F.struct(held, "gram")).alias("gram"), F.min(held).alias("_held"))
+        .where("_held > 0")
+        .drop("_held")
     )
     # Only pieces that some shorter text is looked up by are worth a shuffle.
     used = F.broadcast(rarest.select("gram").distinct())
-    wanted = pieces.join(used, "gram", "left_semi").drop("size")
+    wanted = cut(pieces.join(used, "gram", "left_semi").drop("size"))
     pairs = skew_join(wanted, rarest, [*scope, "gram"], limits)
     return pairs.where(F.contains("long", F.col("short"))).select(*scope, "short", "long")
 
@@ -251,8 +255,14 @@ def fuzzy_pairs(
         F.broadcast(used_levels), "level"
     )
     probes = _query_probes(terms, scope)
-    met = skew_join(probes, index, [*scope, "key", "level"], limits)
-    scored = met.where(_can_reach(min_similarity - MAX_BOOST)).select(
+    met_by = [*scope, "key", "level"]
+    index_keys = cut(index.select(*met_by).distinct())
+    if index_keys.count() <= limits.few_keys:
+        # Only keys that some title has are worth a shuffle.
+        probes = cut(probes.join(F.broadcast(index_keys), met_by, "left_semi"))
+    met = skew_join(probes, index, met_by, limits)
+    holds = F.contains("term", F.col("title")) | F.contains("title", F.col("term"))
+    scored = met.where(_can_reach(min_similarity - MAX_BOOST) & ~holds).select(
         *scope,
         "term",
         "title",
@@ -263,7 +273,7 @@ def fuzzy_pairs(
     inside = _contained(terms, titles, scope, limits).select(
         *scope, F.col("short").alias("term"), F.col("long").alias("title")
     )
-    around = _contained(titles, terms, scope, limits).select(
+    around = _contained(titles, terms, scope, limits).where("short <> long").select(
         *scope, F.col("long").alias("term"), F.col("short").alias("title")
     )
     part = F.least(F.length("term"), F.length("title")) / F.greatest(
@@ -275,12 +285,10 @@ def fuzzy_pairs(
     wanted = F.col("similarity") > min_similarity
     if inclusive:
         wanted = F.col("similarity") >= min_similarity
-    return (
-        scored.unionByName(held).unionByName(equal)
-        .where(wanted)
-        .groupBy(*scope, "term", "title")
-        .agg(F.max("similarity").alias("similarity"))
-    )
+    # A pair may meet by several words, but each one that holds the other is found once; there
+    # may be very many of these, so they are not moved again.
+    counted = scored.where(wanted).groupBy(*scope, "term", "title").agg(F.max("similarity").alias("similarity"))
+    return counted.unionByName(held.where(wanted)).unionByName(equal.where(wanted))
 
 
 def podcast_pairs(

@@ -236,3 +236,22 @@ def test_match_keys_are_made_for_distinct_texts(spark, monkeypatch):
     assert len(found) == 120 and sorted(best) == [(1 + 12 * i, i + 1) for i in range(10)]
     assert {r.podcast_id for r in catalog.match_podcasts(terms, podcasts).collect()} == set(range(12))
     assert made.value < 3000
+
+
+def test_each_pair_is_found_once_and_only_keys_of_titles_are_moved(spark, monkeypatch):
+    """A text that holds the other one, meeting it by several words, gives one row unmoved."""
+    t = spark.createDataFrame([(x,) for x in texts(7, 80)], "term string")
+    c = spark.createDataFrame([(x,) for x in texts(8, 30) if "x" not in x], "title string")
+    stored, real = [], catalog.cut
+    monkeypatch.setattr(catalog, "cut", lambda df: stored.append(real(df)) or stored[-1])
+    terms, titles = catalog.norm_texts(t, "term"), catalog.norm_texts(c, "title")
+    pairs = {}
+    for few in (0, 100_000):
+        stored.clear()
+        rows = catalog.fuzzy_pairs(terms, titles, 0.5, limits=Limits(few_keys=few)).collect()
+        pairs[few] = {(r.term, r.title, round(r.similarity, 9)) for r in rows}
+        assert len(pairs[few]) == len(rows)
+        assert sum("term_side" in df.columns for df in stored) == (few > 0)
+    assert pairs[0] == pairs[100_000] and len(rows) > 50
+    keys = {r.key for df in stored if "term_side" in df.columns for r in df.collect()}
+    assert "=hidden" in keys and "=x" not in keys
