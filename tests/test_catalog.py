@@ -255,3 +255,30 @@ def test_each_pair_is_found_once_and_only_keys_of_titles_are_moved(spark, monkey
     assert pairs[0] == pairs[100_000] and len(rows) > 50
     keys = {r.key for df in stored if "term_side" in df.columns for r in df.collect()}
     assert "=hidden" in keys and "=x" not in keys
+
+
+def test_texts_of_a_key_are_scored_together(spark, monkeypatch):
+    """No row for each pair that meets: rows that are moved are texts with a key."""
+    made = []
+    real = catalog.episode_scores.pairs_by_key
+
+    def watched(asked, held, *rest):
+        made.append((asked.count(), held.count()))
+        return real(asked, held, *rest)
+
+    monkeypatch.setattr(catalog.episode_scores, "pairs_by_key", watched)
+    t = spark.createDataFrame([(f"Daily Show {i} a",) for i in range(300)], "term string")
+    c = spark.createDataFrame([(f"Show Daily {i} b",) for i in range(300)], "title string")
+    terms, titles = catalog.norm_texts(t, "term"), catalog.norm_texts(c, "title")
+    got = {(r.term, r.title): round(r.similarity, 9) for r in catalog.fuzzy_pairs(terms, titles, 0.5).collect()}
+    # Three equal words of four; or two, and a number that the other one begins with.
+    want = {}
+    for i in range(300):
+        for j in range(300):
+            a, b = str(i), str(j)
+            part = 0 if a == b else int(min(len(a), len(b)) >= 2 and (a.startswith(b) or b.startswith(a)))
+            score = (2 + (a == b) + 0.6 * part) / 4 + 0.15 * part
+            if score > 0.5:
+                want[f"daily show {i} a", f"show daily {j} b"] = round(score, 9)
+    assert got == want and len(want) > 300
+    assert sum(map(sum, made)) < 300 * 300 / 2
