@@ -192,6 +192,23 @@ def similarities(asked: dict[str, list], held: dict[str, list]) -> Scores:
     return score, np.broadcast_to(np.array(held["ord"]), score.shape)
 
 
+def first_similar(above: float) -> Scorer:
+    """0 for pairs more similar than ``above``; ties by ``ord``, those without one first.
+
+    A ``norm`` without a letter or digit is like any other.
+    """
+
+    def scores(asked: dict[str, list], held: dict[str, list]) -> Scores:
+        place = np.array([-(1 << 62) if n is None else n for n in held["ord"]])
+        score, place = similarities(asked, held | {"ord": place})
+        known, blank = ([np.array([test(t) for t in side["norm"]]) for side in (asked, held)]
+                        for test in (lambda t: t is not None, lambda t: t is not None and not t.strip(_BLANKS)))
+        like = (score > above) | blank[0][:, None] | blank[1]
+        return np.where(like & known[0][:, None] & known[1], 0.0, np.nan), place
+
+    return scores
+
+
 def _keyword_shares(asked: dict[str, list], held: dict[str, list], least: float) -> np.ndarray:
     """:func:`shared_keywords` of each request's ``keys`` and title's ``low``, nan below ``least``."""
     lows, lists = held["low"], [keys or [] for keys in asked["keys"]]
@@ -271,7 +288,7 @@ def ranked_rows(above: float, most: int | None = None) -> Pick:
 
 def _folder(
     groups: list[str], asked_keys: dict[str, str], held_keys: dict[str, str], out: list[tuple[str, str, int]],
-    scores: Scorer, pick: Pick, once: str | None,
+    scores: Scorer, pick: Pick, once: str | None, every: bool,
 ):
     def scored(table: pa.Table, starts: list[int]) -> Iterator[pa.RecordBatch]:
         kind = table.column("_kind").to_numpy()
@@ -280,23 +297,29 @@ def _folder(
         found = []
         for s, e in zip(starts, [*starts[1:], len(table)], strict=True):
             mid = s + int(np.searchsorted(kind[s:e], 1))
-            if s < mid < e:
+            if s < mid < e or (every and s < mid):
                 at = np.arange(s, mid)
                 if once and mid - s > 1:
                     first: dict = {}
                     for i in range(s, mid):
                         first.setdefault(values[once][i], i)
                     at = np.array(list(first.values()))
-                asked = {k: [values[c][i] for i in at] for k, c in asked_keys.items()}
-                held = {k: values[c][mid:e] for k, c in held_keys.items()}
-                score, place = scores(asked, held)
-                rows, cols, rank = pick(score, place, asked, held)
-                if len(rows):
+                left = np.arange(len(at)) if every else np.arange(0)
+                if mid < e:
+                    asked = {k: [values[c][i] for i in at] for k, c in asked_keys.items()}
+                    held = {k: values[c][mid:e] for k, c in held_keys.items()}
+                    score, place = scores(asked, held)
+                    rows, cols, rank = pick(score, place, asked, held)
                     found.append((at[rows], cols + mid, score[rows, cols], rank))
+                    left = np.setdiff1d(left, rows)
+                if len(left):
+                    none = np.full(len(left), -1)
+                    found.append((at[left], none, np.full(len(left), np.nan), none.astype(np.int32)))
         if found:
             rows, cols, score, rank = map(np.concatenate, zip(*found, strict=True))
-            made = {"score": pa.array(score), "rank": pa.array(rank)}
-            sides = [pa.array(rows), pa.array(cols)]
+            none = cols < 0
+            made = {"score": pa.array(score, mask=none), "rank": pa.array(rank, mask=none)}
+            sides = [pa.array(rows), pa.array(cols, mask=none)]
             arrays = [made[name] if side == 2 else table.column(column).take(sides[side]) for name, column, side in out]
             yield from pa.table(arrays, names=[name for name, *_ in out]).to_batches()
 
@@ -323,13 +346,14 @@ def _folder(
 
 def _scored(
     requests: DataFrame, episodes: DataFrame, groups: list[str], asked_keys: dict[str, Key], held_keys: dict[str, Key],
-    shown: list[str], scores: Scorer, pick: Pick, once: str | None = None,
+    shown: list[str], scores: Scorer, pick: Pick, once: str | None = None, every: bool = False,
 ) -> DataFrame:
     """All columns of ``requests``, ``shown`` of ``episodes``, ``score`` and ``rank`` of the
     pairs that ``pick`` takes among those with equal ``groups``, which are not null.
 
     ``asked_keys`` and ``held_keys`` are what ``scores`` reads. Of requests of a group that
-    are equal in ``once`` only one counts."""
+    are equal in ``once`` only one counts. With ``every`` there is a row of nulls for each
+    request without a pair."""
     own = [c for c in requests.columns if c not in groups]
     needed = dict.fromkeys([*shown, *[v for v in held_keys.values() if isinstance(v, str)]])
     if any(callable(v) for v in held_keys.values()):
@@ -347,7 +371,7 @@ def _scored(
     for side, named in (("a", asked_keys), ("h", held_keys)):
         made += [v(lambda c: F.col(f"{side}_{c}")).alias(f"{side}k_{k}") for k, v in named.items() if callable(v)]
         keys.append({k: f"{side}k_{k}" if callable(v) else f"{side}_{v}" for k, v in named.items()})
-    fold = _folder(groups, *keys, out, scores, pick, once and f"a_{once}")
+    fold = _folder(groups, *keys, out, scores, pick, once and f"a_{once}", every)
     return (
         rows.repartition(tasks, *groups)
         .sortWithinPartitions(*groups, "_kind")
@@ -364,14 +388,16 @@ def score_podcasts(
     shown: list[str],
     scores: Scorer,
     pick: Pick,
+    every: bool = False,
 ) -> DataFrame:
     """All columns of ``requests``, ``shown`` of ``episodes``, ``score`` and ``rank`` of the
     pairs that ``pick`` takes in each podcast. ``asked_keys`` and ``held_keys`` are what
     ``scores`` reads; a key that is made is made of a ``term`` or a ``title``. Requests that
-    are a podcast and a ``term`` and nothing else count once."""
+    are a podcast and a ``term`` and nothing else count once. With ``every`` there is a row
+    of nulls for each request of a podcast without a pair."""
     sides = [df.where("podcast_id is not null") for df in (requests, episodes)]
     once = "term" if {*requests.columns} == {"podcast_id", "term"} else None
-    return _scored(*sides, ["podcast_id"], asked_keys, held_keys, shown, scores, pick, once)
+    return _scored(*sides, ["podcast_id"], asked_keys, held_keys, shown, scores, pick, once, every)
 
 
 def pairs_by_key(

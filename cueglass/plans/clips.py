@@ -48,7 +48,7 @@ def clip_transcripts(
     urls = audio_urls(
         requests.select("podcast_id", F.col("episode_title").alias("term")), items, limits
     ).withColumnRenamed("term", "episode_title")
-    windowed = add_window(requests).join(urls, ["podcast_id", "episode_title"], "left")
+    windowed = cut(add_window(requests).join(shuffled(urls), ["podcast_id", "episode_title"], "left"))
     ready = windowed.where(
         F.col("audio_url").isNotNull() & non_empty(F.col("timestamp")).isNotNull()
     )

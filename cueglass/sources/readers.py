@@ -9,7 +9,9 @@ from cueglass import schemas
 from cueglass.config import DEFAULT, Limits
 from cueglass.functions.text import non_empty, plain_spaces, title_norm, trim_blank
 from cueglass.functions.timefmt import file_size_mb
+from cueglass.operators import episode_scores
 from cueglass.operators.catalog import norm_texts, podcast_pairs
+from cueglass.operators.episode_search import by_podcast_size
 from cueglass.operators.scale import cut, first_by, shuffled
 
 
@@ -148,26 +150,50 @@ def feed_items(feeds: DataFrame) -> DataFrame:
     )
 
 
+_ITEM = ["pos", "title", "url", "type", "length"]
+
+
 def first_similar_items(
-    requests: DataFrame, items: DataFrame, limits: Limits = DEFAULT
+    requests: DataFrame, items: DataFrame, limits: Limits = DEFAULT, every: bool = False
 ) -> DataFrame:
     """First item of the feed (not the best) that is more than 0.7 similar.
 
-    ``requests`` has distinct ``(podcast_id, term)``. Goes through the blocked join in
-    large feeds, so a feed with very many items is not compared item by item. Texts without
-    a letter or digit count as contained in any other text.
+    For each distinct ``(podcast_id, term)``, with ``every`` also for those without an item.
+    Both tables are read once. Small feeds are compared item by item; large ones go through
+    the blocked join. Texts without a letter or digit count as contained in any other text.
     """
+    asked = cut(requests.select("podcast_id", "term"))
+    named = cut(items.where(F.length("title") > 0).select("podcast_id", *_ITEM))
+
+    def of_few(asked: DataFrame, named: DataFrame) -> DataFrame:
+        found = episode_scores.score_podcasts(
+            asked, named,
+            {"norm": lambda c: title_norm(c("term"))}, {"norm": lambda c: title_norm(c("title")), "ord": "pos"},
+            _ITEM, episode_scores.first_similar(limits.feed_item_similarity), episode_scores.best_row, every,
+        ).select("podcast_id", "term", *_ITEM)
+        nowhere = asked.where("podcast_id is null").distinct()
+        return found.unionByName(nowhere, allowMissingColumns=True) if every else found
+
+    def of_many(asked: DataFrame, named: DataFrame) -> DataFrame:
+        asked = cut(asked.distinct())
+        found = _first_by_index(asked, named, limits)
+        return asked.join(found, ["podcast_id", "term"], "left") if every else found
+
+    return by_podcast_size(asked, named, limits, of_few, of_many)
+
+
+def _first_by_index(requests: DataFrame, named: DataFrame, limits: Limits) -> DataFrame:
     asked = cut(requests.select("podcast_id", "term", title_norm(F.col("term")).alias("n")))
-    named = items.where(F.length("title") > 0).withColumn("m", title_norm(F.col("title")))
     # Copies of a text are one text: only its first item can be the answer.
-    per_text = cut(first_by(named, ["podcast_id", "m"], [F.col("pos")]))
+    texts = named.withColumn("m", title_norm(F.col("title")))
+    per_text = cut(first_by(texts, ["podcast_id", "m"], [F.col("pos")]))
     pairs = podcast_pairs(
         norm_texts(asked, "term", ["podcast_id"]),
         norm_texts(per_text, "title", ["podcast_id"]),
         limits.feed_item_similarity,
         limits,
     ).select("podcast_id", F.col("term").alias("n"), F.col("title").alias("m"))
-    fields = ["podcast_id", "term", "pos", "title", "url", "type", "length"]
+    fields = ["podcast_id", "term", *_ITEM]
     has_word = lambda name: F.col(name).rlike(r"\S")
     any_item = first_by(per_text.drop("m"), ["podcast_id"], [F.col("pos")])
     blank_item = first_by(per_text.where(~has_word("m")).drop("m"), ["podcast_id"], [F.col("pos")])
@@ -184,10 +210,9 @@ def first_similar_items(
 def audio_urls(requests: DataFrame, items: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """``(podcast_id, term, audio_url, audio_type, audio_length)``; null without a match
     or without an enclosure address."""
-    wanted = requests.select("podcast_id", "term").distinct()
-    found = first_similar_items(wanted, items, limits)
+    found = first_similar_items(requests, items, limits, every=True)
     has_url = F.length("url") > 0
-    return wanted.join(found, ["podcast_id", "term"], "left").select(
+    return found.select(
         "podcast_id",
         "term",
         F.when(has_url, F.col("url")).alias("audio_url"),

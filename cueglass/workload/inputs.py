@@ -145,8 +145,8 @@ def title_pairs(t: Tables) -> DataFrame:
     return keys.join(left, "a_id").join(right, "b_id")
 
 
-def feed_items(t: Tables) -> DataFrame:
-    e = episodes(t)
+def feed_items(t: Tables, listed: DataFrame | None = None) -> DataFrame:
+    e = episodes(t) if listed is None else listed
     has_file = F.length("title") % 5 != 0
     return e.select(
         "podcast_id",
@@ -160,8 +160,10 @@ def feed_items(t: Tables) -> DataFrame:
     )
 
 
-def feed_xml(t: Tables) -> DataFrame:
+def feed_xml(t: Tables, listed: DataFrame | None = None) -> DataFrame:
     """The feed of each podcast as one RSS document, items by episode id."""
+    # The episodes of a podcast are brought together before their items are written out.
+    listed = (episodes(t) if listed is None else listed).repartition("podcast_id")
     enclosure = F.when(
         F.col("url").isNotNull(),
         F.concat(
@@ -172,7 +174,7 @@ def feed_xml(t: Tables) -> DataFrame:
     item = F.concat(F.lit("<item><title>"), F.col("title"), F.lit("</title>"), enclosure, F.lit("</item>"))
     ordered = F.sort_array(F.collect_list(F.struct("pos", item.alias("item"))))
     return (
-        feed_items(t)
+        feed_items(t, listed)
         .groupBy("podcast_id")
         .agg(F.array_join(F.transform(ordered, lambda i: i.item), "").alias("items"))
         .select(

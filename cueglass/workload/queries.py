@@ -628,27 +628,34 @@ def podcast_details(t: Tables) -> DataFrame:
 
 @query
 def first_match_above_threshold(t: Tables) -> DataFrame:
-    found = readers.first_similar_items(cut(inputs.episode_terms(t)), inputs.feed_items(t))
+    episodes = cut(inputs.episodes(t))
+    found = readers.first_similar_items(inputs.episode_terms(t, episodes), inputs.feed_items(t, episodes))
+    free(episodes)
     return found.select("podcast_id", "term", F.col("pos").alias("episode_id"), "title")
 
 
 @query
 def feed_audio_url(t: Tables) -> DataFrame:
-    return readers.audio_urls(inputs.episode_terms(t), readers.feed_items(inputs.feed_xml(t)))
+    episodes = cut(inputs.episodes(t))
+    feeds = readers.feed_items(inputs.feed_xml(t, episodes))
+    found = readers.audio_urls(inputs.episode_terms(t, episodes), feeds)
+    free(episodes)
+    return found
 
 
 @query
 def clip_transcript(t: Tables) -> DataFrame:
     """Each clip is asked for under every episode title of its podcast."""
+    episodes = cut(inputs.episodes(t))
     asked = inputs.clips(t).withColumnRenamed("clip_id", "conv_id").join(
-        inputs.episode_terms(t).select(
+        inputs.episode_terms(t, episodes).select(
             F.col("podcast_id").alias("conv_id"), "podcast_id", F.col("term").alias("episode_title")
         ),
         "conv_id",
         "left",
     )
     asked = asked.withColumn("clip_id", F.concat_ws("/", "conv_id", "episode_title"))
-    return clip_plans.clip_transcripts(asked, inputs.feed_items(t), inputs.timed_words(t)).select(
+    return clip_plans.clip_transcripts(asked, inputs.feed_items(t, episodes), inputs.timed_words(t)).select(
         "clip_id", known("podcast_id"), "start_ms", "end_ms", "audio_url", "transcript",
         six("confidence").alias("confidence"), "word_count", "source", "mock_reason",
     )
