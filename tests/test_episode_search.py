@@ -212,3 +212,17 @@ def test_a_podcast_with_most_episodes_is_split(spark, monkeypatch):
     assert scored.where("score > 0").distinct().count() == 400 * 1500
     sizes = [max(n for (n,) in df.groupBy(F.spark_partition_id()).count().select("count").collect()) for df in seen if not df.isEmpty()]
     assert max(sizes) < 400 * 1500 / 3
+
+
+def test_requests_and_episodes_move_once(spark):
+    """Requests that come twice count once, and nothing is moved to find them."""
+    titles, terms = corpus(3)
+    episodes = spark.createDataFrame([t[:3] for t in titles], "podcast_id long, episode_id long, title string")
+    listed = catalog.catalog_episodes(episodes.withColumn("release_date", F.lit(None).cast("timestamp")))
+    asked = scale.cut(spark.createDataFrame([*terms, *terms], "podcast_id long, term string"))
+    for find in (catalog.best_match, catalog.best_by_keywords, catalog.fuzzy_episodes):
+        best = find(asked, listed)
+        plan = best._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") - plan.count("BroadcastExchange") == 1
+        rows = [(r.podcast_id, r.term) for r in best.collect()]
+        assert len(rows) == len(set(rows)) > 0

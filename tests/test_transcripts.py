@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from cueglass.config import Limits
 from cueglass.functions.screen import SYSTEM_PHRASES
 from cueglass.functions.text import PLAIN_STOP_WORDS, RANKED_STOP_WORDS
 from cueglass.operators import catalog, edits, selection, transcript
-from cueglass.operators.scale import previous_value, running_total, skew_join
+from cueglass.operators.scale import cut, free, previous_value, running_total, skew_join
 from cueglass.plans import clips, quotes, resolve
 from cueglass.sources import readers, writers
 from cueglass.streaming import jobs
@@ -461,3 +462,39 @@ def test_word_lists():
         assert word not in PLAIN_STOP_WORDS
     assert "hidden" not in RANKED_STOP_WORDS
     assert len(SYSTEM_PHRASES) == len(set(SYSTEM_PHRASES)) and all(p == p.lower() for p in SYSTEM_PHRASES)
+
+
+def test_feeds_and_requests_move_once(spark):
+    """Both ways find the same items; small feeds need one shuffle, and no request is lost."""
+    parts = ["ab", "abc", "abcd", "x", "xy", "Talk", "talks", "ab ab", "", "日本", "on-air", "!"]
+    texts = [(k % 4, " ".join(parts[(k * 7 + i * i) % 12] for i in range(1 + k % 4))) for k in range(80)]
+    asked = spark.createDataFrame([*texts[:40], *texts[:3], (9, "ab"), (None, "ab"), (1, None)], "podcast_id int, term string")
+    items = spark.createDataFrame(
+        [(p, i, title, f"u{i}", None, "") for i, (p, title) in enumerate(texts[25:])],
+        "podcast_id int, pos int, title string, url string, type string, length string",
+    )
+    small = readers.first_similar_items(asked, items)
+    assert small._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = sorted(map(tuple, small.collect()), key=str)
+    large = readers.first_similar_items(asked, items, Limits(hot_pairs=1))
+    assert got == sorted(map(tuple, large.collect()), key=str) and len(got) > 8
+    every = {(r.podcast_id, r.term): r.audio_url for r in readers.audio_urls(asked, items).collect()}
+    assert set(every) == {tuple(r) for r in asked.collect()}
+    assert {k: v for k, v in every.items() if v} == {(r[0], r[1]): r[4] for r in got}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """What was shuffled for a stored table goes with its query, and the table when it is freed."""
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum("shuffle_" in files.apply(i).getName() for i in range(files.size()))
+
+    before = shuffled()
+    stored = cut(spark.range(1000).repartition(4, "id"))
+    until = time.time() + 10
+    while shuffled() > before and time.time() < until:
+        time.sleep(0.1)
+    assert shuffled() <= before and stored.count() == 1000
+    free(stored)
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(stored._cut_to)
