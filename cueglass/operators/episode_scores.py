@@ -393,10 +393,10 @@ def score_podcasts(
     """All columns of ``requests``, ``shown`` of ``episodes``, ``score`` and ``rank`` of the
     pairs that ``pick`` takes in each podcast. ``asked_keys`` and ``held_keys`` are what
     ``scores`` reads; a key that is made is made of a ``term`` or a ``title``. Requests that
-    are a podcast and a ``term`` and nothing else count once. With ``every`` there is a row
+    are a podcast and a ``term`` and nothing else count once for :func:`best_row`. With ``every`` there is a row
     of nulls for each request of a podcast without a pair."""
     sides = [df.where("podcast_id is not null") for df in (requests, episodes)]
-    once = "term" if {*requests.columns} == {"podcast_id", "term"} else None
+    once = "term" if pick is best_row and {*requests.columns} == {"podcast_id", "term"} else None
     return _scored(*sides, ["podcast_id"], asked_keys, held_keys, shown, scores, pick, once, every)
 
 
